@@ -107,7 +107,7 @@ def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     planes = np.empty((64, total), dtype=np.uint64)
     for at in range(0, total, 512):
         bits = np.unpackbits(lanes[at : at + 512].view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-        planes[:, at : at + 512] = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+        planes[:, at : at + 512] = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
     # one item: a row against a block of its group, from its own block on
     per = np.repeat(n_blocks, sizes) - rank // 64
     ends = np.cumsum(per)
