@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, htmlmain, licenses, pii, simhash, urlfilter
+from pagewright.llm import decontam, htmlmain, langid, licenses, pii, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_main_text")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
