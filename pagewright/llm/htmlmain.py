@@ -237,7 +237,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_p
     """
     tree = style_tree(pages)
     nodes = saved(tree.filter((F.col("importance") < low) & (F.col("pages") >= min_pages)).groupBy("host").agg(F.collect_list("node").alias("low")))
-    host = F.udf(_host, "string")
+    host = F.translate(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = pages.select(id_col, "url", "html")
     small = nodes.limit(broadcast_hosts + 1).count() <= broadcast_hosts
     if small:
@@ -245,7 +245,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_p
         source = rows
     else:
         table = None
-        source = rows.withColumn("__host", host("url")).join(nodes, F.col("__host") == F.col("host"), "left").select(id_col, "url", "html", "low")
+        source = rows.withColumn("__host", host).join(nodes, F.col("__host") == F.col("host"), "left").select(id_col, "url", "html", "low")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
