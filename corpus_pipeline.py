@@ -1 +1,77 @@
-"""Placeholder until the stages are in."""
+"""The corpus pipeline: from raw documents to packed batches.
+
+``STAGES`` are run in order.  Each takes (spark, docs, sf_dir), works on all that
+the one before kept, and returns a DataFrame, which is written as Parquet and
+read again for the next.  All but the last return the columns of ``documents``.
+
+1. language: drops documents without text or letters and those in no learned
+   language; fills null languages.
+2. near_duplicates: keeps one document, the least id, of every class of SimHash
+   links on five-word shingles.
+3. decontamination: cuts passages of the benchmark out of the texts; drops
+   documents that are benchmark text for more than half.
+4. personal_data: masks personal data and secrets in the texts.
+5. packing: length bucket and batch of every document that is left.
+
+An empty table passes through all stages as an empty table.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.llm import decontam, langid, packing, pii, simhash
+from pagewright.llm.common import ensure_checkpoint_dir
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicate stage: shingle length in words and radius in bits, near a similarity of 0.8.
+SHINGLE, RADIUS = 5, 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = docs.select(*COLUMNS)
+    return simhash.keep_one(rows, simhash.near_duplicates(rows, words=SHINGLE, radius=RADIUS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
+
+#: No stage's rows can be had from SQL: filters learned from the texts, XXH64 fingerprints.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's files go when the next has read them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        out = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        if last:
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, last = spark.read.parquet(out), out
+    return STAGES[-1][1](spark, docs, sf_dir)

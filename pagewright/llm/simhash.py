@@ -244,7 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = 3, rad
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its class; of rows with one id, one stays."""
-    chosen = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(chosen.withColumnRenamed(id_col, "__chosen"), F.col(id_col).eqNullSafe(F.col("__chosen")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of ``docs`` for each class, that of the least id; of rows with one id, one stays.
+
+    A row without id cannot be told apart from others of its class and stays.
+    The join brings rows of one id together, so dropping repeats moves nothing.
+    """
+    chosen = classes.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.join(chosen, id_col).dropDuplicates([id_col]).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
