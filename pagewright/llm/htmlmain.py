@@ -65,7 +65,6 @@ MAIN = frozenset("article main".split())
 MAIN_NAMES = frozenset("articlebody main".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
-DIGITS = re.compile(r"[0-9]+")
 
 
 def _hash(s: str) -> int:
@@ -182,18 +181,21 @@ class Page:
             out.add((k, 0, 0))
             out.add((k, 1, _hash(" ".join(shape))))
         for node, text, _, _ in self.blocks:
-            out.add((_hash(node), 2, _hash(DIGITS.sub("0", text))))
+            out.add((_hash(node), 2, _hash(text)))
         for node, href in self.links:
             out.add((_hash(node), 3, _hash(href)))
         return out
 
     def main_text(self, low: frozenset[int]) -> list[str]:
-        """The blocks that stay: those of article elements if there are any, else all but named and low branches."""
+        """The blocks that stay: those of article elements if there are any, else all but named and low branches.
+
+        Where low branches are all that a page has, it is a copy of others of its host, and they stay.
+        """
         content = [b for b in self.blocks if not b[2]]
         inside = [b[1] for b in content if b[3]]
         if inside:
             return inside
-        return [b[1] for b in content if _hash(b[0]) not in low] if low else [b[1] for b in content]
+        return [b[1] for b in content if _hash(b[0]) not in low] or [b[1] for b in content]
 
 
 def _host(url: str | None) -> str:
