@@ -24,3 +24,14 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _register() -> None:
+    """The modules below add their queries when they are read."""
+    import importlib
+
+    for name in ("queries_layout",):
+        importlib.import_module(f"pagewright.plans.{name}")
+
+
+_register()
