@@ -32,6 +32,7 @@ from pagewright.llm.components import connected_components
 
 SEED = 42
 BUCKET_ROWS = 4096
+SALTS = 64
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -236,10 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = 3, rad
     each = saved(fingerprints(docs, id_col, words))
     least = saved(each.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = connected_components(link(least.select("fp"), radius, bucket_rows))
+    # a class may hold very many fingerprints: its rows meet their least id in SALTS parts
+    linked = saved(least.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root", F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(SALTS)).cast("int").alias("salt")))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = linked.join(smallest, ["root", "salt"]).select("fp", "component_id")
     # fingerprints without a link are their own class
-    known = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = known.join(smallest, "root").select("fp", "component_id")
+    classes = least.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id")).unionByName(joined)
     return each.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
