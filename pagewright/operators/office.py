@@ -29,11 +29,10 @@ ITEM = (
 )
 SECTIONS = {"comment": "comments", "form_field": "form", "sheet_cell_comment": "sheet_comments"}
 PICTURE_SHAPES = ("GraphicObjectShape", "OLE2Shape", "TableShape", "MediaShape")
-V = F.col("v")
 
 
 def get(path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(V, f"$.{path}", kind)
+    return F.try_variant_get(F.col("v"), f"$.{path}", kind)
 
 
 def text_of(path: str) -> Column:
@@ -99,7 +98,8 @@ def prov(page: Column, local: bool | Column, left: Column, top: Column, right: C
     return F.array(row).cast(PROV)
 
 
-NO_PROV = F.array().cast(PROV)
+def no_prov() -> Column:
+    return F.array().cast(PROV)
 
 
 def caret(a: str = "anchor", b: str = "anchor", start: Column | int = 0, end: Column | int = 0) -> Column:
@@ -137,7 +137,7 @@ def item(arena: str, label: Column | str, *, layer: Column | str = "BODY", name:
     values = {
         "arena": lit(arena), "label": lit(label), "layer": lit(layer), "name": name, "text": text, "level": level, "parent_kind": lit(kind), "parent_key": lit(key), "defines": lit(made), "define_key": lit(made_key),
         "fields": fields(own) if isinstance(own, dict) and own else own if isinstance(own, Column) else F.create_map().cast("map<string,string>"),
-        "runs": run, "prov": NO_PROV if at is None else at, "rows": rows, "cols": cols, "cells": cells, "image_uri": image,
+        "runs": run, "prov": no_prov() if at is None else at, "rows": rows, "cols": cols, "cells": cells, "image_uri": image,
     }
     return F.struct(*((F.lit(None) if v is None else v).alias(k) for k, v in values.items())).cast(ITEM)
 
@@ -199,7 +199,7 @@ def _table() -> Column:
 
 
 def _embedded_image() -> Column:
-    at = F.when(has("anchor"), sized("anchor", False)).otherwise(lines_or(NO_PROV))
+    at = F.when(has("anchor"), sized("anchor", False)).otherwise(lines_or(no_prov()))
     return items_of(item("pictures", "PICTURE", parent=("writer", text_of("group_path")), own=filled("name"), at=at, image=picture_uri("mime_type", "data")))
 
 
@@ -279,7 +279,7 @@ def _framed(group: Column, r: Column, at: Column) -> Column:
 def _text_frame() -> Column:
     r = runs()
     group = item("groups", "UNSPECIFIED", name=text_of("name"), own=filled("chain_next", "chain_prev"), defines=("own", F.lit("")))
-    return _framed(group, r, F.when(has("anchor"), sized("anchor", False, end=length(r))).otherwise(NO_PROV))
+    return _framed(group, r, F.when(has("anchor"), sized("anchor", False, end=length(r))).otherwise(no_prov()))
 
 
 def _shape() -> Column:
@@ -288,7 +288,7 @@ def _shape() -> Column:
     area = item("groups", "PICTURE_AREA", name=text_of("name"), parent=parent, own=kind, defines=("writer", child_path()))
     group = item("groups", "UNSPECIFIED", name=text_of("name"), parent=parent, own=kind | filled("chain_next", "chain_prev"), defines=("own", F.lit("")))
     # a shape without anchor lies on the page that holds its middle: page -2 asks for it
-    at = F.when(has("anchor"), sized("anchor", False, end=length(r))).when(has("position"), sized("position", False, F.lit(-2), 0, length(r))).otherwise(NO_PROV)
+    at = F.when(has("anchor"), sized("anchor", False, end=length(r))).when(has("position"), sized("position", False, F.lit(-2), 0, length(r))).otherwise(no_prov())
     return F.when(flag("is_group"), items_of(area)).otherwise(_framed(group, r, at))
 
 
