@@ -33,6 +33,8 @@ from pagewright.llm.components import connected_components
 SEED = 42
 BUCKET_ROWS = 4096
 SALTS = 64
+#: Keys of hot buckets are broadcast up to this many.
+BROADCAST_KEYS = 50_000
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -66,7 +68,8 @@ def slices_for(n: int, radius: int) -> int:
     """Number of slices that makes tables and comparisons cheapest for n fingerprints."""
 
     def cost(k: int) -> float:
-        return comb(k, radius) * (3 + n / 2.0 ** (64 * (k - radius) / k) / 64)
+        # a row in a table costs about as much as a dozen comparisons with a block
+        return comb(k, radius) * (12 + n / 2.0 ** (64 * (k - radius) / k) / 64)
 
     return min(range(radius + 1, radius + 6), key=cost)
 
@@ -193,15 +196,14 @@ def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices
     slices = slices or slices_for(fps.count(), radius)
     tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(radius, slices))]
     rows = fps.select("fp", F.explode(F.array(*tables)).alias("key"))
-    # buckets over the bound are few; their rows go to every pair of chunks that holds their own
-    hot = rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
-    dealt = rows.join(hot, "key", "left").select(
-        "fp",
-        F.explode(
-            F.when(F.col("chunks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c))))
-        ).alias("key"),
-    )
+    # buckets over the bound are few, mostly none; their rows go to every pair of chunks that holds their own
+    hot = saved(rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
+    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
+    if n_hot:
+        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
+        pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
+        marked = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
+        rows = marked.select("fp", F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
 
     def run(batches):
         keys, vals = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -221,7 +223,7 @@ def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices
             keys, vals = keys[cut:], vals[cut:]
         yield from stars(keys, vals)
 
-    grouped = dealt.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key")
+    grouped = rows.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key")
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
