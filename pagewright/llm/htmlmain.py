@@ -36,8 +36,8 @@ from pagewright.llm.urlfilter import split_url
 GAMMA = 0.9
 LOW = 0.3
 MIN_PAGES = 3
-#: Low nodes are broadcast up to this many hosts, joined by host beyond.
-BROADCAST_HOSTS = 20_000
+#: Low nodes travel with the tasks up to this many, beyond they are joined to each page's own nodes.
+BROADCAST_NODES = 200_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^<>]*+\Z", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -227,7 +227,28 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return sums.select("host", "node", F.col("m").cast("bigint").alias("pages"), ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_pages: int = MIN_PAGES, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def _low_of_pages(rows: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with ``low``, those of the page's own nodes that are low on its host; no group is larger than a page."""
+    host = F.translate(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = rows.select("*", host.alias("__host"), F.struct(F.col(id_col), F.xxhash64("url"), F.xxhash64("html")).alias("__page"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        which, node = [], []
+        for i, h in enumerate(batch.column(2).to_pylist()):
+            if h:
+                own = {_hash(b[0]) for b in Page(h).blocks}
+                which += [i] * len(own)
+                node += own
+        take = pa.array(which, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(node, pa.int64())], names=["__page", "host", "node"])
+
+    page_kind = keyed.schema["__page"].dataType.simpleString()
+    own = map_batches(keyed.select("__page", F.col("__host").alias("host"), "html"), run, f"__page {page_kind}, host string, node bigint")
+    low = own.join(nodes, ["host", "node"]).groupBy("__page").agg(F.collect_set("node").alias("low"))
+    return keyed.join(low, "__page", "left").select(id_col, "url", "html", "low")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_pages: int = MIN_PAGES, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(id_col, url, text, n_chars) for every page, from its whole html.
 
     Null, empty and markup-only pages have an empty text.  A null URL counts as
@@ -237,21 +258,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_p
     page, named branches and nodes with importance under ``low``, seen on
     ``min_pages`` pages of the host at least, are removed.
     """
-    tree = style_tree(pages)
-    nodes = saved(tree.filter((F.col("importance") < low) & (F.col("pages") >= min_pages)).groupBy("host").agg(F.collect_list("node").alias("low")))
-    host = F.translate(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = pages.select(id_col, "url", "html")
-    small = nodes.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    if small:
-        table = {r.host: frozenset(r.low) for r in nodes.toLocalIterator()}
-        source = rows
+    nodes = saved(style_tree(pages).filter((F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "node"))
+    source, table = pages.select(id_col, "url", "html"), None
+    if nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes:
+        table = {}
+        for r in nodes.toLocalIterator():
+            table.setdefault(r.host, set()).add(r.node)
     else:
-        table = None
-        source = rows.withColumn("__host", host).join(nodes, F.col("__host") == F.col("host"), "left").select(id_col, "url", "html", "low")
+        source = _low_of_pages(source, nodes, id_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        lows = [table.get(_host(u), frozenset()) if table else frozenset() for u in urls] if table is not None else [frozenset(x or ()) for x in batch.column(3).to_pylist()]
+        lows = [frozenset(x or ()) for x in batch.column(3).to_pylist()] if table is None else [table.get(_host(u), ()) for u in urls]
         texts = ["\n".join(Page(h).main_text(k)) if h else "" for h, k in zip(htmls, lows, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, "url", "text", "n_chars"])
 

@@ -303,7 +303,7 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     rows += [(50, "http://b.com/", "<body><div class=x><p>Welcome to our site</p></div></body>", "Welcome to our site"), (51, None, None, ""), (52, "u", "", ""), (53, None, "<p>x", "x")]
     pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").selectExpr("*", "1 as text", "2 as host", "3 as low")
     for bound in (1000, 0):  # broadcast and joined
-        got = {r.page_id: (r.url, r.text, r.n_chars) for r in htmlmain.main_text(pages, broadcast_hosts=bound).collect()}
+        got = {r.page_id: (r.url, r.text, r.n_chars) for r in htmlmain.main_text(pages, broadcast_nodes=bound).collect()}
         assert got == {i: (u, t, len(t)) for i, u, _, t in rows}
     tree = {r.node: r.importance for r in htmlmain.style_tree(pages).filter("host = 'a.com'").collect()}
     assert min(tree.values()) < 0.2 and max(tree.values()) > 0.8
