@@ -50,6 +50,18 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Arrow batches hold about this many bytes, however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ``BATCH_BYTES``: a worker holds one batch and what it makes of it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # set in other units, or larger
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, setup: Callable | None = None) -> DataFrame:
     """Runs ``f`` on every Arrow batch; ``setup()`` is called once a task and its value passed on."""
 
@@ -59,9 +71,5 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             if b.num_rows:
                 yield f(b, state) if setup else f(b)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
-
-
-def text_column(df: DataFrame, *keys: str) -> DataFrame:
-    """Only the keys and the text: nothing else leaves the scan."""
-    return df.select(*(F.col(k) for k in keys), F.col("text"))

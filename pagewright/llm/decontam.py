@@ -192,22 +192,27 @@ class Benchmark:
         close()
 
     def scanner(self):
-        """What a task calls once: a function from a batch of word lists to its hits."""
+        """What a task calls once: a function from a batch of texts to their hits."""
         parts = self.parts
         one = pickle.loads(parts[0].value) if len(parts) == 1 else None
 
-        def scan(batch: list[list[bytes]]):
-            if one is not None:
-                return [one.hits(w) for w in batch]
-            found: list = [([], set()) for _ in batch]
+        def scan(texts: list[bytes | None]):
+            """(number of words, runs, items) of each text."""
+            if one is not None:  # the words of one text at a time
+                for t in texts:
+                    words = alnum_words(t) if t else []
+                    yield len(words), *one.hits(words)
+                return
+            found: list = [([], set()) for _ in texts]
             for p in parts:
                 automaton = pickle.loads(p.value)
-                for i, w in enumerate(batch):
-                    runs, items = automaton.hits(w)
+                for i, t in enumerate(texts):
+                    runs, items = automaton.hits(alnum_words(t)) if t else ([], set())
                     if runs:
                         found[i] = (_merge(found[i][0], runs), found[i][1] | items)
                 del automaton
-            return found
+            for t, (runs, items) in zip(texts, found, strict=True):
+                yield len(alnum_words(t)) if t else 0, runs, items
 
         return scan
 
@@ -225,10 +230,9 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window
     bench = Benchmark(benchmark, window, max_words)
 
     def run(batch: pa.RecordBatch, scan) -> pa.RecordBatch:
-        words = [alnum_words(t) if t else [] for t in texts_of(batch.column(1))]
         n, hit, items, digest = [], [], [], []
-        for w, (runs, found) in zip(words, scan(words), strict=True):
-            n.append(len(w))
+        for words, runs, found in scan(texts_of(batch.column(1))):
+            n.append(words)
             hit.append(sum(e - s for s, e in runs))
             items.append(len(found))
             digest.append(sha256(",".join(sorted(found)).encode()).hexdigest())
@@ -260,8 +264,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``docs`` with the benchmark's passages removed; same columns.
 
     Hit runs longer than ``max_run`` words are cut out of the text.  A document
-    of which more than ``max_coverage`` of the words are hit is removed.  Short
-    items are runs as well when they are over the limit, else they stay.
+    of which such runs are more than ``max_coverage`` of the words is removed.
+    Short items that stand alone are under the limit and stay.
     ``n_chars``, if there, is counted anew for changed texts.  Null and empty
     texts stay as they are.
     """
@@ -271,11 +275,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     def run(batch: pa.RecordBatch, scan) -> pa.RecordBatch:
         texts = texts_of(batch.column(at))
-        words = [alnum_words(t) if t else [] for t in texts]
         keep, changed = [], {}
-        for i, (w, (runs, _)) in enumerate(zip(words, scan(words), strict=True)):
-            keep.append(sum(e - s for s, e in runs) <= max_coverage * len(w))
+        for i, (words, runs, _) in enumerate(scan(list(texts))):
             long = [(s, e) for s, e in runs if e - s > max_run]
+            keep.append(sum(e - s for s, e in long) <= max_coverage * words)
             if keep[-1] and long:
                 changed[i] = cut(texts[i], long)
         if changed:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import alnum_words, map_batches, texts_of
+from pagewright.llm.common import alnum_words, bound_batches, map_batches, texts_of
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -64,6 +64,7 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
                         count[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return dict.fromkeys(vocab, 0) | {bytes(r.word): r.n for r in rows}
 

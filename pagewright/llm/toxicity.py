@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import alnum_words, map_batches, texts_of
+from pagewright.llm.common import alnum_words, bound_batches, map_batches, texts_of
 
 SAMPLE = 20_000
 WORDS = 1024
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
                         yield counts()
         yield counts()
 
+    bound_batches(docs.sparkSession)
     seen = texts.mapInArrow(count, "word binary, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= 3)
     share_a, share_b = (F.col("a") + 0.5) / (size[1] + 1.0), (F.col("b") + 0.5) / (size[0] + 1.0)
     gain = F.abs(share_a - share_b) / F.sqrt(share_a * (1 - share_a) / (size[1] + 1.0) + share_b * (1 - share_b) / (size[0] + 1.0))
