@@ -125,3 +125,42 @@ def warnings_by_collector(outcomes: DataFrame) -> DataFrame:
 def unset_option_errors(options: Column, allowed: tuple[str, ...] = ("to_formats", "collectors")) -> Column:
     """Names of populated options beyond the two that are honoured."""
     return F.filter(F.map_keys(options), lambda k: ~k.isin(*allowed))
+
+
+# Status codes that a collector's failure keeps; any other is UNAVAILABLE.
+KEPT_CODES = ("INVALID_ARGUMENT", "RESOURCE_EXHAUSTED", "DEADLINE_EXCEEDED")
+
+
+def collector_code(code: Column) -> Column:
+    return F.when(code.isin(*KEPT_CODES), code).otherwise("UNAVAILABLE")
+
+
+def gather(docs: DataFrame, plan: list[tuple[str, object]], merge_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, edges, outcomes) of all collectors over ``docs``, merged in plan order.
+
+    A collector is a name and a function from the documents to (items, edges,
+    errors): items (doc_id, arena, idx, ref, text), edges (doc_id, parent_ref,
+    child_ref, ord), errors (doc_id, code, error).  One that fails while it is
+    planned fails for every document and leaves the others alone.
+    """
+    items: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    outcomes: list[DataFrame] = []
+    no_warnings = F.array().cast("array<string>").alias("warnings")
+    for n, (name, run) in enumerate(plan):
+        head = [F.lit(n).alias("plan_ord"), F.lit(name).alias("collector")]
+        try:
+            i, e, errors = run(docs)
+        except Exception as failure:  # isolated: the plan goes on
+            text = str(failure)
+            outcomes.append(docs.select("doc_id", *head, F.lit(False).alias("success"), F.lit(text).alias("error"), F.lit("INTERNAL").alias("code"), no_warnings))
+            continue
+        items.append(i.select("doc_id", F.lit(n).alias("plan_ord"), "arena", "idx", "ref", "text"))
+        edges.append(e.select("doc_id", F.lit(n).alias("plan_ord"), "parent_ref", "child_ref", "ord"))
+        first = errors.groupBy("doc_id").agg(F.min(F.struct("code", "error")).alias("x"))
+        outcomes.append(docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", *head, F.col("x").isNull().alias("success"), F.col("x.error").alias("error"), F.col("x.code").alias("code"), no_warnings))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    if not items:
+        raise ValueError("every collector failed")
+    merged = merge(union(items), union(edges), merge_all)
+    return *merged, union(outcomes)

@@ -59,3 +59,46 @@ def page_counters(texts: DataFrame, regions: DataFrame) -> DataFrame:
     b = regions.groupBy("doc_id", "page_no").agg(F.count_if(F.col("label") == "table").alias("tables"), F.count_if(F.col("label") == "figure").alias("pictures"))
     zero = F.lit(0).cast("bigint")
     return a.join(b, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "texts", "digital", "ocr", F.coalesce("tables", zero).alias("tables"), F.coalesce("pictures", zero).alias("pictures"))
+
+
+def observed(lines: DataFrame, name: str = "pages"):
+    """(``lines``, observation): counters gathered while the plan runs, without a pass of their own.
+
+    The observation's ``get`` holds lines, digital and recognised ones, and
+    code points once an action has run.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    counters = (
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(F.col("origin") == "DIGITAL_PDF").alias("digital"),
+        F.count_if(F.col("origin") == "OCR").alias("recognised"),
+        F.sum(F.char_length("text")).alias("code_points"),
+    )
+    return lines.observe(seen, *counters), seen
+
+
+def interval_listener(report):
+    """A streaming listener that hands (rows, rows a second, state rows, changes since the last) of each trigger to ``report``."""
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        last = 0
+
+        def onQueryStarted(self, event):
+            self.last = 0
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            state = sum(s.numRowsTotal for s in p.stateOperators)
+            report({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "state_rows": state, "state_delta": state - self.last})
+            self.last = state
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    return Listener()

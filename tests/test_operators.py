@@ -369,3 +369,39 @@ def test_admission():
     assert [a.submit() for _ in range(3)] == ["active", "queued", "saturated"]
     a.finish()
     assert a.submit() == "queued" and list(itertools.islice([a.active], 1)) == [1]
+
+
+def test_collectors_are_isolated_and_merged_in_plan_order(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+
+    def reads(tag, failing=None):
+        def run(d):
+            kept = d if failing is None else d.filter(F.col("doc_id") != failing)
+            items = kept.select("doc_id", F.lit("texts").alias("arena"), F.lit(0).alias("idx"), F.lit("#/texts/0").alias("ref"), F.lit(tag).alias("text"))
+            edges = kept.select("doc_id", F.lit("#/body").alias("parent_ref"), F.lit("#/texts/0").alias("child_ref"), F.lit(0).alias("ord"))
+            bad = d.filter(F.lit(failing is not None) & (F.col("doc_id") == F.lit(failing or 0))).select("doc_id", F.lit("INVALID_ARGUMENT").alias("code"), F.lit("bad").alias("error"))
+            return items, edges, bad
+
+        return run
+
+    def breaks(_):
+        raise RuntimeError("no service")
+
+    items, edges, outcomes = documents.gather(docs, [("CV", reads("cv", failing=2)), ("LIBREOFFICE", breaks), ("POI", reads("poi"))])
+    assert sorted((r.doc_id, r.ref, r.text) for r in items.collect()) == [(1, "#/texts/0", "cv"), (1, "#/texts/1", "poi"), (2, "#/texts/0", "poi")]
+    assert sorted((r.doc_id, r.child_ref) for r in edges.collect()) == [(1, "#/texts/0"), (1, "#/texts/1"), (2, "#/texts/0")]
+    rolled = {r.doc_id: (r.status, r.message) for r in documents.status_rollup(outcomes).collect()}
+    assert rolled == {1: ("PARTIAL_SUCCESS", "no service"), 2: ("PARTIAL_SUCCESS", "bad; no service")}
+    codes = spark.createDataFrame([("INTERNAL",), ("INVALID_ARGUMENT",)], "c string").select(documents.collector_code(F.col("c"))).collect()
+    assert [c[0] for c in codes] == ["UNAVAILABLE", "INVALID_ARGUMENT"]
+
+
+def test_counters_are_observed_on_the_way(spark):
+    lines = spark.createDataFrame([("a", "OCR"), ("bé", "DIGITAL_PDF")], "text string, origin string")
+    seen, counters = metrics.observed(lines)
+    assert seen.count() == 2 and counters.get == {"lines": 2, "digital": 1, "recognised": 1, "code_points": 3}
+
+
+def test_scalar_fields(spark):
+    df = spark.createDataFrame([({"a": "1", "b": '"x"', "c": "[1]", "d": "1.5", "e": "true", "f": "null", "g": "{}"},)], "m map<string,string>")
+    assert set(df.select(content.scalar_fields(F.col("m"))).first()[0]) == {"a", "b", "d", "e"}
