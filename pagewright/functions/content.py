@@ -117,7 +117,8 @@ def fnv1a(content: Column) -> Column:
         mixed = h - low.cast("decimal(38,0)") + low.bitwiseXOR(octet(i)).cast("decimal(38,0)")
         return (mixed.cast("decimal(38,0)") * big(FNV_PRIME)).cast("decimal(38,0)") % big(2**64)
 
-    return F.aggregate(at, F.lit(str(FNV_OFFSET)).cast("decimal(38,0)"), lambda h, i: step(h, i).cast("decimal(38,0)")).cast("decimal(20,0)")
+    hashed = F.aggregate(at, F.lit(str(FNV_OFFSET)).cast("decimal(38,0)"), lambda h, i: step(h, i).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return F.when(content.isNotNull(), hashed)
 
 
 def fnv1a_bulk(content: Column) -> Column:
