@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import Box
-from pagewright.operators.binding import cell_texts, nearest_column, ordered_text
+from pagewright.functions.geometry import Box, half, union_box
+from pagewright.operators.binding import cell_texts, ordered_text
 
 TABLE = ["doc_id", "page_no", "region_idx"]
 GRID_LIMIT = 4096
@@ -28,35 +28,46 @@ def row_bands(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return marked.withColumn("band", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
-def gutters(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, gutter): half the upper median of the line heights, 2 at least."""
-    keys = keys or TABLE
-    heights = F.sort_array(F.collect_list((F.col("bottom") - F.col("top")).cast("bigint")))
-    return lines.groupBy(*keys).agg(heights.alias("h")).select(*keys, F.greatest(F.lit(2).cast("bigint"), F.expr("h[size(h) div 2] div 2")).alias("gutter"))
+def _columned(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines`` with ``gutter`` and ``island``, the number of the column span that a line is part of."""
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("left", "right", "line_idx")
+    heights = F.sort_array(F.collect_list((F.col("bottom") - F.col("top")).cast("bigint")).over(whole))
+    wide = lines.withColumn("__h", heights).withColumn("gutter", F.greatest(F.lit(2).cast("bigint"), F.expr("__h[size(__h) div 2] div 2"))).drop("__h")
+    new = F.coalesce(F.col("left") > F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("gutter"), F.lit(False))
+    return wide.withColumn("__new", new.cast("int")).withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
 def column_spans(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, col, span_start, span_end): line spans merged while they lie within the gutter of one another."""
     keys = keys or TABLE
-    order = Window.partitionBy(*keys).orderBy("left", "right", "line_idx")
-    wide = lines.join(gutters(lines, keys), keys)
-    new = F.coalesce(F.col("left") > F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1)) + F.col("gutter"), F.lit(False))
-    marked = wide.withColumn("__new", new.cast("int"))
-    numbered = marked.withColumn("col", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(*keys, "col").agg(F.min("left").alias("span_start"), F.max("right").alias("span_end"))
+    return _columned(lines, keys).groupBy(*keys, F.col("island").alias("col")).agg(F.min("left").alias("span_start"), F.max("right").alias("span_end"))
 
 
 def geometry_grid(lines: DataFrame) -> DataFrame:
     """Dense grid (TABLE, row, col, text, left, top, right, bottom) from the lines of table regions.
 
     A cell joins its lines by top, left; blanks have an empty text and no box.
+    All windows and aggregates share the table's keys, so the lines move once: a
+    table's spans and cells are small arrays beside its rows, not joins.
     """
-    lines = lines.filter("text <> ''")
-    placed = nearest_column(row_bands(lines), column_spans(lines), TABLE, ["line_idx"])
-    cells = placed.groupBy(*TABLE, F.col("band").alias("row"), "col").agg(ordered_text(["top", "left", "line_idx"]).alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
-    size = placed.groupBy(*TABLE).agg((F.max("band") + 1).alias("rows"))
-    size = size.join(column_spans(lines).groupBy(*TABLE).agg((F.max("col") + 1).alias("cols")), TABLE)
-    return _dense(size).join(cells, [*TABLE, "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    whole = Window.partitionBy(*TABLE)
+    rows = row_bands(_columned(lines.filter("text <> ''"), TABLE))
+    span = F.struct(F.col("island").alias("col"), F.min("left").over(whole.partitionBy(*TABLE, "island")).cast("bigint").alias("start"), F.max("right").over(whole.partitionBy(*TABLE, "island")).cast("bigint").alias("end"))
+    rows = rows.withColumn("__span", span).withColumn("__spans", F.collect_set("__span").over(whole))
+    box = Box.named()
+
+    def rank(s):
+        shared = F.least(box.right, s["end"]) - F.greatest(box.left, s["start"])
+        apart = F.abs(box.centre_x - half(s["start"] + s["end"]))
+        return F.struct(F.when(shared > 0, shared).otherwise(-apart).alias("score"), (-s["col"]).alias("minus"))
+
+    rows = rows.withColumn("__col", -F.array_max(F.transform("__spans", rank))["minus"])
+    place = F.struct(F.col("band").alias("row"), F.col("__col").alias("col"))
+    cells = rows.groupBy(*TABLE, place.alias("place"), F.size("__spans").alias("cols")).agg(F.struct(ordered_text(["top", "left", "line_idx"]).alias("text"), *union_box()).alias("cell"))
+    grids = cells.groupBy(*TABLE, "cols").agg((F.max("place.row") + 1).alias("rows"), F.map_from_entries(F.collect_list(F.struct("place", "cell"))).alias("cells"))
+    dense = grids.select(*TABLE, "cols", "cells", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).select(*TABLE, "cells", "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
+    cell = F.try_element_at("cells", F.struct(F.col("row"), F.col("col")))
+    return dense.select(*TABLE, "row", "col", cell.alias("c")).select(*TABLE, "row", "col", F.coalesce("c.text", F.lit("")).alias("text"), "c.left", "c.top", "c.right", "c.bottom")
 
 
 def _dense(size: DataFrame) -> DataFrame:
