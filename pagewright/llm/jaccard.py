@@ -1,0 +1,218 @@
+"""Near copies by an exact similarity join on shingle sets.
+
+Two texts are linked if their sets of word shingles have a Jaccard similarity of
+``NUM / DEN`` at least.  No link is missed and every link is verified on the
+whole sets; what follows only saves work:
+
+* texts with equal sets are one set;
+* prefix: in one order of all shingles, linked sets share one of the first
+  n - ceil(n * NUM / DEN) + 1 shingles of each, so only those are shuffled.
+  Shingles that are frequent in a sample come last in the order;
+* length and position: sets too unlike in size, or with too little left after
+  the shared shingle, are no candidates;
+* sketch: bit i of a set's 64-bit sketch is the parity of its shingles with
+  hash i modulo 64, so sketches differ in no more bits than the sets do in
+  shingles; candidates left are tried on sketches of four bits a shingle;
+* buckets over ``SMALL`` sets first give stars alone; then their pairs that are
+  not yet in one component, dealt into chunks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from pagewright.llm.common import map_batches, saved, space_words, texts_of
+from pagewright.llm.components import connected_components
+from pagewright.llm.simhash import BUCKET_ROWS, SEED, classes_of, deal, shingle_digests
+
+NUM, DEN = 4, 5
+SMALL = 64
+#: Frequent shingles are learned from about so many texts; at most so many are ordered by their count.
+SAMPLE, FREQUENT = 5_000, 200_000
+
+
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Ascending 64-bit hashes of the text's shingles, each once; a text of fewer words is one shingle."""
+    w = space_words(text) if text else ()
+    return np.unique(np.frombuffer(shingle_digests(w, words), dtype=">u8").astype(np.uint64)) if w else np.empty(0, np.uint64)
+
+
+def _name(s: np.ndarray) -> int:
+    x = xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
+    return x - (1 << 64) if x >> 63 else x
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets reach the similarity."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return (NUM + DEN) * shared >= NUM * (len(a) + len(b))
+
+
+def _sketch(s: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Words of a sketch; ``bits`` is a power of two."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded."""
+    a, b = sorted((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _frequent(docs: DataFrame, words: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, counts) of those seen in three sampled texts or more."""
+    spread, n = 1 << 30, max(1, docs.count())
+    some = docs.filter(F.pmod(F.xxhash64(*docs.columns), F.lit(spread)) < F.lit(min(spread, spread * sample // n)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in texts_of(batch.column(0))]
+        gram, count = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "n"])
+
+    counts = map_batches(some.select("text"), run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 2")
+    table = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
+def _pairs(small, key, fp, n, pos, sketch, comp=None):
+    """Candidate pairs (a, b) of runs of equal ``key``, in which ``n`` ascends, and the keys with more to pair.
+
+    Without ``comp`` a run of over ``small`` rows gives stars and its key; with it, all pairs between components.
+    """
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.r_[starts, len(key)])
+    first, length = np.repeat(starts, size), np.repeat(size, size)
+    large = length > small if comp is None else np.zeros(len(key), dtype=bool)
+    end = first + length
+    found = []
+
+    def test(x, y):
+        need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
+        good = (fp[x] != fp[y]) & (DEN * n[x] >= NUM * n[y]) & (1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
+        good &= np.bitwise_count((sketch[x] ^ sketch[y]).view(np.uint64)) <= n[x] + n[y] - 2 * need
+        if comp is not None:
+            good &= comp[x] != comp[y]
+        if good.any():
+            found.append(np.stack([np.minimum(fp[x[good]], fp[y[good]]), np.maximum(fp[x[good]], fp[y[good]])], axis=1))
+
+    at, d = np.flatnonzero(~large & (length > 1)), 1
+    while len(at):
+        at = at[at + d < end[at]]
+        at = at[DEN * n[at] >= NUM * n[at + d]]  # sizes ascend: no later row is near enough either
+        test(at, at + d)
+        d += 1
+        if len(found) > 256:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+    at = np.flatnonzero(large & (first != np.arange(len(key))))
+    test(first[at], at)
+    test(at - 1, at)
+    out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return out, key[starts[size > small]] if comp is None else key[:0]
+
+
+def _candidates(rows: DataFrame, comp: bool, small: int) -> DataFrame:
+    """(a, b) for candidates, (key, null) for keys with more to pair."""
+    names = ["key", "fp", "n", "pos", "sketch", *(["comp"] if comp else [])]
+
+    def batch_of(out, more):
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[out[:, 0], more]), pa.array([*out[:, 1].tolist(), *[None] * len(more)], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * len(names)
+        for b in batches:
+            held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last run may go on
+            if cut:
+                yield batch_of(*_pairs(small, *(h[:cut] for h in held)))
+                held = [h[cut:] for h in held]
+        yield batch_of(*_pairs(small, *held))
+
+    return rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key", "n").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        keep = [_apart(a, b) <= c - 2 * -(-NUM * c // (NUM + DEN)) for c, a, b in zip(n, x, y, strict=True)]
+        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    half = pairs.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("c"), F.col("bits").alias("x")), "a")
+    both = half.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("d"), F.col("bits").alias("y")), "b")
+    pairs = saved(map_batches(both.select("a", "b", F.col("c") + F.col("d"), "x", "y"), near, "a bigint, b bigint"))
+    need = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("h").distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("h")).join(need, "h", "left_semi").select("text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, words) for t in texts_of(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), _lists(found)], names=["fp", "s"])
+
+    whole = saved(map_batches(texts, shingles, "fp bigint, s array<bigint>").dropDuplicates(["fp"]))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = ([v.values.to_numpy().view(np.uint64) for v in batch.column(i)] for i in (2, 3))
+        keep = pa.array([linked(s, t) for s, t in zip(x, y, strict=True)], pa.bool_())
+        return batch.select([0, 1]).filter(keep)
+
+    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    return saved(map_batches(both.select("a", "b", "x", "y"), run, "a bigint, b bigint"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", words: int = 5, sample: int = SAMPLE, small: int = SMALL, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id_col, fp, component_id): the class of every row of ``docs``.
+
+    ``fp`` names the row's shingle set; ``component_id`` is the least id among
+    all rows linked with this one, directly or through others.  Null, empty and
+    wordless texts have the empty set and are one class; repeated rows stay
+    repeated; an empty table gives an empty result.
+    """
+    docs = docs.select(id_col, "text")
+    gram, count = _frequent(docs, words, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((gram, count))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gram, count = shared.value
+        fps, sizes, sketches, bits, prefixes = [], [], [], [], []
+        for t in texts_of(batch.column(1)):
+            s = shingle_set(t, words)
+            fps.append(_name(s)), sizes.append(len(s)), sketches.append(int(_sketch(s)[0])), bits.append(_sketch(s, max(64, 1 << (4 * len(s)).bit_length())).tobytes())
+            rank = np.zeros(len(s), dtype=np.int64)
+            if len(gram):
+                at = np.minimum(np.searchsorted(gram, s), len(gram) - 1)
+                rank = np.where(gram[at] == s, count[at], 0)
+            upto = len(s) + NUM * len(s) // -DEN + 1 if len(s) else 0
+            prefixes.append(s[np.argsort(rank, kind="stable")[:upto]])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.int64()), pa.array(bits, pa.binary()), _lists(prefixes)],
+            names=[id_col, "h", "fp", "n", "sketch", "bits", "prefix"],
+        )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    full = saved(map_batches(docs.withColumn("h", F.xxhash64("text")), run, f"`{id_col}` {kind}, h bigint, fp bigint, n bigint, sketch bigint, bits binary, prefix array<bigint>"))
+    each = full.select(id_col, "fp")
+    # rows of one set have one prefix; the first text of each stands for it
+    sets = saved(full.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    rows = sets.select("fp", "n", "sketch", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos").cast("bigint"))
+    found = saved(_candidates(rows, False, small))
+    links = _verified(found.filter("b is not null"), docs, sets, words)
+    more = found.filter("b is null").select(F.col("a").alias("key"))
+    if not more.isEmpty():
+        roots = connected_components(links).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
+        rest = rows.join(more, "key", "left_semi").join(roots, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        links = links.unionByName(_verified(saved(_candidates(deal(rest, bucket_rows), True, small)), docs, sets, words))
+    return classes_of(each, sets.select("fp", "least"), links, id_col)

@@ -37,16 +37,19 @@ SALTS = 64
 BROADCAST_KEYS = 50_000
 
 
+def shingle_digests(w: list[bytes], words: int) -> bytes:
+    """Eight bytes for each shingle; fewer words than a shingle has are one."""
+    if len(w) <= words:
+        return xxh64_digest(b" ".join(w), SEED)
+    return b"".join(map(xxh64_digest, map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)), repeat(SEED)))
+
+
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """Signed 64-bit fingerprint of a text; 0 if it has no word."""
     w = space_words(text) if text else ()
     if not w:
         return 0
-    if len(w) <= words:
-        digests = xxh64_digest(b" ".join(w), SEED)
-    else:
-        digests = b"".join(map(xxh64_digest, map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)), repeat(SEED)))
-    rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
+    rows = np.frombuffer(shingle_digests(w, words), dtype=np.uint8).reshape(-1, 8)
     n, ones = len(rows), np.zeros(64, dtype=np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(rows[at : at + 65536], axis=1).sum(axis=0, dtype=np.uint32)
@@ -191,11 +194,8 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices: int | None = None) -> DataFrame:
-    """(a, b): links that join the distinct fingerprints of ``fps`` as all links would."""
-    slices = slices or slices_for(fps.count(), radius)
-    tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(radius, slices))]
-    rows = fps.select("fp", F.explode(F.array(*tables)).alias("key"))
+def deal(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (fp, key, ...) with the keys of larger buckets replaced by those of pairs of chunks, so that each two rows of a bucket still meet."""
     # buckets over the bound are few, mostly none; their rows go to every pair of chunks that holds their own
     hot = saved(rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
     n_hot = hot.limit(BROADCAST_KEYS + 1).count()
@@ -203,7 +203,16 @@ def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices
         own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
         marked = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
-        rows = marked.select("fp", F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+        rows = marked.select(*(c for c in rows.columns if c != "key"), F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+    return rows
+
+
+def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices: int | None = None) -> DataFrame:
+    """(a, b): links that join the distinct fingerprints of ``fps`` as all links would."""
+    slices = slices or slices_for(fps.count(), radius)
+    tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(radius, slices))]
+    rows = fps.select("fp", F.explode(F.array(*tables)).alias("key"))
+    rows = deal(rows, bucket_rows)
 
     def run(batches):
         keys, vals = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -238,7 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = 3, rad
     """
     each = saved(fingerprints(docs, id_col, words))
     least = saved(each.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(link(least.select("fp"), radius, bucket_rows))
+    return classes_of(each, least, link(least.select("fp"), radius, bucket_rows), id_col)
+
+
+def classes_of(each: DataFrame, least: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fp, component_id) of ``each`` (id_col, fp), by the least ids (fp, least) and the links (a, b) of fingerprints."""
+    roots = connected_components(links)
     # a class may hold very many fingerprints: its rows meet their least id in SALTS parts
     linked = saved(least.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root", F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(SALTS)).cast("int").alias("salt")))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
