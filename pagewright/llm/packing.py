@@ -6,12 +6,12 @@ histogram of all lengths chooses the bounds that waste least:
     best[b][j] = min over i < j of best[b - 1][i] + sum of (length_j - length_t)
                  over the texts t with lengths from i + 1 to j
 
-with prefix sums, in O(buckets * lengths^2) vector work.  A bucket's batches
-hold as many texts as fit the token budget at its bound, one at least.
+with prefix sums.  The sum is a Monge cost, so the best i never falls as j grows
+and halving the range of j finds all in O(buckets * lengths * log lengths).  A
+bucket's batches hold as many texts as fit the token budget at its bound, one at
+least.
 
-The histogram is one small aggregate.  Beyond ``GRID`` different lengths it is
-rounded up to multiples, so the table stays bounded; bounds are then optimal on
-that grid.  Batches form within shards of a bucket, dealt by a hash of the id, so
+The histogram is one small aggregate, used whole.  Batches form within shards of a bucket, dealt by a hash of the id, so
 a bucket with most of the texts is many tasks; each shard leaves one batch that
 may be short.
 """
@@ -26,7 +26,6 @@ from pagewright.llm.common import saved
 
 BUCKETS = 16
 TOKENS = 16_384
-GRID = 4096
 SHARD = 4096
 
 
@@ -40,18 +39,27 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKE
     n = len(lengths)
     if n == 0:
         return []
-    c = np.r_[0, np.cumsum(counts, dtype=np.float64)]
-    s = np.r_[0, np.cumsum(counts.astype(np.float64) * lengths)]
-    length = lengths.astype(np.float64)
+    length = lengths.astype(np.int64)
+    c = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    s = np.r_[0, np.cumsum(counts.astype(np.int64) * length)]
     best = length * c[1:] - s[1:]  # one bucket
     back = []
     for _ in range(1, min(buckets, n)):
-        new, at = np.empty(n), np.zeros(n, dtype=np.int64)
-        new[0] = 0.0
-        for j in range(1, n):
-            cost = best[:j] + length[j] * (c[j + 1] - c[1 : j + 1]) - (s[j + 1] - s[1 : j + 1])
-            k = int(cost.argmin())
-            new[j], at[j] = (cost[k], k + 1) if cost[k] < best[j] else (best[j], -1)
+        new, at = best.copy(), np.full(n, -1, dtype=np.int64)
+        at[0] = 0
+        part = best - c[1:] * length[0] + s[1:]  # the cost of i is part[i] - c[i + 1] * (length[j] - length[0]), and terms of j alone
+        ranges = [(1, n, 0, n - 1)]  # rows from, to, least and largest i
+        while ranges:
+            first, last, low, high = ranges.pop()
+            if first >= last:
+                continue
+            j = (first + last) // 2
+            upto = min(high + 1, j)
+            k = low + int((part[low:upto] - c[low + 1 : upto + 1] * (length[j] - length[0])).argmin())
+            cost = best[k] + length[j] * (c[j + 1] - c[k + 1]) - (s[j + 1] - s[k + 1])
+            if cost < best[j]:
+                new[j], at[j] = cost, k + 1
+            ranges += [(first, j, low, k), (j + 1, last, k, high)]
         back.append(at)
         best = new
     bounds, j = [int(lengths[-1])], n - 1
@@ -68,18 +76,17 @@ def padding(lengths: np.ndarray, counts: np.ndarray, bounds: list[int]) -> int:
     return int(((upper - lengths) * counts).sum())
 
 
-def _grid(table: DataFrame, grid: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, counts) of at most 2 * ``grid`` entries."""
+def _histogram(table: DataFrame, grid: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts); of at most 2 * ``grid`` entries, rounded up, where a grid is asked for."""
     hist = table.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
-    kinds, most = hist.agg(F.count(F.lit(1)), F.max("n_tokens")).first()
-    if kinds > grid:
-        step = -(-most // grid)
+    if grid is not None:
+        step = max(1, -(-(hist.agg(F.max("n_tokens")).first()[0] or 0) // grid))
         hist = hist.groupBy((F.ceil(F.col("n_tokens") / step) * step).cast("bigint").alias("n_tokens")).agg(F.sum("n").alias("n"))
     rows = sorted((r.n_tokens, r.n) for r in hist.collect())
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, tokens: int = TOKENS, grid: int = GRID, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, tokens: int = TOKENS, grid: int | None = None, shard: int = SHARD) -> DataFrame:
     """(id_col, n_tokens, bucket, bucket_tokens, batch_id, batch_docs) for every row.
 
     ``bucket_tokens`` is the length that the row is padded to; a batch holds
@@ -89,7 +96,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, tokens
     other columns are ignored; an empty table gives an empty result.
     """
     table = saved(docs.select(F.col(id_col), n_tokens().alias("n_tokens")))
-    lengths, counts = _grid(table, grid)
+    lengths, counts = _histogram(table, grid)
     bounds = optimal_bounds(lengths, counts, buckets)
     per = np.bincount(np.searchsorted(bounds, lengths), weights=counts, minlength=len(bounds)).astype(int) if bounds else []
     # one row a bucket: bound, texts a batch, shards
