@@ -263,9 +263,9 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_run: int = WINDOW - 1, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with the benchmark's passages removed; same columns.
 
-    Hit runs longer than ``max_run`` words are cut out of the text.  A document
-    of which such runs are more than ``max_coverage`` of the words is removed.
-    Short items that stand alone are under the limit and stay.
+    A document of which hit words, those of short items too, are more than
+    ``max_coverage`` is removed.  In the others, hit runs longer than ``max_run``
+    words are cut out of the text; short items that stand alone stay.
     ``n_chars``, if there, is counted anew for changed texts.  Null and empty
     texts stay as they are.
     """
@@ -278,7 +278,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         keep, changed = [], {}
         for i, (words, runs, _) in enumerate(scan(list(texts))):
             long = [(s, e) for s, e in runs if e - s > max_run]
-            keep.append(sum(e - s for s, e in long) <= max_coverage * words)
+            keep.append(sum(e - s for s, e in runs) <= max_coverage * words)
             if keep[-1] and long:
                 changed[i] = cut(texts[i], long)
         if changed:
