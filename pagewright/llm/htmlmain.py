@@ -35,6 +35,8 @@ from pagewright.llm.urlfilter import split_url
 
 GAMMA = 0.9
 LOW = 0.3
+#: In a page with an article or main element, the bound of importance is so many times lower inside it and higher outside.
+EVIDENCE = 2.0
 MIN_PAGES = 3
 #: Low nodes travel with the tasks up to this many, beyond they are joined to each page's own nodes.
 BROADCAST_NODES = 200_000
@@ -186,16 +188,21 @@ class Page:
             out.add((_hash(node), 3, _hash(href)))
         return out
 
-    def main_text(self, low: frozenset[int]) -> list[str]:
-        """The blocks that stay: those of article elements if there are any, else all but named and low branches.
+    def main_text(self, importance, low: float = LOW) -> list[str]:
+        """The blocks that stay: all but those of named branches and of nodes under the bound.
 
-        Where low branches are all that a page has, it is a copy of others of its host, and they stay.
+        ``importance`` maps a node's hash to its importance; a node that is not in it stays.  The bound is ``low``; an article
+        or main element with content is evidence, and moves it by ``EVIDENCE``.  Where nodes under the bound are all that a
+        page, or its element, has, it is a copy of others of its host, and the element's or else all blocks stay.
         """
         content = [b for b in self.blocks if not b[2]]
-        inside = [b[1] for b in content if b[3]]
-        if inside:
-            return inside
-        return [b[1] for b in content if _hash(b[0]) not in low] or [b[1] for b in content]
+        inside = [b for b in content if b[3]]
+        known = dict(importance)
+        if not known:
+            return [b[1] for b in content]
+        bound = {True: low / EVIDENCE, False: low * EVIDENCE} if inside else {False: low}
+        kept = [b[1] for b in content if known.get(_hash(b[0]), 1.0) >= bound[b[3]]]
+        return kept or [b[1] for b in inside or content]
 
 
 def _host(url: str | None) -> str:
@@ -244,7 +251,7 @@ def _low_of_pages(rows: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
 
     page_kind = keyed.schema["__page"].dataType.simpleString()
     own = map_batches(keyed.select("__page", F.col("__host").alias("host"), "html"), run, f"__page {page_kind}, host string, node bigint")
-    low = own.join(nodes, ["host", "node"]).groupBy("__page").agg(F.collect_set("node").alias("low"))
+    low = own.join(nodes, ["host", "node"]).groupBy("__page").agg(F.collect_list(F.struct("node", "importance")).alias("low"))
     return keyed.join(low, "__page", "left").select(id_col, "url", "html", "low")
 
 
@@ -254,23 +261,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", low: float = LOW, min_p
     Null, empty and markup-only pages have an empty text.  A null URL counts as
     the empty host.  Repeated rows stay repeated; other columns are ignored; an
     empty table gives an empty result.  In a page with an article or main
-    element, the text is what that holds, but for named branches; in any other
-    page, named branches and nodes with importance under ``low``, seen on
-    ``min_pages`` pages of the host at least, are removed.
+    element, the bound is ``low`` / ``EVIDENCE`` inside it and ``low`` * ``EVIDENCE``
+    outside, in any other page ``low``.  Named branches and nodes with importance
+    under the bound, seen on ``min_pages`` pages of the host at least, are removed.
     """
-    nodes = saved(style_tree(pages).filter((F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "node"))
+    nodes = saved(style_tree(pages).filter((F.col("importance") < low * EVIDENCE) & (F.col("pages") >= min_pages)).select("host", "node", "importance"))
     source, table = pages.select(id_col, "url", "html"), None
     if nodes.limit(broadcast_nodes + 1).count() <= broadcast_nodes:
         table = {}
         for r in nodes.toLocalIterator():
-            table.setdefault(r.host, set()).add(r.node)
+            table.setdefault(r.host, {})[r.node] = r.importance
     else:
         source = _low_of_pages(source, nodes, id_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        lows = [frozenset(x or ()) for x in batch.column(3).to_pylist()] if table is None else [table.get(_host(u), ()) for u in urls]
-        texts = ["\n".join(Page(h).main_text(k)) if h else "" for h, k in zip(htmls, lows, strict=True)]
+        lows = [{x["node"]: x["importance"] for x in r or ()} for r in batch.column(3).to_pylist()] if table is None else [table.get(_host(u), {}) for u in urls]
+        texts = ["\n".join(Page(h).main_text(k, low)) if h else "" for h, k in zip(htmls, lows, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
