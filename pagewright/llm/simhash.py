@@ -87,18 +87,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Label of each row: the least row index that its links inside its group reach.
+def pairs_within(keys: np.ndarray, fps: np.ndarray, radius: int):
+    """Yields (rows, rows): every pair of rows of one group within ``radius`` bits, each once.
 
-    ``keys`` is sorted; a group is a run of equal keys.
+    ``keys`` is sorted; a group is a run of equal keys.  ``fps`` holds one word of 64 bits a row, or a row of several.
     """
-    n = len(fps)
-    label = np.arange(n)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    n, words = len(fps), fps.reshape(len(fps), -1)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, n])
     starts, sizes = starts[sizes > 1], sizes[sizes > 1]
     if not len(starts):
-        return label
+        return
     # groups of one are gone; the others lie in blocks of 64 lanes
     members = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
     rank = members - np.repeat(starts, sizes)
@@ -106,15 +105,16 @@ def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
     base = np.repeat(np.r_[0, np.cumsum(n_blocks)[:-1]], sizes)
     block, lane = base + rank // 64, rank % 64
     total = int(n_blocks.sum())
-    lanes = np.zeros((total, 64), dtype=np.uint64)
     row_at = np.full((total, 64), -1, dtype=np.int64)
-    lanes[block, lane] = fps[members]
     row_at[block, lane] = members
     valid = np.packbits(row_at >= 0, axis=1, bitorder="little").view(np.uint64).ravel()
-    planes = np.empty((64, total), dtype=np.uint64)
-    for at in range(0, total, 512):
-        bits = np.unpackbits(lanes[at : at + 512].view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-        planes[:, at : at + 512] = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
+    planes = np.empty((64 * words.shape[1], total), dtype=np.uint64)
+    for k in range(words.shape[1]):
+        lanes = np.zeros((total, 64), dtype=np.uint64)
+        lanes[block, lane] = words[members, k]
+        for at in range(0, total, 512):
+            bits = np.unpackbits(lanes[at : at + 512].view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+            planes[64 * k : 64 * k + 64, at : at + 512] = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
     # one item: a row against a block of its group, from its own block on
     per = np.repeat(n_blocks, sizes) - rank // 64
     ends = np.cumsum(per)
@@ -124,9 +124,16 @@ def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
         cnt = per[first:last]
         who = np.repeat(np.arange(first, last), cnt)
         at = block[who] + np.arange(len(who)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-        a, b = _within(planes, valid, fps[members[who]], at, who, block, lane, radius)
-        _unite(label, members[a], row_at.ravel()[b])
+        a, b = _within(planes, valid, words[members[who]], at, who, block, lane, radius)
+        yield members[a], row_at.ravel()[b]
         first = last
+
+
+def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Label of each row: the least row index that its links inside its group reach."""
+    label = np.arange(len(fps))
+    for a, b in pairs_within(keys, fps, radius):
+        _unite(label, a, b)
     return label
 
 
@@ -145,11 +152,12 @@ def _within(planes, valid, fp, at, who, block, lane, radius):
         np.bitwise_or(dead, word, out=dead)
 
     def differ(i):
-        return planes[i][at] ^ (np.uint64(0) - ((fp >> np.uint64(i)) & np.uint64(1)))
+        return planes[i][at] ^ (np.uint64(0) - ((fp[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1)))
 
-    for i in range(0, 64, 3):
-        if i == 63:
-            add(differ(63), 0)
+    for i in range(0, len(planes), 3):
+        if i + 2 >= len(planes):
+            for j in range(i, len(planes)):
+                add(differ(j), 0)
         else:  # a full adder makes one word of weight 1 and one of weight 2 from three planes
             x, y, z = differ(i), differ(i + 1), differ(i + 2)
             xy = x ^ y
@@ -158,7 +166,7 @@ def _within(planes, valid, fp, at, who, block, lane, radius):
                 add((x & y) | (xy & z), 1)
             else:
                 dead |= (x & y) | (xy & z)
-        if i % 12 == 9:
+        if i % 12 == 9 and i > radius:
             live = dead != full
             if not live.all():
                 at, fp, who, dead = at[live], fp[live], who[live], dead[live]
@@ -194,46 +202,50 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def deal(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` (fp, key, ...) with the keys of larger buckets replaced by those of pairs of chunks, so that each two rows of a bucket still meet."""
+def deal(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, node: str = "fp", weight=None) -> DataFrame:
+    """``rows`` (node, key, ...) with the keys of buckets of over ``bucket_rows`` rows, or more in weight, replaced by those of pairs of chunks, so that each two rows of a bucket still meet."""
     # buckets over the bound are few, mostly none; their rows go to every pair of chunks that holds their own
-    hot = saved(rows.groupBy("key").count().filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
+    hot = saved(rows.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
     n_hot = hot.limit(BROADCAST_KEYS + 1).count()
     if n_hot:
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
+        own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks"))
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
         marked = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
         rows = marked.select(*(c for c in rows.columns if c != "key"), F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
     return rows
 
 
-def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices: int | None = None) -> DataFrame:
-    """(a, b): links that join the distinct fingerprints of ``fps`` as all links would."""
-    slices = slices or slices_for(fps.count(), radius)
-    tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(radius, slices))]
-    rows = fps.select("fp", F.explode(F.array(*tables)).alias("key"))
-    rows = deal(rows, bucket_rows)
+def star_links(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b): in each bucket of ``rows`` (key, node, word, ...), a star over every set of nodes that links within ``radius`` bits join."""
 
     def run(batches):
-        keys, vals = np.empty(0, np.int64), np.empty(0, np.uint64)
+        kept: list[np.ndarray] = []
 
-        def stars(k, v):
-            lab = link_groups(k, v, radius)
-            to = v[lab]
-            moved = to != v
+        def stars(key, node, *words):
+            label = link_groups(key, np.stack(words, axis=1).view(np.uint64), radius)
+            moved = node[label] != node
             if moved.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[moved].view(np.int64)), pa.array(to[moved].view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label][moved])], names=["a", "b"])
 
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            vals = np.concatenate([vals, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on
-            yield from stars(keys[:cut], vals[:cut])
-            keys, vals = keys[cut:], vals[cut:]
-        yield from stars(keys, vals)
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)] if kept else new
+            cut = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0  # the last bucket may go on
+            if cut:
+                yield from stars(*(x[:cut] for x in kept))
+                kept = [x[cut:] for x in kept]
+        if kept:
+            yield from stars(*kept)
+
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
 
-    grouped = rows.select("key", "fp").repartition(F.col("key")).sortWithinPartitions("key")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+def link(fps: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS, slices: int | None = None) -> DataFrame:
+    """(a, b): links that join the distinct fingerprints of ``fps`` as all links would."""
+    slices = slices or slices_for(fps.count(), radius)
+    tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(_masks(radius, slices))]
+    rows = deal(fps.select("fp", F.explode(F.array(*tables)).alias("key")), bucket_rows)
+    return star_links(rows.select("key", "fp", F.col("fp").alias("word")), radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -252,22 +264,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", words: int = 3, rad
 
 def classes_of(each: DataFrame, least: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
     """(id_col, fp, component_id) of ``each`` (id_col, fp), by the least ids (fp, least) and the links (a, b) of fingerprints."""
+    return each.join(settled(least, links), "fp").select(id_col, "fp", F.col("component").alias("component_id"))
+
+
+def settled(least: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component): the least of the values ``least`` (fp, least) in each fingerprint's class."""
     roots = connected_components(links)
     # a class may hold very many fingerprints: its rows meet their least id in SALTS parts
     linked = saved(least.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root", F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(SALTS)).cast("int").alias("salt")))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = linked.join(smallest, ["root", "salt"]).select("fp", "component_id")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component")).select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = linked.join(smallest, ["root", "salt"]).select("fp", "component")
     # fingerprints without a link are their own class
-    classes = least.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id")).unionByName(joined)
-    return each.join(classes, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each class, that of the least id; of rows with one id, one stays.
-
-    A row without id cannot be told apart from others of its class and stays.
-    The join brings rows of one id together, so dropping repeats moves nothing.
-    """
-    chosen = classes.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(chosen, id_col).dropDuplicates([id_col]).select(*docs.columns)
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    return least.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component")).unionByName(joined)

@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import jaccard
+from pagewright.llm import near
 
 
 def similarity(a, b):
@@ -30,8 +31,8 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("small, bucket, sample", [(64, 4096, 10_000), (2, 5, 10_000), (2, 4096, 0)])
-def test_near_copies_are_those_of_brute_force(spark, small, bucket, sample):
+@pytest.mark.parametrize("bounds", [{}, {"chunk_rows": 5}, {"compare": 8, "recall": 0.999}, {"compare": 8, "recall": 0.999, "bucket_rows": 5}])
+def test_near_copies_are_those_of_brute_force(spark, bounds):
     rng = random.Random(7)
     texts = []
     for _ in range(8):
@@ -41,10 +42,49 @@ def test_near_copies_are_those_of_brute_force(spark, small, bucket, sample):
     texts += [notice + " " + " ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(12)] + ["", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     lower = [t.lower() for t in texts]
-    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs, sample=sample, small=small, bucket_rows=bucket).collect()}
+    got = {r.doc_id: r.component_id for r in near.near_copies(docs, **bounds).collect()}
     assert [got[i] for i in range(len(texts))] == classes(lower)
 
 
+def test_recall_of_pairs_at_the_bound():
+    """Pairs of similarity just over 0.8, alone: found by radius and tables as often as the parameters say."""
+    rng, found, n = np.random.default_rng(3), 0, 400
+    bits, tables = near.tables_for(1_000_000)
+    spread = random.Random(1)
+    masks = [np.array([spread.sample(range(near.BITS), bits) for _ in range(tables)])]
+    for _ in range(n):
+        base = rng.integers(0, 2**63, 360, dtype=np.int64).astype(np.uint64)
+        a, b = np.unique(base[:320]), np.unique(np.r_[base[:285], base[320:355]])
+        assert near.linked(a, b)
+        x, y = (np.unpackbits(near.set_fingerprint(s).view(np.uint8)) for s in (a, b))
+        same = x == y
+        found += (~same).sum() <= near.RADIUS and same[masks[0]].all(axis=1).any()
+    assert found >= 0.96 * n
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)) for n in (3, 16, 17, 20, 300)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 2**63, 2, dtype=np.int64).astype(np.uint64)]) for s in sets]
+    sketches = near.Sketches(sets)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))]
+    a, b = (np.array([p[k] for p in pairs]) for k in (0, 1))
+    apart = sketches.apart(a, b)
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(apart, a, b, strict=True))
+
+
+def test_keep_one_and_its_cases(spark):
+    kind = "doc_id bigint, text string, lang string, __row int"
+    rows = [(7, "a b c", "x", 1), (7, "a b c", "x", 1), (7, "quite another text", "y", 2), (None, "A b  c", "z", 3), (None, "no id at all", "z", 4), (None, "no id at all", "z", 4), (9, None, None, None), (8, "", "u", 5), (3, " ", "u", 6)]
+    docs = spark.createDataFrame(rows, kind).withColumnRenamed("__row", "row")
+    kept = near.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "no id at all"), (3, " "), (7, "a b c"), (7, "quite another text")]
+    got = [(r.doc_id, r.component_id) for r in near.near_copies(docs).collect()]
+    assert len(got) == len(rows) and sorted(c for d, c in got if d == 9) == [3] and sorted(c or -1 for d, c in got if d is None) == [-1, -1, 7]
+    assert near.near_copies(docs.limit(0)).collect() == [] and near.keep_one(docs.limit(0)).collect() == []
+
+
 def test_stage_keeps_one_of_near_copies_and_all_others(spark):
     rng = random.Random(11)
     texts = []
