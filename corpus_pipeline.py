@@ -7,7 +7,8 @@ read again for the next.  All but the last return the columns of ``documents``.
 1. language: drops documents without text or letters and those in no learned
    language; fills null languages.
 2. near_duplicates: keeps one document, the least id, of every class of texts
-   linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
+   linked by a Jaccard similarity of 0.8 or more of their five-word shingles;
+   bit-sliced SimHash finds the links, the shingle sets verify them.
 3. decontamination: cuts passages of the benchmark out of the texts; drops
    documents that are benchmark text for more than half.
 4. personal_data: masks personal data and secrets in the texts.
@@ -22,7 +23,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontam, jaccard, langid, packing, pii, simhash
+from pagewright.llm import decontam, langid, near, packing, pii
 from pagewright.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(*COLUMNS)
-    return simhash.keep_one(rows, jaccard.near_copies(rows, words=SHINGLE))
+    return near.keep_one(docs.select(*COLUMNS), words=SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
