@@ -12,8 +12,15 @@ c_i pages of content i out of l,
     importance              = (1 - GAMMA) * presentation + GAMMA * content
 
 and 1 where m is 1.  A node of low importance says the same on every page.
-Branches whose element or class names them as no content (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) have importance 0.
+
+What elements and classes say of themselves is a prior by which a block's
+importance is multiplied.  Elements that are defined as no content (``nav``,
+``footer``, forms, ...) weigh 0.  A class, id or role all of whose words name
+something else than content, and at least one of them a menu, advert, comments
+or the like, weighs ``NAMED`` for each element around the block; that is
+relative to the page's best block, so a whole page inside such an element loses
+nothing, and ``right-sidebar`` or ``search-results`` weigh nothing.  An article or
+main element moves the bound.
 
 Counts are partial aggregates by (host, node, content), so a host with a third
 of all pages is no single task; only the low nodes of each host come back to the
@@ -60,36 +67,72 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 NO_CONTENT = frozenset("nav footer aside form head menu dialog button search title".split())
+#: Weight of a class that names no content.
+NAMED = 0.2
 NO_CONTENT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside footer header masthead topbar toolbar cookie cookies notice notification consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments disqus reply replies respond widget copyright disclaimer skip form navigation complementary contentinfo".split()
 )
+#: Words that may stand beside those of ``NO_CONTENT_NAMES`` in one class without saying anything else.
+NEUTRAL_NAMES = frozenset("site page main global top bottom box block section area container wrapper wrap inner body list item bar buttons links text area post article".split())
 MAIN = frozenset("article main".split())
 MAIN_NAMES = frozenset("articlebody main".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 
 
-def _hash(s: str) -> int:
-    h = xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
+def _hash(s: str, parent: int = 0) -> int:
+    h = xxh64_intdigest(s.encode("utf-8", "surrogatepass"), parent & 0xFFFFFFFFFFFFFFFF)
     return h - (1 << 64) if h >> 63 else h
 
 
+def no_content_name(name: str) -> bool:
+    """Whether a class, id or role names a part of a page that is no content, and nothing else."""
+    words = WORD.findall(name)
+    return not NO_CONTENT_NAMES.isdisjoint(words) and all(w in NO_CONTENT_NAMES or w in NEUTRAL_NAMES for w in words)
+
+
+class _Open:
+    """The open elements, innermost last: (tag, node, prior, main), with the places of every tag and of the blocks."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, float, bool]] = [("", 0, 1.0, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, node: int, prior: float, main: bool, block: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node, prior, main))
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 class Page:
-    """One page, scanned once.
+    """One page, scanned once, in time linear in its length.
 
-    ``blocks``: (node, text, named, main) in page order; ``named`` says that an
-    element or class around it marks it as no content, ``main`` that it stands
-    in an article or main element.  ``shapes``: node -> child sequence.
-    ``links``: (node, href).
+    A node is a number made of its parent's and its own step (element and
+    classes).  ``blocks``: (node, text, prior, main) in page order; ``prior`` is
+    the product of the weights around the block, ``main`` says that it stands in
+    an article or main element.  ``shapes``: node -> child sequence.  ``links``:
+    (node, href).  ``has_main``: whether there is an article or main element.
     """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.shapes: dict[str, list[str]] = {}
-        self.links: list[tuple[str, str]] = []
+        self.blocks: list[tuple[int, str, float, bool]] = []
+        self.shapes: dict[int, list[str]] = {}
+        self.links: list[tuple[int, str]] = []
         self.text: list[str] = []
-        # an open element: tag, node, named, main
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.has_main = False
+        self.open = _Open()
         at, n = 0, len(html)
         while at < n:
             m = TOKEN.search(html, at)
@@ -118,91 +161,90 @@ class Page:
             text = SPACE.sub(" ", unescape("".join(self.text))).strip()
             self.text.clear()
             if text:
-                _, node, named, main = self.open[-1]
-                self.blocks.append((node, text, named, main))
+                _, node, prior, main = self.open.stack[-1]
+                self.blocks.append((node, text, prior, main))
 
-    def _close(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                self._flush()
-                del self.open[i:]
-                return
-            if self.open[i][0] in stop:
-                return
+    def _close(self, tags, stop) -> None:
+        place = self.open.last(tags)
+        if place > self.open.last(stop):
+            self._flush()
+            self.open.cut(place)
 
     def _start(self, tag: str, rest: str) -> None:
         block = tag in BLOCK
         if block:
             self._flush()
-            self._close({"p"}, {"button", "td", "th", "table", "object"})
+            self._close(("p",), ("button", "td", "th", "table", "object"))
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
         elif tag == "br":
             self.text.append(" ")
-        _, node, named, main = self.open[-1]
+        _, node, prior, main = self.open.stack[-1]
         names: list[str] = []
         if rest and not rest.isspace():
             got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
             if tag == "a" and "href" in got:
                 self.links.append((node, got["href"]))
-            names = WORD.findall(" ".join(got[k] for k in ("class", "id", "role", "itemprop") if k in got).lower())
+            names = " ".join(got[k] for k in ("class", "id", "role", "itemprop") if k in got).lower().split()
         if tag in VOID:
             return
         if block:
-            step = tag + "".join(f".{w}" for w in names[:4])
+            # numbers in a name tell pages apart, not places of the template
+            step = tag + "".join(sorted({f".{w}" for name in names for w in WORD.findall(name)}))
             self.shapes.setdefault(node, []).append(step)
-            node = f"{node}/{step}"
+            node = _hash(step, node)
             self.shapes.setdefault(node, [])
-        if tag in MAIN or not MAIN_NAMES.isdisjoint(names):
-            main = True
+        if tag in MAIN or any(name in MAIN_NAMES for name in names):
+            main = self.has_main = True
         if tag in NO_CONTENT or (tag == "header" and not main):
-            named = True
-        elif names and tag not in ("html", "body", "main") and not NO_CONTENT_NAMES.isdisjoint(names):
-            named = True
-        self.open.append((tag, node, named, main))
+            prior = 0.0
+        elif tag not in ("html", "body", "main") and any(map(no_content_name, names)):
+            prior *= NAMED
+        self.open.push(tag, node, prior, main, block)
 
     def _end(self, tag: str) -> None:
-        if tag == "p" and not any(o[0] == "p" for o in self.open):
-            self._flush()
+        place = self.open.last((tag,))
+        if not place:
+            if tag == "p":
+                self._flush()
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCK or any(o[0] in BLOCK for o in self.open[i:]):
-                    self._flush()
-                del self.open[i:]
-                return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                return  # an inline end tag closes nothing outside its block
+        inside = self.open.blocks[-1]
+        if tag in BLOCK or inside == place:
+            self._flush()
+        elif inside > place:
+            return  # an inline end tag closes nothing outside its block
+        self.open.cut(place)
 
     def facts(self):
         """(node, kind, value) for the tree, each once: 0 the node, 1 its presentation, 2 a text, 3 a link."""
         out = set()
         for node, steps in self.shapes.items():
-            k = _hash(node)
             shape = [s for i, s in enumerate(steps) if not i or s != steps[i - 1]]
-            out.add((k, 0, 0))
-            out.add((k, 1, _hash(" ".join(shape))))
+            out.add((node, 0, 0))
+            out.add((node, 1, _hash(" ".join(shape))))
         for node, text, _, _ in self.blocks:
-            out.add((_hash(node), 2, _hash(text)))
+            out.add((node, 2, _hash(text)))
         for node, href in self.links:
-            out.add((_hash(node), 3, _hash(href)))
+            out.add((node, 3, _hash(href)))
         return out
 
     def main_text(self, importance, low: float = LOW) -> list[str]:
-        """The blocks that stay: all but those of named branches and of nodes under the bound.
+        """The blocks whose importance, times their prior, reaches the bound.
 
-        ``importance`` maps a node's hash to its importance; a node that is not in it stays.  The bound is ``low``; an article
-        or main element with content is evidence, and moves it by ``EVIDENCE``.  Where nodes under the bound are all that a
-        page, or its element, has, it is a copy of others of its host, and the element's or else all blocks stay.
+        ``importance`` maps a node to its importance; a node that is not in it has 1.  The prior counts relative to that of the
+        page's best block, or to the best one inside where an article or main element has blocks; outside of such an element it
+        counts as it is.  The bound is ``low``; an article or main element with blocks is evidence, and moves it by ``EVIDENCE``.
+        Where only the tree speaks against all that a page, or its element, has, the page is a copy of others of its host, and
+        the element's or else all blocks stay that the priors leave.
         """
-        content = [b for b in self.blocks if not b[2]]
+        content = [b for b in self.blocks if b[2]]
         inside = [b for b in content if b[3]]
-        known = dict(importance)
-        if not known:
-            return [b[1] for b in content]
+        best = max((b[2] for b in inside or content), default=1.0)
+        scale = {True: best, False: 1.0 if self.has_main else best}
+        content = [(b[0], b[1], b[2] / scale[b[3]], b[3]) for b in content]
         bound = {True: low / EVIDENCE, False: low * EVIDENCE} if inside else {False: low}
-        kept = [b[1] for b in content if known.get(_hash(b[0]), 1.0) >= bound[b[3]]]
-        return kept or [b[1] for b in inside or content]
+        kept = [b[1] for b in content if b[2] >= low and b[2] * importance.get(b[0], 1.0) >= bound[b[3]]]
+        return kept or [b[1] for b in content if b[2] >= low and (b[3] or not inside)]
 
 
 def _host(url: str | None) -> str:
@@ -243,7 +285,7 @@ def _low_of_pages(rows: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
         which, node = [], []
         for i, h in enumerate(batch.column(2).to_pylist()):
             if h:
-                own = {_hash(b[0]) for b in Page(h).blocks}
+                own = {b[0] for b in Page(h).blocks}
                 which += [i] * len(own)
                 node += own
         take = pa.array(which, pa.int64())
