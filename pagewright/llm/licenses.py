@@ -1,16 +1,19 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, a template the words of a license notice, both as
-sets of words.  A pair joins if the block holds at least ``threshold`` of the
-template's words.  Words are ordered by how many documents of the whole corpus
-hold them, rarest first, and three filters leave few pairs to count:
+A template is the words of a license notice, as a set.  A text block is a window
+of consecutive words of the whole text, so long as the template is in words with
+``SLACK`` for words in between; line breaks, comment signs and other marks do not
+cut it.  A pair joins if the block holds at least ``threshold`` of the template's
+words; overlapping blocks that join with one template are one find.  Words are
+ordered by how many documents of the whole corpus hold them, rarest first, and
+three filters leave few blocks to count:
 
 * prefix: with k = ceil(threshold * |template|) words to find, a block that
-  joins holds one of the template's |template| - k + 1 rarest words;
-* length: it has at least k words;
-* positional: at the first shared word, which is the block's rarest word of the
-  template, at place p of the template, at most |template| - p words can be
-  shared.
+  joins holds one of the template's |template| - k + 1 rarest words, so only
+  the surroundings of these are looked at;
+* length: words of the template stand at k places there at least;
+* positional: the rarest word of the template that stands there has place p of
+  the template, so at most |template| - p words can be shared.
 
 The templates are a fixed list of bounded size, so they travel with the tasks;
 the corpus is not shuffled.
@@ -18,6 +21,7 @@ the corpus is not shuffled.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from math import ceil
 
 import pyarrow as pa
@@ -44,6 +48,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
+#: A block has so many times the words of its template.
+SLACK = 1.25
 
 
 def template_sets(templates=TEMPLATES) -> list[tuple[str, frozenset[bytes]]]:
@@ -74,67 +80,92 @@ class Join:
 
     def __init__(self, order: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         self.templates = []
-        self.at: dict[bytes, list[tuple[int, int]]] = {}
-        for label, words in template_sets(templates):
+        self.at: dict[bytes, list[int]] = {}
+        for (label, words), (_, text) in zip(template_sets(templates), templates, strict=True):
             ranked = sorted(words, key=lambda w: (order[w], w))
             need = max(1, ceil(threshold * len(ranked) - 1e-9))
-            for p, w in enumerate(ranked[: len(ranked) - need + 1]):
-                self.at.setdefault(w, []).append((len(self.templates), p))
-            self.templates.append((label, words, need, {w: p for p, w in enumerate(ranked)}))
+            for w in ranked[: len(ranked) - need + 1]:
+                self.at.setdefault(w, []).append(len(self.templates))
+            self.templates.append((label, ranked, need, ceil(SLACK * len(alnum_words(text.encode())))))
         self.prefix = frozenset(self.at)
-
-    def block(self, words: set[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block's words contain to the threshold."""
-        out, seen = [], set()
-        for w in self.prefix & words:
-            for t, _ in self.at[w]:
-                if t in seen:
-                    continue
-                seen.add(t)
-                _, all_words, need, rank = self.templates[t]
-                if len(words) < need:
-                    continue
-                first = min(p for v, p in rank.items() if v in words) if len(rank) <= len(words) else min(rank[v] for v in words if v in rank)
-                if len(rank) - first < need:
-                    continue
-                shared = len(all_words & words)
-                if shared >= need:
-                    out.append((t, shared / len(all_words)))
+        self.vocab = frozenset(w for _, ranked, _, _ in self.templates for w in ranked)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of every find, the containment being that of its best block."""
+        if self.prefix.isdisjoint(words):
+            return []
+        places: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.vocab:
+                places.setdefault(w, []).append(i)
+        out = []
+        for t in sorted({t for w in self.prefix.intersection(places) for t in self.at[w]}):
+            _, ranked, need, size = self.templates[t]
+            rarest = sorted(p for w in ranked[: len(ranked) - need + 1] for p in places.get(w, ()))
+            at = sorted((p, k) for k, w in enumerate(ranked) for p in places.get(w, ()))
+            first = 0
+            while first < len(rarest):  # surroundings that overlap are one stretch
+                last = first
+                while last + 1 < len(rarest) and rarest[last + 1] - rarest[last] < 2 * size:
+                    last += 1
+                lo, hi = bisect_left(at, (rarest[first] - size + 1,)), bisect_left(at, (rarest[last] + size,))
+                if hi - lo >= need and len(ranked) - min(k for _, k in at[lo:hi]) >= need:
+                    out += [(t, *x) for x in _finds(at[lo:hi], need, size, len(ranked))]
+                first = last + 1
         return out
 
 
+def _finds(at: list[tuple[int, int]], need: int, size: int, of: int):
+    """(first word, end, containment) of the finds among the places ``at`` (word, rank) of a template's words."""
+    held: dict[int, int] = {}
+    left, found = 0, None
+    for p, k in at:
+        held[k] = held.get(k, 0) + 1
+        while at[left][0] <= p - size:
+            old = at[left][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            left += 1
+        if len(held) >= need:
+            if found and at[left][0] < found[1]:
+                found = (found[0], p + 1, max(found[2], len(held) / of))
+            else:
+                if found:
+                    yield found
+                found = (at[left][0], p + 1, len(held) / of)
+    if found:
+        yield found
+
+
 def places(words: list[bytes], phrases: list[tuple[bytes, str]]) -> list[tuple[int, str]]:
     """(start, label) of every place where a phrase's words stand consecutively."""
     joined = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in phrases:
-        at = joined.find(phrase)
+        at, seen, word = joined.find(phrase), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word, seen = word + joined.count(b" ", seen, at), at
+            out.append((word, label))
             at = joined.find(phrase, at + 1)
     return out
 
 
-def blocks(text: bytes):
-    """The lines of a text."""
-    return text.split(b"\n")
-
-
 def matches(docs: DataFrame, id_col: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, block, label, containment): every pair of a text block and a template that joins."""
+    """(id_col, first_word, end_word, label, containment): every find of every document, in words from 0, the end not included."""
     join = Join(frequencies(docs, templates), templates, threshold)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, at, label, share = [], [], [], []
+        row, found = [], []
         for i, t in enumerate(texts_of(batch.column(1))):
-            if t and not join.prefix.isdisjoint(alnum_words(t)):
-                for k, line in enumerate(blocks(t)):
-                    for found, s in join.block(set(alnum_words(line))):
-                        row.append(i), at.append(k), label.append(join.templates[found][0]), share.append(s)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(label, pa.string()), pa.array(share, pa.float64())], names=[id_col, "block", "label", "containment"])
+            got = join.find(alnum_words(t)) if t else []
+            row += [i] * len(got)
+            found += got
+        columns = [pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([join.templates[f[0]][0] for f in found], pa.string()), pa.array([f[3] for f in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *columns], names=[id_col, "first_word", "end_word", "label", "containment"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, "text"), run, f"`{id_col}` {kind}, block bigint, label string, containment double")
+    return map_batches(docs.select(id_col, "text"), run, f"`{id_col}` {kind}, first_word bigint, end_word bigint, label string, containment double")
 
 
 REPORT = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
@@ -158,11 +189,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", templates=TEMPLATES, thresho
             found = places(words, wanted)
             labels, score = {label for _, label in found}, 1.0 if found else 0.0
             base = ",".join(sorted(labels))
-            if not join.prefix.isdisjoint(words):
-                for line in blocks(t):
-                    for k, s in join.block(set(alnum_words(line))):
-                        labels.add(join.templates[k][0])
-                        score = max(score, s)
+            for k, _, _, s in join.find(words):
+                labels.add(join.templates[k][0])
+                score = max(score, s)
             starts = [s for s, _ in found]
             for column, v in zip(out, (len(words), len(found), min(starts, default=None), max(starts, default=None), base, ",".join(sorted(labels)), score), strict=True):
                 column.append(v)

@@ -290,7 +290,7 @@ PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var
     ],
 )
 def test_main_text_of_a_page(html, text):
-    assert "\n".join(htmlmain.Page(html).main_text(frozenset())) == text
+    assert "\n".join(htmlmain.Page(html).main_text({})) == text
 
 
 def test_style_tree_removes_what_a_host_repeats(spark):
@@ -389,16 +389,49 @@ def test_judge(spark):
 # --- 9: licences ------------------------------------------------------------
 
 
-def test_join_finds_exactly_the_containments():
+def plain_finds(words, template, size, need):
+    """Every window of ``size`` words, counted afresh; overlapping ones made one."""
+    out = []
+    for i in range(max(1, len(words) - size + 1)):
+        at = [p for p in range(i, min(i + size, len(words))) if words[p] in template]
+        shared = len({words[p] for p in at})
+        if shared >= need:
+            x = (at[0], at[-1] + 1, shared / len(template))
+            if out and x[0] < out[-1][1]:
+                x = (out[-1][0], max(x[1], out[-1][1]), max(x[2], out[-1][2]))
+                out.pop()
+            out.append(x)
+    return out
+
+
+def test_join_finds_exactly_the_blocks():
     rng = random.Random(7)
-    sets = licenses.template_sets()
-    vocab = sorted(frozenset().union(*(s for _, s in sets)))
-    join = licenses.Join({w: rng.randrange(50) for w in vocab})
-    for _ in range(5000):
-        _, s = rng.choice(sets)
-        block = set(rng.sample(sorted(s), rng.randrange(len(s) + 1))) | set(rng.sample(vocab, rng.randrange(6)))
-        want = {i: len(t & block) / len(t) for i, (_, t) in enumerate(sets) if len(t & block) / len(t) >= 0.8}
-        assert dict(join.block(block)) == want
+    templates = [("a", "one two three four five"), ("b", "two two six seven eight nine ten one"), ("c", "three"), ("d", "five six five six five")]
+    vocab = sorted({w.encode() for _, t in templates for w in t.split()})
+    join = licenses.Join({w: rng.randrange(50) for w in vocab}, templates)
+    for k in range(1500):
+        share = rng.choice([0.2, 0.6, 1.0])
+        words = [rng.choice(vocab) if rng.random() < share else b"x" for _ in range(rng.randrange(40))]
+        want = [(t, *f) for t, (_, ranked, need, size) in enumerate(join.templates) for f in plain_finds(words, set(ranked), size, need)]
+        assert join.find(words) == want, k
+
+
+def test_wrapped_notices_and_long_lines_are_found_and_scattered_words_not():
+    join = licenses.Join(dict.fromkeys(frozenset().union(*(s for _, s in licenses.template_sets())), 0))
+    labels = lambda text: {join.templates[f[0]][0] for f in join.find(licenses.alnum_words(text.encode()))}
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n */"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    apache = "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://x"
+    assert labels(mit) == {"mit"} and labels(bsd) == {"bsd"} and labels(apache) == {"apache-2.0"}
+    assert labels("lead " * 5000 + mit.replace("\n", " ") + " tail" * 5000) == {"mit"}
+    assert labels((" filler" * 30).join(bsd.split())) == set()
+    assert labels("Released under\nthe MIT License") == {"mit"}
+
+
+def test_places_take_linear_time():
+    words = [b"cc", b"by"] * 100_000
+    found = licenses.places(words, [(b" cc by ", "cc-by")])
+    assert [s for s, _ in found] == list(range(0, 200_000, 2))
 
 
 def test_license_report(spark):
