@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import map_batches, texts_of
+from pagewright.llm.common import map_batches, saved, texts_of
 
 SIZES = (3, 4)
 COVER = 0.9
@@ -35,8 +35,8 @@ ROWS_LOG2 = 18
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Training texts of a language: all, or about this many chosen by a hash of their id.
 SAMPLE = 2000
-#: Languages learned: the most frequent values of ``lang``, up to this many.
-LANGUAGES = 1024
+#: Languages and their counts travel with the tasks up to this many, beyond they are joined.
+BROADCAST_LANGUAGES = 100_000
 
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -134,16 +134,34 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _filter(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """(one byte a row of a language's Bloom filter, share of its n-grams that the filter holds)."""
+    order, kept = np.lexsort((gram, -n)), []
+    for s in SIZES:  # each length to the same share of its own occurrences; the code begins with the length
+        of = order[(gram[order] >> np.uint64(8 * s)) == s]
+        upto = np.searchsorted(np.cumsum(n[of]), COVER * n[of].sum()) + 1
+        kept.append(of[:upto])
+    kept = np.concatenate(kept)
+    plane = np.zeros(1 << ROWS_LOG2, dtype=np.uint8)
+    for h in HASHES:
+        plane[(gram[kept] * np.uint64(h)) >> np.uint64(64 - ROWS_LOG2)] = 1
+    return plane, float(n[kept].sum() / n.sum())
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Filters learned from text and non-null ``lang`` of the rows that are not held out; None without any."""
+    """Filters learned from text and non-null ``lang`` of the rows that are not held out; None without any.
+
+    Every value of ``lang`` that has a text with an n-gram is learned.  N-grams are counted and filters made in the tasks, one
+    language's at a time; 32 kB a language come to the driver.
+    """
     rows = docs.select(id_col, "lang", "text").filter(F.col("lang").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    sizes = saved(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    n_lang, spread = sizes.count(), 1 << 30
+    if not n_lang:
         return None
-    names = sorted(counts)
-    spread = 1 << 30
-    bound = F.create_map(*(F.lit(x) for k in names for x in (k, min(spread, spread * sample // counts[k]))))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(spread)) < F.try_element_at(bound, F.col("lang"))).filter("text is not null")
+    bound = F.least(F.lit(spread), F.floor(F.lit(spread * sample) / F.col("rows")))
+    known = rows.join(F.broadcast(sizes) if n_lang <= BROADCAST_LANGUAGES else sizes, "lang")
+    chosen = known.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(3)), F.lit(spread)) < bound).filter("text is not null")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         by: dict[str, list[bytes]] = {}
@@ -161,29 +179,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> Model
                     n.append(count)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(langs), pa.array(np.concatenate(grams)), pa.array(np.concatenate(n).astype(np.int64))], names=["lang", "gram", "n"])
 
-    # what comes to the driver is bounded by the sample, not by the corpus
-    table = map_batches(chosen.select("lang", "text"), run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang = table.column("lang").combine_chunks().to_numpy(zero_copy_only=False)
-    gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    names = [k for k in names if (lang == k).any()]
-    if not names:
+    def learn(table: pa.Table) -> pa.Table:
+        plane, cover = _filter(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
+        return pa.table({"lang": table.column("lang")[:1], "plane": pa.array([np.packbits(plane).tobytes()], pa.binary()), "cover": [cover]})
+
+    counts = map_batches(chosen.select("lang", "text"), run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    filters = counts.groupBy("lang").applyInArrow(learn, "lang string, plane binary, cover double").join(sizes, "lang")
+    found = sorted(filters.collect(), key=lambda r: r.lang)
+    if not found:
         return None
-    planes = np.zeros(((len(names) + 7) // 8, 1 << ROWS_LOG2), dtype=np.uint8)
-    false, cover = np.zeros(len(names)), np.ones(len(names))
-    for i, name in enumerate(names):
-        own = np.flatnonzero(lang == name)
-        own = own[np.lexsort((gram[own], -n[own]))]
-        kept = []
-        for s in SIZES:  # each length to the same share of its own occurrences; the code begins with the length
-            of = own[(gram[own] >> np.uint64(8 * s)) == s]
-            upto = np.searchsorted(np.cumsum(n[of]), COVER * n[of].sum()) + 1
-            kept.append(of[:upto])
-        kept = np.concatenate(kept)
-        for h in HASHES:
-            planes[i // 8][(gram[kept] * np.uint64(h)) >> np.uint64(64 - ROWS_LOG2)] |= np.uint8(1 << (i % 8))
-        false[i] = (np.count_nonzero(planes[i // 8] >> (i % 8) & 1) / (1 << ROWS_LOG2)) ** len(HASHES)
-        cover[i] = n[kept].sum() / n[own].sum()
-    return Model(names, planes, false, cover, int(np.argmax([counts[k] for k in names])))
+    planes = np.zeros(((len(found) + 7) // 8, 1 << ROWS_LOG2), dtype=np.uint8)
+    false, cover = np.zeros(len(found)), np.array([r.cover for r in found])
+    for i, r in enumerate(found):
+        plane = np.unpackbits(np.frombuffer(r.plane, dtype=np.uint8))
+        planes[i // 8] |= plane << np.uint8(i % 8)
+        false[i] = (np.count_nonzero(plane) / (1 << ROWS_LOG2)) ** len(HASHES)
+    usual = max(range(len(found)), key=lambda i: (found[i].rows, -i))
+    return Model([r.lang for r in found], planes, false, cover, usual)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -217,7 +229,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", min_share: float =
 
     Rows without text or letters and rows of which less than ``min_share`` of
     the n-grams belongs to any language are rejected.  A null ``lang`` is filled
-    with the predicted one.
+    with the predicted one.  Where no row is labelled, nothing speaks against a
+    text with letters and all of these stay.
     """
     model = fit(docs, id_col, sample)
     names = docs.columns
@@ -226,7 +239,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", min_share: float =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch.column(at))
         if model is None:
-            return batch.slice(0, 0)
+            return batch.filter(pa.array([t is not None and has_letter(t) for t in texts], pa.bool_()))
         pred, _, share = model.predict(texts)
         known = batch.column(lang).to_pylist()
         filled = pa.array([k if k is not None else p for k, p in zip(known, pred, strict=True)], batch.schema.field(lang).type)
