@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import alnum_words, bound_batches, map_batches, texts_of
+from pagewright.llm.common import alnum_words, bound_batches, map_batches, saved, texts_of
 
 SAMPLE = 20_000
 WORDS = 1024
@@ -145,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int
     size = [sum(v == k for v in picked.values()) for k in (0, 1)]
     if not all(size):
         return None
-    texts = docs.select(id_col, "text")
+    # a join of bounded size: only the sample's texts reach Python, read from the corpus once; of the texts of one id, the least counts
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], f"`{id_col}` {labels.schema[id_col].dataType.simpleString()}")
+    texts = saved(docs.select(id_col, "text").join(F.broadcast(ids), id_col, "left_semi").groupBy(id_col).agg(F.min("text").alias("text")))
 
     def count(batches):
         held: list[Counter] = [Counter(), Counter()]
