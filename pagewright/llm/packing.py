@@ -11,7 +11,7 @@ and halving the range of j finds all in O(buckets * lengths * log lengths).  A
 bucket's batches hold as many texts as fit the token budget at its bound, one at
 least.
 
-The histogram is one small aggregate, used whole.  Batches form within shards of a bucket, dealt by a hash of the id, so
+The histogram is one small aggregate, used whole.  Batches form within shards of a bucket, dealt by a hash of id and row, so
 a bucket with most of the texts is many tasks; each shard leaves one batch that
 may be short.
 """
@@ -95,7 +95,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, tokens
     0 tokens; repeated rows stay repeated; a null id is an id like any other;
     other columns are ignored; an empty table gives an empty result.
     """
-    table = saved(docs.select(F.col(id_col), n_tokens().alias("n_tokens")))
+    # the row's number tells repeated and null ids apart, so that they spread over shards as well
+    table = saved(docs.select(F.col(id_col), n_tokens().alias("n_tokens"), F.monotonically_increasing_id().alias("__row")))
     lengths, counts = _histogram(table, grid)
     bounds = optimal_bounds(lengths, counts, buckets)
     per = np.bincount(np.searchsorted(bounds, lengths), weights=counts, minlength=len(bounds)).astype(int) if bounds else []
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", buckets: int = BUCKETS, tokens
         plan = F.array(F.struct(F.lit(0).cast("bigint").alias("upper"), F.lit(1).cast("bigint").alias("size"), F.lit(1).alias("shards")))
     inside = F.filter(plan, lambda p: p["upper"] >= F.col("n_tokens"))
     placed = table.withColumn("__p", inside[0]).withColumn("bucket", (F.size(plan) - F.size(inside)).cast("int"))
-    placed = placed.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.col("__p.shards")).cast("int"))
+    placed = placed.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_col), "__row", F.lit(11)), F.col("__p.shards")).cast("int"))
     group = Window.partitionBy("bucket", "__shard")
     seq = F.floor((F.row_number().over(group.orderBy("n_tokens", id_col)) - 1) / F.col("__p.size")).cast("bigint")
     numbered = placed.withColumn("__seq", seq).withColumn("__all", F.count(F.lit(1)).over(group))
