@@ -13,8 +13,8 @@ Kinds, in the order of reports:
 * ``url``: the user part of a URL, ``user:password`` before the at-sign.
 * ``secret``: the value after ``token =``, ``password:`` and the like; eight
   characters at least, a digit among them.
-* ``account``: an IBAN after its cue, with the right check digits, or a social
-  security number after its cue.
+* ``account``: an IBAN after its cue, with the right check digits, a social
+  security number after its cue, or 6 to 17 digits after an account's cue.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access key")
-ACCOUNT_CUES = ("iban", "ssn", "social security number", "account number")
+ACCOUNT_CUES = ("iban", "ssn", "social security number")
+NUMBER_CUES = ("account number", "account no", "acct no")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,6 +49,7 @@ USER = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+(?=@)")
 VALUE = re.compile(r"[\x20\t]*[:=][\x20\t]*([\"']?)([A-Za-z0-9_.~+/=-]{8,})\1")
 IBAN = re.compile(r"[\x20\t]*[:=#]?[\x20\t]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8})(?![A-Za-z0-9])")
 SSN = re.compile(r"[\x20\t]*[:=#]?[\x20\t]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+NUMBER = re.compile(r"\.?[\x20\t]*(?:[:=#]|is\b)?[\x20\t]*([0-9](?:[\x20-]?[0-9]){5,16})(?![A-Za-z0-9]|[\x20-][0-9])")
 DIGITS = frozenset("0123456789")
 
 
@@ -69,7 +71,7 @@ def anchors() -> ahocorasick.Automaton:
     for c in "@+0123456789":
         a.add_word(c, (c if c in "@+" else "0", 1))
     a.add_word("://", (":", 3))
-    for kind, cues in (("s", SECRET_CUES), ("a", ACCOUNT_CUES)):
+    for kind, cues in (("s", SECRET_CUES), ("a", ACCOUNT_CUES), ("n", NUMBER_CUES)):
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
                 a.add_word(form, (kind, len(form)))
@@ -123,7 +125,7 @@ def find(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[in
                     _add(out, "secret", m.span(2))
             elif (m := IBAN.match(text, end)) and iban(m.group(1)):
                 _add(out, "account", m.span(1))
-            elif m := SSN.match(text, end):
+            elif (m := SSN.match(text, end)) or (kind == "n" and (m := NUMBER.match(text, end))):
                 _add(out, "account", m.span(1))
     return out
 
