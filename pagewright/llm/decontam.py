@@ -7,22 +7,22 @@ length reaches the window, the last words lie in occurring windows.  An item
 shorter than the window counts as one window, found where its end state is on
 the suffix-link path of the current state.
 
-The automaton is shipped to the tasks as plain lists.  ``MAX_WORDS`` bounds the
-words of one automaton; a larger benchmark is cut, between items, into several,
-and a batch is streamed through one after another (each is read from the shared
-folder when its turn comes, so a task holds one at a time).
+One automaton of at most ``MAX_WORDS`` words is shipped to the tasks at a time.
+A larger benchmark is cut, between items, into several: the documents are
+streamed through one after another, the hits of each pass, few rows, go to the
+shared checkpoint folder, and its automaton is given up before the next is made.
 """
 
 from __future__ import annotations
 
-import pickle
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WORD_TABLE, alnum_words, map_batches, texts_of
+from pagewright.llm.common import WORD_TABLE, alnum_words, map_batches, saved, texts_of
 
 WINDOW = 10
 MAX_WORDS = 100_000
@@ -165,56 +165,74 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-class Benchmark:
-    """The automata of a benchmark, of at most ``max_words`` words each.
-
-    One automaton travels with the task; more are read from broadcast values one
-    by one, each released before the next is read.
-    """
-
-    def __init__(self, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS):
-        spark = benchmark.sparkSession
-        rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text is not null and item_id is not null")
-        shard: list[tuple[str, list[bytes]]] = []
-        words, self.parts = 0, []
-
-        def close():
-            if shard:
-                self.parts.append(spark.sparkContext.broadcast(pickle.dumps(Automaton(shard, window), protocol=5)))
-
-        for r in rows.toLocalIterator():  # one partition of the benchmark at a time
-            w = alnum_words(r.text.encode())
-            if words + len(w) > max_words:
-                close()
-                shard, words = [], 0
-            shard.append((r.id, w))
-            words += len(w)
-        close()
-
-    def scanner(self):
-        """What a task calls once: a function from a batch of texts to their hits."""
-        parts = self.parts
-        one = pickle.loads(parts[0].value) if len(parts) == 1 else None
-
-        def scan(texts: list[bytes | None]):
-            """(number of words, runs, items) of each text."""
-            if one is not None:  # the words of one text at a time
-                for t in texts:
-                    words = alnum_words(t) if t else []
-                    yield len(words), *one.hits(words)
-                return
-            found: list = [([], set()) for _ in texts]
-            for p in parts:
-                automaton = pickle.loads(p.value)
-                for i, t in enumerate(texts):
-                    runs, items = automaton.hits(alnum_words(t)) if t else ([], set())
-                    if runs:
-                        found[i] = (_merge(found[i][0], runs), found[i][1] | items)
-                del automaton
-            for t, (runs, items) in zip(texts, found, strict=True):
-                yield len(alnum_words(t)) if t else 0, runs, items
-
-        return scan
+def _automata(benchmark: DataFrame, window: int, max_words: int):
+    """The automata of a benchmark, of about ``max_words`` words each; items without an id have numbers as ids."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").filter("text is not null")
+    shard: list[tuple[str | int, list[bytes]]] = []
+    words = 0
+    for k, r in enumerate(rows.toLocalIterator()):  # one partition of the benchmark at a time
+        w = alnum_words(r.text.encode())
+        if shard and words + len(w) > max_words:
+            yield Automaton(shard, window)
+            shard, words = [], 0
+        shard.append((k if r.id is None else r.id, w))
+        words += len(w)
+    if shard:
+        yield Automaton(shard, window)
+
+
+_HITS = "__row bigint, starts array<int>, ends array<int>, items array<string>, unnamed array<int>"
+
+
+def _passes(docs: DataFrame, automata, id_col: str) -> DataFrame:
+    """(__row, __hits): the hits of every row in which one of several automata finds any, by a hash of id and text."""
+    sc, found = docs.sparkSession.sparkContext, None
+    rows = docs.select(F.xxhash64(id_col, "text").alias("__row"), "text")
+    for automaton in automata:
+        held = sc.broadcast(automaton)
+
+        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
+            out = []
+            for row, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                runs, items = held.value.hits(alnum_words(t)) if t else ([], set())
+                if runs:
+                    out.append((row, [s for s, _ in runs], [e for _, e in runs], [x for x in items if isinstance(x, str)], [x for x in items if not isinstance(x, str)]))
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["__row", "starts", "ends", "items", "unnamed"])
+
+        part = saved(map_batches(rows, run, _HITS).dropDuplicates(["__row"]))
+        held.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("__row").agg(F.collect_list(F.struct("starts", "ends", "items", "unnamed")).alias("__hits"))
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int, id_col: str, use, schema) -> DataFrame:
+    """``use`` over every batch of ``docs``; it gets the batch and a function from its texts to (words, runs, items)."""
+    automata = _automata(benchmark, window, max_words)
+    first, second = next(automata, None), next(automata, None)
+    at = docs.columns.index("text")
+    if second is None:
+        one = docs.sparkSession.sparkContext.broadcast(first)
+
+        def scan(batch):
+            for t in texts_of(batch.column(at)):  # the words of one text at a time
+                words = alnum_words(t) if t else []
+                yield len(words), *(one.value.hits(words) if one.value and words else ([], set()))
+
+        return map_batches(docs, lambda batch: use(batch, scan(batch)), schema)
+    hits = _passes(docs, chain([first, second], automata), id_col)
+
+    def scan_hits(batch):
+        for t, got in zip(texts_of(batch.column(at)), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
+            runs, items = [], set()
+            for h in got or ():
+                runs = _merge(runs, list(zip(h["starts"], h["ends"], strict=True)))
+                items.update(h["items"], h["unnamed"])
+            yield len(alnum_words(t)) if t else 0, runs, items
+
+    # each row meets at most one row of hits, so the join changes no count
+    rows = docs.withColumn("__row", F.xxhash64(id_col, "text")).join(hits, "__row", "left").select(*docs.columns, "__hits")
+    return map_batches(rows, lambda batch: use(batch.select(list(range(len(batch.columns) - 1))), scan_hits(batch)), schema)
 
 
 REPORT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -224,25 +242,26 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window
     """One row per document: its words, hit words and the items found in it.
 
     Null and empty texts have no words and no hits; repeated rows stay repeated;
-    null items and items without words find nothing; an empty benchmark leaves
-    every document clean.  Other columns of either table are ignored.
+    items with a null text or without words find nothing; items with a null id
+    hit and count like others, but cannot stand in ``items_sha256``; an empty
+    benchmark leaves every document clean.  Other columns of either table are
+    ignored.
     """
-    bench = Benchmark(benchmark, window, max_words)
 
-    def run(batch: pa.RecordBatch, scan) -> pa.RecordBatch:
-        n, hit, items, digest = [], [], [], []
-        for words, runs, found in scan(texts_of(batch.column(1))):
+    def run(batch: pa.RecordBatch, found) -> pa.RecordBatch:
+        n, hit, count, digest = [], [], [], []
+        for words, runs, items in found:
             n.append(words)
             hit.append(sum(e - s for s, e in runs))
-            items.append(len(found))
-            digest.append(sha256(",".join(sorted(found)).encode()).hexdigest())
+            count.append(len(items))
+            digest.append(sha256(",".join(sorted(x for x in items if isinstance(x, str))).encode()).hexdigest())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
             names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, "text"), run, f"`{id_col}` {kind}, {REPORT}", setup=bench.scanner)
+    return scanned(docs.select(id_col, "text"), benchmark, window, max_words, id_col, run, f"`{id_col}` {kind}, {REPORT}")
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -260,7 +279,7 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_run: int = WINDOW - 1, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, max_run: int = WINDOW - 1, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` with the benchmark's passages removed; same columns.
 
     A document of which hit words, those of short items too, are more than
@@ -269,14 +288,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     ``n_chars``, if there, is counted anew for changed texts.  Null and empty
     texts stay as they are.
     """
-    bench = Benchmark(benchmark, window, max_words)
     names = docs.columns
     at = names.index("text")
 
-    def run(batch: pa.RecordBatch, scan) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch, found) -> pa.RecordBatch:
         texts = texts_of(batch.column(at))
         keep, changed = [], {}
-        for i, (words, runs, _) in enumerate(scan(list(texts))):
+        for i, (words, runs, _) in enumerate(found):
             long = [(s, e) for s, e in runs if e - s > max_run]
             keep.append(sum(e - s for s, e in runs) <= max_coverage * words)
             if keep[-1] and long:
@@ -293,4 +311,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(counts, batch.schema.field(k).type))
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema, setup=bench.scanner)
+    return scanned(docs, benchmark, window, max_words, id_col, run, docs.schema)
