@@ -134,6 +134,13 @@ def fnv1a_bulk(content: Column) -> Column:
         prime = np.uint64(FNV_PRIME)
         for i in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -i, side="left"))
+            if live <= 16:  # few are left: one after another is faster than a step of all
+                for k in range(live):
+                    x = int(h[k])
+                    for b in known[order[k]][i:]:
+                        x = ((x ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+                    h[k] = x
+                break
             h[:live] = (h[:live] ^ buffer[begin[:live] + i]) * prime
         out = np.empty(len(known), dtype=object)
         out[order] = [str(x) for x in h.tolist()]
@@ -149,14 +156,15 @@ def png_size(content: Column) -> Column:
 
 
 def column_name(index: Column) -> Column:
-    """Spreadsheet letters of a 0-based column: 0 is A, 26 is AA, up to three letters."""
-    letter = lambda v: F.chr(F.lit(65) + v)
-    i = index.cast("int")
-    div = lambda a, b: F.call_function("div", a, F.lit(b)).cast("int")
-    one = letter(i)
-    two = F.concat(letter(div(i - 26, 26) % 26), letter((i - 26) % 26))
-    three = F.concat(letter(div(i - 702, 676)), letter(div(i - 702, 26) % 26), letter((i - 702) % 26))
-    return F.when(i < 26, one).when(i < 702, two).otherwise(three)
+    """Spreadsheet letters of a 0-based column: 0 is A, 26 is AA, 18278 is AAAA; null for a negative one."""
+    i = index.cast("bigint")
+    out, first = F.lit(None).cast("string"), 0
+    for letters in range(1, 8):  # 26 + 26^2 + ... + 26^7 columns are more than 32 bits count
+        at = i - F.lit(first)
+        name = F.concat(*(F.chr(F.lit(65) + F.call_function("div", at, F.lit(26**p)) % 26) for p in reversed(range(letters))))
+        out = F.when(at >= 0, name).otherwise(out)
+        first += 26**letters
+    return out
 
 
 def a1_name(row: Column, col: Column) -> Column:

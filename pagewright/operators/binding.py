@@ -22,11 +22,15 @@ def bind_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
     Ties go to the first region; a line in no region has nulls.
     """
-    box, line = Box.named("r_"), Box.named()
-    held = regions.select(*PAGE, "region_idx", F.col("label").alias("region_label"), F.col("confidence").alias("r_confidence"), *(F.col(e).alias(f"r_{e}") for e in ("left", "top", "right", "bottom")))
-    hits = lines.join(held, PAGE).filter(box.contains(line.centre_x, line.centre_y))
-    best = hits.groupBy(*PAGE, "line_idx").agg(F.max_by(F.struct("region_idx", "region_label"), F.struct(F.col("r_confidence"), -F.col("region_idx"))).alias("r"))
-    return lines.join(best.select(*PAGE, "line_idx", "r.region_idx", "r.region_label"), [*PAGE, "line_idx"], "left")
+    line = Box.named()
+    edges = ("left", "top", "right", "bottom")
+    # a page's regions are few: they come to its lines as one small array, so the lines move once
+    one = F.struct(F.col("confidence").alias("confidence"), (-F.col("region_idx")).alias("minus"), F.col("label").alias("label"), F.struct(*edges).alias("box"))
+    pages = regions.groupBy(*PAGE).agg(F.collect_list(one).alias("__regions"))
+    holds = lambda r: Box(*(r["box"][e] for e in edges)).contains(line.centre_x, line.centre_y)
+    best = F.array_max(F.filter("__regions", holds))
+    joined = lines.join(pages, PAGE, "left").withColumn("__best", best)
+    return joined.select(*lines.columns, (-F.col("__best.minus")).alias("region_idx"), F.col("__best.label").alias("region_label"))
 
 
 def merge_recognised(digital: DataFrame, recognised: DataFrame) -> DataFrame:
@@ -64,22 +68,6 @@ def ordered_text(order: list[str], separator: str = " ", text: str = "text") ->
     return F.array_join(F.transform(pieces, lambda p: p["__text"]), separator)
 
 
-def nearest_column(boxes: DataFrame, columns: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
-    """``boxes`` with ``col``: the column span they share most width with, else the nearest by centre.
-
-    ``columns``: keys, ``col``, ``span_start``, ``span_end``.  The first of equals
-    wins.  Both sides are of one table, so the pairs are its rows times its
-    columns.
-    """
-    box = Box.named()
-    start, end = F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint")
-    shared = F.least(box.right, end) - F.greatest(box.left, start)
-    apart = F.abs(box.centre_x - F.call_function("div", start + end, F.lit(2).cast("bigint")))
-    score = F.when(shared > 0, shared).otherwise(-apart)
-    best = boxes.join(columns, keys).groupBy(*keys, *row).agg(F.max_by("col", F.struct(score, -F.col("col"))).alias("col"))
-    return boxes.join(best, [*keys, *row])
-
-
 def page_of_point(points: DataFrame, rects: DataFrame, point_keys: list[str]) -> DataFrame:
     """``points`` (doc_id, x, y) with ``page_index`` of the first page rectangle that holds them, -1 if none.
 
@@ -90,19 +78,6 @@ def page_of_point(points: DataFrame, rects: DataFrame, point_keys: list[str]) ->
     return points.join(first, ["doc_id", *point_keys], "left").withColumn("page_index", F.coalesce("page_index", F.lit(-1)))
 
 
-def parent_or_body(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
-    """``children`` with ``parent_ref`` of the latest parent of the same key seen before them, else ``#/body``.
-
-    ``children`` have ``seq``, ``parents`` keys, ``seq`` and ``ref``.
-    """
-    p = parents.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.col("seq").alias("p_seq"), F.col("ref").alias("p_ref"))
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"p_{k}"))
-    joined = children.join(p, cond & (F.col("p_seq") < F.col("seq")), "left")
-    return joined.groupBy(*children.columns).agg(F.coalesce(F.max_by("p_ref", "p_seq"), F.lit("#/body")).alias("parent_ref"))
-
-
 def suppressed(regions: DataFrame, top: int = 200, keep: int = 100, limit: float = 0.5) -> DataFrame:
     """Greedy suppression per page and label, in 32-bit arithmetic; columns as before.
 

@@ -70,28 +70,38 @@ def integrity_errors(items: DataFrame, edges: DataFrame, comments: DataFrame | N
     The roots ``#/body`` and ``#/furniture`` always resolve.
     """
     roots = F.array(F.lit("#/body"), F.lit("#/furniture"))
-    known = items.select("doc_id", F.col("ref").alias("known")).filter("known <> ''").distinct()
-
-    def missing(rows: DataFrame, column: str, error: str) -> DataFrame:
-        r = rows.filter(F.col(column).isNotNull() & ~F.array_contains(roots, F.col(column)))
-        gone = r.join(known, (r["doc_id"] == known["doc_id"]) & (r[column] == known["known"]), "left_anti")
-        return gone.select("doc_id", F.lit(error).alias("error"), F.col(column).alias("ref"))
-
-    parts = [
-        items.filter("coalesce(ref, '') = ''").select("doc_id", F.lit("empty self_ref").alias("error"), F.lit("").alias("ref")),
-        items.filter("ref <> ''").groupBy("doc_id", "ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit("duplicate self_ref").alias("error"), "ref"),
-        items.filter("kind is null").select("doc_id", F.lit("unset item").alias("error"), F.col("ref")),
-        missing(edges, "child_ref", "unresolved child"),
-        missing(items, "parent_ref", "unresolved parent"),
-    ]
-    i, e = items.filter("parent_ref is not null and ref <> ''"), edges.select(F.col("doc_id").alias("e_doc"), F.col("parent_ref").alias("e_parent"), "child_ref")
-    parts.append(i.join(e, (i["doc_id"] == e["e_doc"]) & (i["parent_ref"] == e["e_parent"]) & (i["ref"] == e["child_ref"]), "left_anti").select("doc_id", F.lit("parent does not list child").alias("error"), "ref"))
+    no = F.lit(None).cast("string")
+
+    # every item and edge is read once; a reference, or a pair of parent and child, meets its uses in one aggregate
+    item = F.array(
+        F.struct(F.when(F.col("ref") != "", F.col("ref")).alias("ref"), no.alias("child"), F.lit("item").alias("use")),
+        F.struct(F.when(F.coalesce("ref", F.lit("")) == "", "").alias("ref"), no.alias("child"), F.lit("empty").alias("use")),
+        F.struct(F.when(F.col("kind").isNull(), F.coalesce("ref", F.lit(""))).alias("ref"), no.alias("child"), F.lit("unset").alias("use")),
+        F.struct(F.when(~F.array_contains(roots, F.col("parent_ref")), F.col("parent_ref")).alias("ref"), no.alias("child"), F.lit("parent").alias("use")),
+        F.struct(F.when(F.col("ref") != "", F.col("parent_ref")).alias("ref"), F.col("ref").alias("child"), F.lit("has").alias("use")),
+    )
+    edge = F.array(
+        F.struct(F.when(~F.array_contains(roots, F.col("child_ref")), F.col("child_ref")).alias("ref"), no.alias("child"), F.lit("child").alias("use")),
+        F.struct(F.col("parent_ref").alias("ref"), F.col("child_ref").alias("child"), F.lit("lists").alias("use")),
+    )
+    rows = items.select("doc_id", F.inline(item)).unionByName(edges.select("doc_id", F.inline(edge)))
     if comments is not None:
-        parts.append(missing(comments, "comment_ref", "unresolved table comment"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        known = comments.filter(~F.array_contains(roots, F.col("comment_ref")))
+        rows = rows.unionByName(known.select("doc_id", F.col("comment_ref").alias("ref"), no.alias("child"), F.lit("comment").alias("use")))
+    kinds = ("item", "empty", "unset", "parent", "child", "comment", "has", "lists")
+    counts = rows.filter("ref is not null").groupBy("doc_id", "ref", "child").agg(*(F.count_if(F.col("use") == k).alias(f"n_{k}") for k in kinds))
+    unknown = F.col("n_item") == 0
+    wrong = (
+        ("empty self_ref", F.lit(True), "n_empty"),
+        ("unset item", F.lit(True), "n_unset"),
+        ("unresolved child", unknown, "n_child"),
+        ("unresolved parent", unknown, "n_parent"),
+        ("unresolved table comment", unknown, "n_comment"),
+        ("parent does not list child", F.col("n_lists") == 0, "n_has"),
+    )
+    found = [F.array_repeat(F.lit(error), F.when(cond, F.col(count)).otherwise(F.lit(0)).cast("int")) for error, cond, count in wrong]
+    found.append(F.array_repeat(F.lit("duplicate self_ref"), (F.col("n_item") > 1).cast("int")))
+    return counts.select("doc_id", F.explode(F.concat(*found)).alias("error"), F.coalesce("child", "ref").alias("ref"))
 
 
 def planned_collectors(wanted: Column, office: Column) -> Column:
@@ -141,7 +151,8 @@ def gather(docs: DataFrame, plan: list[tuple[str, object]], merge_all: bool = Fa
     A collector is a name and a function from the documents to (items, edges,
     errors): items (doc_id, arena, idx, ref, text), edges (doc_id, parent_ref,
     child_ref, ord), errors (doc_id, code, error).  One that fails while it is
-    planned fails for every document and leaves the others alone.
+    planned fails for every document and leaves the others alone; one that fails
+    while it runs fails the job, so it has to give what it cannot read as errors.
     """
     items: list[DataFrame] = []
     edges: list[DataFrame] = []

@@ -515,12 +515,14 @@ def sheet_cells(events: DataFrame) -> DataFrame:
     Rows of unknown sheets are dropped.
     """
     items = office_items(events, tuple(k for k in MAKERS if k in ("sheet", "table", "embedded_object", "sheet_pivot_table")))
-    tables = items.filter("kind = 'sheet' and arena = 'tables'").select(F.col("doc_id").alias("t_doc"), F.col("seq").alias("t_seq"), "ref")
-    index = parsed(events.filter("kind = 'sheet'")).select(F.col("doc_id").alias("t_doc"), F.col("seq").alias("t_seq"), number("index").alias("t_sheet"))
-    tables = tables.join(index, ["t_doc", "t_seq"])
+    tables = items.filter("kind = 'sheet' and arena = 'tables'").select("doc_id", "seq", "ref")
+    index = parsed(events.filter("kind = 'sheet'")).select("doc_id", "seq", number("index").alias("sheet"))
+    # a document's sheets are few: they come to its rows as one small array, so the rows move once, if at all
+    sheets = tables.join(index, ["doc_id", "seq"]).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "sheet", "ref")).alias("__sheets"))
     rows = parsed(events.filter("kind = 'sheet_row'")).select("doc_id", "seq", number("sheet_index").alias("sheet"), number("row", 0, "int").alias("row"), get("cells", SHEET_CELLS).alias("cells"))
-    owner = rows.select("doc_id", "seq", "sheet").join(tables, (F.col("doc_id") == F.col("t_doc")) & (F.col("sheet") == F.col("t_sheet")) & (F.col("t_seq") < F.col("seq"))).groupBy("doc_id", "seq").agg(F.max_by("ref", "t_seq").alias("table_ref"))
-    cells = rows.join(owner, ["doc_id", "seq"]).select("doc_id", "table_ref", "row", F.explode("cells").alias("c"))
+    before = F.filter("__sheets", lambda s: (s["sheet"] == F.col("sheet")) & (s["seq"] < F.col("seq")))
+    owned = rows.join(sheets, "doc_id").withColumn("table_ref", F.array_max(before)["ref"]).filter("table_ref is not null")
+    cells = owned.select("doc_id", "table_ref", "row", F.explode("cells").alias("c"))
     z = lambda n: F.coalesce(F.col(f"c.{n}"), F.lit(0))
     name = a1_name(F.col("row"), z("column"))
     value = F.when(F.col("c.type") == "VALUE", F.to_json(F.struct(F.col("c.number").alias("number")))).when(F.col("c.type") == "FORMULA", F.to_json(F.struct(F.coalesce("c.formula", F.lit("")).alias("formula"), F.col("c.number").alias("number"))))

@@ -132,9 +132,10 @@ def _span(token: str) -> int:
 def place_tokens(tokens: list[str], boxes: list[tuple[int, int, int, int]], limit: int = 1000) -> list[tuple]:
     """Cells of a stream of table tags by the HTML rules.
 
-    A cell takes the first run of free columns that fits its colspan; rowspans
-    carry down; cells in the head are headers; a missing row tag is tolerated;
-    boxes beyond the last cell are ignored.
+    A cell is placed where it is closed, and one that is never closed not at all.
+    It takes the first run of free columns that fits its colspan; rowspans carry
+    down; cells in the head are headers; a missing row tag is tolerated; boxes
+    beyond the last cell are ignored.
     """
     cells: list[tuple] = []
     taken: set[tuple[int, int]] = set()
@@ -158,15 +159,15 @@ def place_tokens(tokens: list[str], boxes: list[tuple[int, int, int, int]], limi
             head = False
         elif t == "<tr>":
             row += 1
-        elif t in ("<td></td>", "<td>"):
+        elif t == "<td></td>":
             put(1, 1)
-        elif t == "<td":
+        elif t in ("<td", "<td>"):
             spans = [1, 1]
-        elif spans is not None and "rowspan" in t:
+        elif spans is not None and t.startswith(" rowspan="):
             spans[0] = _span(t)
-        elif spans is not None and "colspan" in t:
+        elif spans is not None and t.startswith(" colspan="):
             spans[1] = _span(t)
-        elif spans is not None and t == ">":
+        elif spans is not None and t == "</td>":
             put(*spans)
             spans = None
     return cells

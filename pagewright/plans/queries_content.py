@@ -28,14 +28,14 @@ def content_hash_bulk(spark, sf):
     return _docs(spark, sf).select("doc_id", C.fnv1a_bulk(F.encode("text", "utf-8")).alias("binary_hash"))
 
 
-_NAMES = "['report.pdf', 'scan.PNG', 'photo.jpeg', 'sheet.xlsx', 'Letter.DOCX', '.pdf', 'data.csv', 'noext', 'a.tar.odt', 'x.tif']"
-_TYPES = "['', 'application/vnd.oasis.opendocument.text', 'text/csv', 'application/octet-stream', 'text/csv; charset=utf-8']"
+_NAMES = ["report.pdf", "scan.PNG", "photo.jpeg", "sheet.xlsx", "Letter.DOCX", ".pdf", "data.csv", "noext", "a.tar.odt", "x.tif"]
+_TYPES = ["", "application/vnd.oasis.opendocument.text", "text/csv", "application/octet-stream", "text/csv; charset=utf-8"]
 _FILES = f"""files as (select doc_id, ({_NAMES})[doc_id % 10 + 1] as filename, ({_TYPES})[doc_id % 5 + 1] as content_type, case doc_id % 7 when 0 then '255044462D312E34' when 1 then '89504E470D0A1A0A0000' when 2 then 'FFD8FFE0' when 3 then '49492A0008' when 4 then '4D4D002A' when 5 then '255044' else '00' end as head from documents)"""
 
 
 def _files(spark, sf):
     """A file name, a content type and first bytes for every document."""
-    pick = lambda text, n: F.element_at(F.array(*(F.lit(x) for x in eval(text))), (F.col("doc_id") % n + 1).cast("int"))  # noqa: E731, S307
+    pick = lambda values, n: F.element_at(F.array(*(F.lit(x) for x in values)), (F.col("doc_id") % n + 1).cast("int"))
     heads = ["255044462D312E34", "89504E470D0A1A0A0000", "FFD8FFE0", "49492A0008", "4D4D002A", "255044", "00"]
     head = F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("doc_id") % 7 + 1).cast("int"))
     return _docs(spark, sf).select("doc_id", pick(_NAMES, 10).alias("filename"), pick(_TYPES, 5).alias("content_type"), F.unhex(head).alias("content"))

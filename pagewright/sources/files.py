@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import content as C
 
-#: Contents up to this size are hashed by the native expression, longer ones batch by batch.
-NATIVE_HASH_BYTES = 256
-
 
 def from_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(doc_id, filename, content_type, content) of every file under a path of any store Spark reads."""
@@ -28,7 +25,8 @@ def from_base64(rows: DataFrame, text: str = "base64_string") -> DataFrame:
 def identified(docs: DataFrame, bulk: bool = True) -> DataFrame:
     """``docs`` with ``mimetype`` and ``binary_hash``.
 
-    A nameless document counts as ``document.pdf``.
+    A nameless document counts as ``document.pdf``.  The hash runs over every byte in order: in Arrow batches, or with
+    ``bulk`` off as a native expression, which suits contents of some hundred bytes.
     """
     name = F.when(F.coalesce("filename", F.lit("")) == "", "document.pdf").otherwise(F.regexp_extract("filename", r"([^/]*)$", 1))
     hashed = C.fnv1a_bulk(F.col("content")).cast("decimal(20,0)") if bulk else C.fnv1a(F.col("content"))
@@ -49,6 +47,7 @@ def routed(docs: DataFrame) -> DataFrame:
 
 
 def raster_pages(docs: DataFrame) -> DataFrame:
-    """One page for every PNG of the raster route; other rasters get their size from the decoder's seam."""
-    size = C.png_size(F.col("content"))
-    return docs.filter(F.col("route") == "raster").select("doc_id", F.lit(1).alias("page_no"), size["width"].cast("int").alias("width"), size["height"].cast("int").alias("height"), F.lit("OCR").alias("source"), F.lit(False).alias("skip_ocr"), F.col("content").alias("raster"))
+    """One page for every document of the raster route; a PNG has its size, other rasters get theirs from the decoder's seam."""
+    known = F.when(C.raster_kind(F.col("content")) == "png", F.col("content"))
+    size = C.png_size(known)
+    return docs.filter(F.col("route") == "raster").select("doc_id", F.lit(1).alias("page_no"), size["width"].try_cast("int").alias("width"), size["height"].try_cast("int").alias("height"), F.lit("OCR").alias("source"), F.lit(False).alias("skip_ocr"), F.col("content").alias("raster"))

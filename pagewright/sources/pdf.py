@@ -20,6 +20,8 @@ from pagewright.functions.geometry import pixels
 OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*]+", re.S)
+#: Unpacked bytes of one stream.
+MAX_STREAM = 256 << 20
 ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -53,7 +55,11 @@ def _stream(body: bytes) -> bytes:
         return b""
     if b"/FlateDecode" not in body[: m.start()]:
         return m[1]
-    return zlib.decompressobj().decompress(m[1])
+    d = zlib.decompressobj()
+    out = d.decompress(m[1], MAX_STREAM)
+    if not d.eof:
+        raise InvalidDocument("a stream is cut off or too long")
+    return out
 
 
 def _refs(body: bytes, key: bytes) -> list[int]:
@@ -145,13 +151,20 @@ def _pieces(text: bytes) -> list[tuple[float, float, float, str]]:
 def digital_pages(data: bytes) -> list[dict]:
     """Pages with ``width`` and ``height`` in points and ``lines`` (text, left, top, right, bottom).
 
-    Raises ``InvalidDocument`` if there is no page to be found.
+    Raises ``InvalidDocument`` if there is no page to be found, or for anything
+    in the file that cannot be read: one broken file is that file's error.
     """
     try:
-        objects = _objects(data)
-        pages = _pages(objects) if data.startswith(b"%PDF-") else []
-    except (zlib.error, ValueError) as e:
-        raise InvalidDocument(str(e)) from e
+        return _digital_pages(data)
+    except InvalidDocument:
+        raise
+    except (zlib.error, ValueError, ArithmeticError, LookupError, TypeError, RecursionError) as e:
+        raise InvalidDocument(f"the PDF is broken: {e}") from e
+
+
+def _digital_pages(data: bytes) -> list[dict]:
+    objects = _objects(data) if data.startswith(b"%PDF-") else {}
+    pages = _pages(objects)
     if not pages:
         raise InvalidDocument("the PDF has no pages")
     out = []

@@ -4,7 +4,9 @@ Pages arrive in any order; page n waits for 1 to n - 1.  Control rows end a
 document: ``part_done`` for each finished part, ``failed`` with an error,
 ``cancel``.  A document gets exactly one terminal event: ``complete`` if any part
 succeeded, ``error`` with the first failure if none did, ``cancelled``; a
-document that buffers more than its window ends with RESOURCE_EXHAUSTED.
+document that buffers more than its window ends with RESOURCE_EXHAUSTED.  A page that was released or waits already is
+passed over.  Pages that still wait when a document completes are not released,
+and the terminal event names the gap.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ class PageRelease(StatefulProcessor):
             if ended:
                 continue
             if r.kind == "page":
+                if r.page_no < next_page or self.waiting.containsKey((int(r.page_no),)):
+                    continue
                 if held >= self.window:
                     ended = True
                     say("error", error=f"RESOURCE_EXHAUSTED: {SLOW}")
@@ -73,6 +77,10 @@ class PageRelease(StatefulProcessor):
                 pending -= 1
                 if pending <= 0:
                     ended = True
+                    if held:
+                        waits = sorted(int(k[0]) for k in self.waiting.keys())
+                        gap = f"DATA_LOSS: page {next_page} is missing, {len(waits)} later pages from {waits[0]} on are not released"
+                        failure = f"{failure}; {gap}" if failure else gap
                     say("complete", error=failure) if good else say("error", error=failure or "INTERNAL: every collector failed")
         if ended:
             self.waiting.clear()
