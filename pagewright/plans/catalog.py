@@ -30,7 +30,7 @@ def _register() -> None:
     """The modules below add their queries when they are read."""
     import importlib
 
-    for name in ("queries_layout", "queries_content", "queries_office", "queries_streaming"):
+    for name in ("queries_layout", "queries_content", "queries_office", "queries_events", "queries_streaming"):
         importlib.import_module(f"pagewright.plans.{name}")
 
 
