@@ -65,6 +65,24 @@ def detected_regions(pages: DataFrame, detector: Callable[[], Callable]) -> Data
     return pages.select("doc_id", "page_no", F.posexplode(batched(detector, REGIONS)("raster")).alias("region_idx", "r")).select("doc_id", "page_no", "region_idx", "r.*")
 
 
+def cropped(pages: DataFrame, regions: DataFrame, cropper: Callable[[], Callable], labels: tuple[str, ...] = ("table", "figure")) -> DataFrame:
+    """(doc_id, page_no, region_idx, label, left, top, crop): regions cut out of their page's raster; empty ones are left out.
+
+    The cropper makes the bytes of a crop from a raster and a box, which is clipped to the page's size where it is known.
+    """
+    edge = lambda e, size: F.greatest(F.lit(0), F.least(F.col(e), F.coalesce(F.col(size), F.lit(2**31 - 1))))
+    boxed = regions.filter(F.col("label").isin(*labels)).join(pages.select("doc_id", "page_no", "width", "height", "raster"), ["doc_id", "page_no"])
+    box = boxed.select("doc_id", "page_no", "region_idx", "label", edge("left", "width").alias("left"), edge("top", "height").alias("top"), edge("right", "width").alias("right"), edge("bottom", "height").alias("bottom"), "raster").filter("right > left and bottom > top")
+
+    @F.pandas_udf("binary")
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        model = cropper()
+        for raster, *edges in batches:
+            yield pd.Series([model(bytes(r), *map(int, b)) for r, *b in zip(raster, *edges, strict=True)], dtype=object)
+
+    return box.withColumn("crop", cut("raster", "left", "top", "right", "bottom")).select("doc_id", "page_no", "region_idx", "label", "left", "top", "crop")
+
+
 def structured_cells(crops: DataFrame, structurer: Callable[[], Callable]) -> DataFrame:
     """Cells of table crops (doc_id, page_no, region_idx, label, left, top, crop), moved from the crop to the page."""
     found = crops.filter(F.col("label") == "table").select("doc_id", "page_no", "region_idx", "left", "top", F.posexplode(batched(structurer, CELLS)("crop")).alias("cell_idx", "c"))

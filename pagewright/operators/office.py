@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.content import a1_name, a1_range, office_mime_type
+from pagewright.operators import assembly, tables
 
 RUN = "array<struct<text string, weight double, italic boolean, underline boolean, strikethrough boolean, hyperlink_url string, hyperlink_target string, hyperlink_name string>>"
 RECT = "array<struct<page_index int, x_twips bigint, y_twips bigint, width_twips bigint, height_twips bigint, char_start bigint, char_end bigint>>"
 PROV = "array<struct<page_index int, local boolean, left double, top double, right double, bottom double, start bigint, end bigint>>"
-CELLS = "array<struct<row int, col int, row_span int, col_span int, name string, text string>>"
-TABLE_CELLS = "array<struct<row int, column int, name string, text string>>"
+CELLS = "array<struct<row int, col int, row_span int, col_span int, name string, text string, at struct<page_index int, left double, top double, right double, bottom double>>>"
+TABLE_CELLS = f"array<struct<row int, column int, name string, text string, line_rects {RECT}>>"
 SHEET_CELLS = "array<struct<column int, type string, formula string, number double, display string, merged_columns int, merged_rows int>>"
 RANGE = "struct<start_row int, start_column int, end_row int, end_column int>"
 SERIES = "array<struct<label string, values_y array<double>, values_x array<double>>>"
@@ -155,6 +156,21 @@ def picture_uri(mime: str, data: str) -> Column:
     return F.when(text_of(data) != "", F.concat(F.lit("data:"), text_of(mime), F.lit(";base64,"), text_of(data)))
 
 
+def first_page_box(rects: Column) -> Column:
+    """The hull of the lines on the first page that one of them is on; null without such a line."""
+    known = F.filter(F.coalesce(rects, F.array().cast(RECT)), lambda r: r["page_index"] >= 0)
+    page = F.get(known, F.lit(0))["page_index"]
+    there = F.filter(known, lambda r: r["page_index"] == page)
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    hull = {
+        "left": F.array_min(F.transform(there, lambda r: z(r["x_twips"]))),
+        "top": F.array_min(F.transform(there, lambda r: z(r["y_twips"]))),
+        "right": F.array_max(F.transform(there, lambda r: z(r["x_twips"]) + z(r["width_twips"]))),
+        "bottom": F.array_max(F.transform(there, lambda r: z(r["y_twips"]) + z(r["height_twips"]))),
+    }
+    return F.when(F.size(known) > 0, F.struct(page.alias("page_index"), *(c.alias(n) for n, c in hull.items())))
+
+
 def folded(path: str) -> dict[str, Column]:
     """Size and cells of a table payload; cells with a negative place become fields."""
     cells = F.coalesce(get(f"{path}cells", TABLE_CELLS), F.array().cast(TABLE_CELLS))
@@ -164,7 +180,7 @@ def folded(path: str) -> dict[str, Column]:
     return {
         "rows": number(f"{path}rows", 0, "int"),
         "cols": number(f"{path}columns", 0, "int"),
-        "cells": F.transform(inside, lambda c: F.struct(c["row"].alias("row"), c["column"].alias("col"), one.alias("row_span"), one.alias("col_span"), c["name"].alias("name"), c["text"].alias("text"))).cast(CELLS),
+        "cells": F.transform(inside, lambda c: F.struct(c["row"].alias("row"), c["column"].alias("col"), one.alias("row_span"), one.alias("col_span"), c["name"].alias("name"), c["text"].alias("text"), first_page_box(c["line_rects"]).alias("at"))).cast(CELLS),
         "own": F.map_from_entries(F.transform(outside, lambda c: F.struct(F.concat(F.lit("cell:"), F.coalesce(c["name"], F.lit(""))), quoted(F.coalesce(c["text"], F.lit("")))))),
     }
 
@@ -461,6 +477,62 @@ def _with_parents(named: DataFrame) -> DataFrame:
     return out.drop("p", "__layer", "parent_kind", "parent_key", "defines", "define_key")
 
 
+# Who made the items of office events.
+STAMP = ("libreoffice", "lok")
+
+
+def stamped(items: DataFrame) -> DataFrame:
+    """``items`` with ``tag`` (collector, model, confidence)."""
+    return items.withColumn("tag", F.struct(F.lit(STAMP[0]).alias("collector"), F.lit(STAMP[1]).alias("model"), F.lit(None).cast("float").alias("confidence")))
+
+
+def run_rows(items: DataFrame) -> DataFrame:
+    """(doc_id, ref, run_idx, text, weight, italic, underline, strike, url, target, name): the runs of the items."""
+    rows = items.select("doc_id", "ref", F.posexplode("runs").alias("run_idx", "r"))
+    flag_ = lambda n: F.coalesce(F.col(f"r.{n}"), F.lit(False))
+    return rows.select(
+        "doc_id", "ref", "run_idx", F.coalesce("r.text", F.lit("")).alias("text"), F.coalesce("r.weight", F.lit(0.0)).alias("weight"), flag_("italic").alias("italic"), flag_("underline").alias("underline"), flag_("strikethrough").alias("strike"),
+        F.col("r.hyperlink_url").alias("url"), F.col("r.hyperlink_target").alias("target"), F.col("r.hyperlink_name").alias("name"),
+    )
+
+
+def item_formatting(items: DataFrame) -> DataFrame:
+    """(doc_id, ref, bold, italic, underline, strike) of items whose runs agree."""
+    return assembly.uniform_formatting(run_rows(items), ["doc_id", "ref"])
+
+
+def item_links(items: DataFrame) -> DataFrame:
+    """(doc_id, ref, link_idx, url, start, end): links of the items' runs; 0 is the item's own."""
+    return assembly.hyperlink_spans(run_rows(items), ["doc_id", "ref"])
+
+
+def table_cells(items: DataFrame, events: DataFrame) -> DataFrame:
+    """(doc_id, ref, cell_idx, row, col, name, text, left, top, right, bottom): cells of the tables, places on their page."""
+    rows = items.filter("arena = 'tables'").select("doc_id", "ref", F.posexplode("cells").alias("cell_idx", "c")).select("doc_id", "ref", "cell_idx", "c.row", "c.col", "c.name", "c.text", "c.at")
+    rects = page_rects(events)
+    last = rects.groupBy("doc_id").agg(F.max("seq").alias("seq"))
+    origin = rects.join(last, ["doc_id", "seq"], "left_semi").select(F.col("doc_id").alias("o_doc"), F.col("page_index").alias("o_page"), F.col("left").alias("ox"), F.col("top").alias("oy"))
+    moved = rows.join(origin, (F.col("doc_id") == F.col("o_doc")) & (F.col("at.page_index") == F.col("o_page")), "left")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return moved.select("doc_id", "ref", "cell_idx", "row", "col", "name", "text", *((F.col(f"at.{e}") - z(F.col("ox" if e in ("left", "right") else "oy"))).alias(e) for e in ("left", "top", "right", "bottom")))
+
+
+def table_grid(items: DataFrame, limit: int = tables.GRID_LIMIT) -> DataFrame:
+    """(doc_id, ref, row, col, text): the dense grid of every table of at most ``limit`` positions; the last cell of a place stands there."""
+    sized_ = items.filter("arena = 'tables' and rows > 0 and cols > 0").select("doc_id", "ref", "rows", "cols", "cells")
+    one = F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit("").alias("name"), F.lit("").alias("text"))
+    known = F.transform(F.coalesce("cells", F.array().cast(CELLS)), lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["name"].alias("name"), c["text"].alias("text")))
+    # a table without cells keeps its size through a cell outside of it
+    rows = sized_.select("doc_id", "ref", "rows", "cols", F.posexplode(F.concat(known, F.array(one))).alias("seq", "c")).select("doc_id", "ref", "rows", "cols", "seq", "c.*")
+    return tables.fold_cells(rows, ["doc_id", "ref"], limit)[1].select("doc_id", "ref", "row", "col", "text")
+
+
+def document_errors(events: DataFrame) -> DataFrame:
+    """(doc_id, code, error) of documents whose events end without a status."""
+    ended = events.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "status").alias("ended")).filter("not ended")
+    return ended.select("doc_id", F.lit("UNAVAILABLE").alias("code"), F.lit("the document's events end without a status").alias("error"))
+
+
 def body_fields(items: DataFrame) -> DataFrame:
     """(doc_id, key, value) of the body's custom fields; of one key, the last stays."""
     last = F.max_by("text", F.struct("seq", "sub_ord"))
@@ -515,10 +587,10 @@ def sheet_cells(events: DataFrame) -> DataFrame:
     Rows of unknown sheets are dropped.
     """
     items = office_items(events, tuple(k for k in MAKERS if k in ("sheet", "table", "embedded_object", "sheet_pivot_table")))
-    tables = items.filter("kind = 'sheet' and arena = 'tables'").select("doc_id", "seq", "ref")
+    owners = items.filter("kind = 'sheet' and arena = 'tables'").select("doc_id", "seq", "ref")
     index = parsed(events.filter("kind = 'sheet'")).select("doc_id", "seq", number("index").alias("sheet"))
     # a document's sheets are few: they come to its rows as one small array, so the rows move once, if at all
-    sheets = tables.join(index, ["doc_id", "seq"]).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "sheet", "ref")).alias("__sheets"))
+    sheets = owners.join(index, ["doc_id", "seq"]).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "sheet", "ref")).alias("__sheets"))
     rows = parsed(events.filter("kind = 'sheet_row'")).select("doc_id", "seq", number("sheet_index").alias("sheet"), number("row", 0, "int").alias("row"), get("cells", SHEET_CELLS).alias("cells"))
     before = F.filter("__sheets", lambda s: (s["sheet"] == F.col("sheet")) & (s["seq"] < F.col("seq")))
     owned = rows.join(sheets, "doc_id").withColumn("table_ref", F.array_max(before)["ref"]).filter("table_ref is not null")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.operators import assembly, binding, layout, models, tables
+from pagewright.operators import assembly, binding, layout, models, office, tables
 from pagewright.sources import files, pdf
 
 BOX = ("left", "top", "right", "bottom")
@@ -22,6 +22,11 @@ class Config:
     renderer: Callable[[DataFrame, DataFrame], DataFrame] | None = None  # (documents, pages) -> pages with a raster
     recognizer: Callable | None = None
     detector: Callable | None = None
+    cropper: Callable | None = None  # what follows works on crops of the detector's regions
+    structurer: Callable | None = None
+    classifier: Callable | None = None
+    decoder: Callable | None = None
+    barcodes: str = "class_triggered"
     collector: str = "engine"
 
 
@@ -56,10 +61,43 @@ _REGION = "doc_id {0}, page_no int, region_idx int, label string, confidence flo
 _CELL = "doc_id {0}, page_no int, region_idx int, cell_idx int, row int, col int, row_span int, col_span int, header boolean, left int, top int, right int, bottom int"
 
 
-def parse_documents(docs: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
-    """``docs`` (doc_id, filename, content_type, content) to the tables of ``assemble``, and ``errors``.
+_FIGURE = "doc_id {0}, page_no int, region_idx int, ref string, figure_classes array<struct<label:string,confidence:double>>, barcodes array<struct<format:string,text:string>>"
+_FIELD = "doc_id {0}, key string, value string"
 
-    A document that cannot be read gives a row of ``errors`` and nothing else.
+
+def office_tables(events: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``assemble``, and ``fields``, for documents given as office events (doc_id, seq, kind, payload).
+
+    Places are twips of the page; the cells are those of tables and sheets.
+    """
+    items = office.stamped(office.office_items(events))
+    first = office.provenance(items, events).filter("prov_idx = 0").select("doc_id", "ref", "page_no", *(F.col(e).cast("int").alias(e) for e in BOX))
+    kept = items.filter(F.col("arena").isin("texts", "tables", "pictures", "groups"))
+    placed = kept.join(first, ["doc_id", "ref"], "left")
+    order = ["seq", "sub_ord"]
+    texts = assembly.text_offsets(items.filter("arena = 'texts'").withColumn("text", F.coalesce("text", F.lit(""))), order)
+    edge_ord = F.row_number().over(Window.partitionBy("doc_id", "parent_ref").orderBy(*order)) - 1
+    cells = office.table_cells(items, events).select("doc_id", "ref", "row", "col", "text", F.lit(False).alias("header"))
+    sheets = office.sheet_cells(events).select("doc_id", F.col("table_ref").alias("ref"), "row", F.col("col").cast("int").alias("col"), "text", F.lit(False).alias("header"))
+    pages = office.document_pages(events).select("doc_id", "page_no", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.lit("OFFICE").alias("source"), F.lit(True).alias("skip_ocr"))
+    return {
+        "items": placed.select("doc_id", "page_no", "ref", "label", F.coalesce("text", F.lit("")).alias("text"), *BOX),
+        "offsets": texts.join(first.select("doc_id", "ref", "page_no"), ["doc_id", "ref"], "left").select("doc_id", "page_no", "ref", "utf_start", "utf_end", F.lit(None).cast("float").alias("confidence"), F.lit("OFFICE").alias("source")),
+        "cells": cells.unionByName(sheets),
+        "edges": kept.select("doc_id", "parent_ref", F.col("ref").alias("child_ref"), edge_ord.alias("ord")),
+        "pages": pages,
+        "texts": assembly.plain_text(texts.withColumn("ord", F.struct(*order))),
+        "fields": office.body_fields(items),
+        "errors": office.document_errors(events),
+    }
+
+
+def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``docs`` (doc_id, filename, content_type, content) to the tables of ``assemble``, ``figures``, ``fields`` and ``errors``.
+
+    ``events`` holds the office documents' events (doc_id, seq, kind, payload),
+    as an office program gives them.  A document that cannot be read, and an
+    office document without events, gives a row of ``errors`` and nothing else.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     route = files.routed(docs)
@@ -75,18 +113,40 @@ def parse_documents(docs: DataFrame, config: Config = Config()) -> dict[str, Dat
             lines = binding.merge_recognised(lines, models.recognised_lines(pixels, config.recognizer)).withColumn("line_idx", F.col("merged_idx")).drop("merged_idx", "src_ord")
         if config.detector:
             regions = models.detected_regions(pixels, config.detector)
+    figures, fields = spark.createDataFrame([], _FIGURE.format(kind)), spark.createDataFrame([], _FIELD.format(kind))
+    if config.detector and config.cropper:
+        crops = models.cropped(pixels, regions, config.cropper)
+        if config.structurer:
+            cells = models.structured_cells(crops, config.structurer)
+        if config.classifier:
+            figures = models.classified(crops, config.classifier)
+            figures = models.decoded(figures, config.decoder, config.barcodes) if config.decoder else figures.withColumn("barcodes", F.array().cast(models.BARCODES))
+            named = assembly.stable_refs(regions.filter("label = 'figure'"), "pictures", ["page_no", "region_idx"]).select(*PAGE, "region_idx", "ref")
+            figures = named.join(figures, [*PAGE, "region_idx"]).select(*PAGE, "region_idx", "ref", "figure_classes", "barcodes")
     out = assemble(pages, lines, regions, cells, config.collector)
+    unread = route.filter("route = 'office'").select("doc_id")
+    if events is not None:
+        own = events.join(unread, "doc_id", "left_semi")
+        read = office_tables(own)
+        fields, failed = read.pop("fields"), read.pop("errors")
+        out = {k: v.unionByName(read[k]) for k, v in out.items()}
+        unread = unread.join(own.select("doc_id").distinct(), "doc_id", "left_anti")
     invalid = route.filter("route = 'invalid'").select("doc_id", F.lit("INVALID_ARGUMENT").alias("code"), "error")
-    office = route.filter("route = 'office'").select("doc_id", F.lit("FAILED_PRECONDITION").alias("code"), F.lit("office events of the document are read as a table").alias("error"))
-    return out | {"errors": invalid.unionByName(broken).unionByName(office)}
+    none = unread.select("doc_id", F.lit("FAILED_PRECONDITION").alias("code"), F.lit("there are no office events of the document").alias("error"))
+    errors = invalid.unionByName(broken).unionByName(none)
+    return out | {"figures": figures, "fields": fields, "errors": errors if events is None else errors.unionByName(failed)}
 
 
 def responses(tables_: dict[str, DataFrame], docs: DataFrame) -> DataFrame:
-    """One row a document: status, text, items and errors, as an in-body answer holds them."""
+    """One row a document: status, text, items, errors and origin, as an in-body answer holds them.
+
+    A document with errors and items is a partial success.
+    """
     items = tables_["items"].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "ref", "label", "text"))).alias("items"))
     errors = tables_["errors"].groupBy("doc_id").agg(F.collect_list(F.struct("code", "error")).alias("errors"))
-    out = docs.select("doc_id").join(tables_["texts"], "doc_id", "left").join(items, "doc_id", "left").join(errors, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("errors").isNull(), "SUCCESS").otherwise("FAILURE").alias("status"), F.coalesce("text", F.lit("")).alias("text"), "items", "errors")
+    origin = F.struct(*(F.col(c) for c in ("filename", "mimetype", "binary_hash"))).alias("origin")
+    out = files.identified(docs).select("doc_id", origin).join(tables_["texts"], "doc_id", "left").join(items, "doc_id", "left").join(errors, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("errors").isNull(), "SUCCESS").when(F.col("items").isNull(), "FAILURE").otherwise("PARTIAL_SUCCESS").alias("status"), F.coalesce("text", F.lit("")).alias("text"), "items", "errors", "origin")
 
 
 def json_lines(events: DataFrame, top: int = 3) -> DataFrame:
@@ -95,9 +155,20 @@ def json_lines(events: DataFrame, top: int = 3) -> DataFrame:
     return events.select(F.to_json(F.struct(*cols)).alias("value"))
 
 
-def numbered_events(pages: DataFrame) -> DataFrame:
-    """Page rows with ``seq``, and one ``complete`` row after each document's last page."""
-    events = pages.select("doc_id", "page_no", F.lit("page").alias("event"))
-    ends = pages.groupBy("doc_id").agg(F.max("page_no").alias("page_no")).select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit("complete").alias("event"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")) - 1
-    return events.unionByName(ends).withColumn("seq", n.cast("bigint"))
+def numbered_events(pages: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, seq, event, page_no, collector, error): page rows, then the documents of the collectors, then one end.
+
+    ``outcomes`` (doc_id, plan_ord, collector, success, error): each success is a ``collector_document`` event.  The end is
+    ``complete`` with the first failure's error if there is a page or a success, else ``error``.
+    """
+    no = F.lit(None).cast("string")
+    none = F.lit(None).cast("int")
+    events = pages.select("doc_id", F.lit(0).alias("rank"), F.col("page_no").alias("place"), F.lit("page").alias("event"), "page_no", no.alias("collector"), no.alias("error"))
+    ends = pages.groupBy("doc_id").agg(F.lit(True).alias("good"), no.alias("error"))
+    if outcomes is not None:
+        events = events.unionByName(outcomes.filter("success").select("doc_id", F.lit(1).alias("rank"), F.col("plan_ord").alias("place"), F.lit("collector_document").alias("event"), none.alias("page_no"), "collector", no.alias("error")))
+        told = outcomes.groupBy("doc_id").agg(F.bool_or("success").alias("good"), F.min_by("error", F.when(~F.col("success"), F.col("plan_ord"))).alias("error"))
+        ends = ends.unionByName(told).groupBy("doc_id").agg(F.bool_or("good").alias("good"), F.max("error").alias("error"))
+    last = ends.select("doc_id", F.lit(2).alias("rank"), F.lit(0).alias("place"), F.when(F.col("good"), "complete").otherwise("error").alias("event"), none.alias("page_no"), no.alias("collector"), "error")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "place")) - 1
+    return events.unionByName(last).withColumn("seq", n.cast("bigint")).select("doc_id", "seq", "event", "page_no", "collector", "error")

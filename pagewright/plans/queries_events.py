@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators import office
+from pagewright.operators import office, tables
+from pagewright.plans import parse
 from pagewright.plans.catalog import query, table
 from pagewright.plans.queries_office import _event, _json
 
@@ -290,3 +291,79 @@ def event_pages(spark, sf):
     info = _once(spark, sf, "document_info", -1, page_rects=F.array(rect(500, 1000), rect(600, 700)))
     image = lambda i: _events(spark, sf, "page_image", index=F.lit(i), width_px=SIZE, height_px=F.lit(10), dpi=F.lit(96), png=F.base64(F.encode(BRAND, "utf-8")))
     return office.document_pages(info.unionByName(image(0)).unionByName(image(2))).select("doc_id", "page_no", "width", "height", F.coalesce("image_uri", F.lit("")).alias("image"))
+
+
+def _tables(spark, sf):
+    """A table for every part: a cell with lines on two pages, one without lines, one outside of the grid; the last table of a document is over the grid's limit."""
+    rect = lambda page, x, y: F.struct(page.alias("page_index"), F.lit(x).alias("x_twips"), y.cast("bigint").alias("y_twips"), F.lit(50).alias("width_twips"), F.lit(10).alias("height_twips"))
+    lines = F.array(rect(F.lit(-1), 0, F.lit(0)), rect(K % 2, 100, SIZE + 1000), rect(K % 2, 20, SIZE + 1030), rect(F.lit(7), 0, F.lit(0)))
+    cell = lambda r, c, n, t, at: F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(n).alias("name"), t.alias("text"), at.alias("line_rects"))
+    none = F.array().cast(lines_type := "array<struct<page_index:int,x_twips:int,y_twips:bigint,width_twips:int,height_twips:int>>")
+    cells = F.array(cell(0, 1, "B1", NAME, lines.cast(lines_type)), cell(1, 0, "A2", BRAND, none), cell(-1, 0, "odd", BRAND, none))
+    events = _events(spark, sf, "table", rows=F.when(K == 19, 5000).otherwise(2), columns=F.lit(2), cells=cells)
+    page = lambda y: F.struct(F.lit(5).alias("x_twips"), F.lit(y).alias("y_twips"), F.lit(500).alias("width_twips"), F.lit(1000).alias("height_twips"))
+    return events.unionByName(_once(spark, sf, "document_info", -1, page_rects=F.array(page(0), page(1000))))
+
+
+@query(
+    "event_table_cells",
+    sql("""select doc_id, '#/tables/' || k as ref, 0 as "row", 1 as col, name as text, 15::bigint as "left", size + 1000 * (1 - k % 2) as top, 145::bigint as "right", size + 1040 - 1000 * (k % 2) as bottom from p
+ union all select doc_id, '#/tables/' || k, 1, 0, brand, -1, -1, -1, -1 from p"""),
+)
+def event_table_cells(spark, sf):
+    events = _tables(spark, sf)
+    cells = office.table_cells(office.office_items(events, ("table",)), events)
+    return cells.select("doc_id", "ref", "row", "col", "text", *(F.coalesce(F.col(e).cast("bigint"), F.lit(-1)).alias(e) for e in ("left", "top", "right", "bottom")))
+
+
+@query("event_table_grid", sql("""select doc_id, '#/tables/' || k as ref, r as "row", c as col, case when r = 0 and c = 1 then name when r = 1 and c = 0 then brand else '' end as text from p, (values (0), (1)) a(r), (values (0), (1)) b(c) where k < 19"""))
+def event_table_grid(spark, sf):
+    return office.table_grid(office.office_items(_tables(spark, sf), ("table",))).select("doc_id", "ref", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")
+
+
+def _styled(spark, sf):
+    """Paragraphs of three runs: bold in some or all, the last two of one link."""
+    run = lambda t, heavy, url: F.struct(t.alias("text"), F.when(heavy, 150.0).otherwise(100.0).alias("weight"), F.lit(True).alias("italic"), url.alias("hyperlink_url"))
+    link = F.when(K % 2 == 0, F.concat(F.lit("http://x/"), BRAND)).otherwise("")
+    return _events(spark, sf, "paragraph", runs=F.array(run(NAME, K % 3 > 0, F.lit("")), run(F.lit(" "), K % 3 > 1, link), run(BRAND, K % 3 > 1, link)), list_level=F.lit(-1))
+
+
+@query("event_formatting", sql("""select doc_id, '#/texts/' || k as ref, k % 3 = 2 as bold, true as italic from p where k % 3 <> 1"""))
+def event_formatting(spark, sf):
+    return office.item_formatting(office.office_items(_styled(spark, sf), ("paragraph",))).filter("italic is not null").select("doc_id", "ref", "bold", "italic")
+
+
+@query("event_links", sql("""select doc_id, '#/texts/' || k as ref, 'http://x/' || brand as url, length(name)::bigint as "start", (length(name) + 1 + length(brand))::bigint as "end" from p where k % 2 = 0"""))
+def event_links(spark, sf):
+    return office.item_links(office.office_items(_styled(spark, sf), ("paragraph",))).select("doc_id", "ref", "url", "start", "end")
+
+
+@query(
+    "collector_events",
+    sql("""select doc_id, (row_number() over (partition by doc_id order by r, place) - 1)::bigint as seq, event, collector, error from (
+ select doc_id, 0 as r, k as place, 'page' as event, '' as collector, '' as error from p where k < doc_id % 4 union all
+ select doc_id, 1, i, 'collector_document', c, '' from (select distinct doc_id from p), (values (0, 'CV'), (1, 'LIBREOFFICE'), (2, 'POI')) t(i, c) where (doc_id + i) % 3 > 0 and doc_id % 5 > 0 union all
+ select doc_id, 2, 0, case when doc_id % 5 > 0 or doc_id % 4 > 0 then 'complete' else 'error' end, '', case when doc_id % 5 = 0 then 'failed 0' else 'failed ' || ((3 - doc_id % 3) % 3) end from (select distinct doc_id from p))"""),
+)
+def collector_events(spark, sf):
+    """Pages, documents of the collectors and one end; in every fifth document all three collectors fail."""
+    rows = _parts(spark, sf)
+    pages = rows.filter("k < doc_id % 4").select("doc_id", (K + 1).cast("int").alias("page_no"))
+    names = F.array(F.lit("CV"), F.lit("LIBREOFFICE"), F.lit("POI"))
+    each = rows.select("doc_id").distinct().select("doc_id", F.posexplode(names).alias("plan_ord", "collector"))
+    success = ((F.col("doc_id") + F.col("plan_ord")) % 3 > 0) & (F.col("doc_id") % 5 > 0)
+    outcomes = each.select("doc_id", "plan_ord", "collector", success.alias("success"), F.when(~success, F.concat(F.lit("failed "), F.col("plan_ord").cast("string"))).alias("error"))
+    return parse.numbered_events(pages, outcomes).select("doc_id", "seq", "event", F.coalesce("collector", F.lit("")).alias("collector"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(
+    "token_cells",
+    sql("""select seq, 0 as cell_idx, 0 as "row", 0 as col, 1 as row_span, (k % 3 + 1)::int as col_span, true as header from p union all select seq, 1, 0, (k % 3 + 1)::int, 1, 1, true from p
+ union all select seq, 2, 1, 0, 2, 1, false from p union all select seq, 3, 1, 1, 1, 1, false from p union all select seq, 4, 2, 1, 1, 1, false from p"""),
+)
+def token_cells(spark, sf):
+    """A head with a colspan, a cell that carries down, a cell that is never closed."""
+    head = F.array(F.lit("<thead>"), F.lit("<tr>"), F.lit("<td"), F.concat(F.lit(' colspan="'), (K % 3 + 1).cast("string"), F.lit('"')), *map(F.lit, (">", "</td>", "<td></td>", "</tr>", "</thead>")))
+    body = F.array(*map(F.lit, ("<tr>", "<td", ' rowspan="2"', ">", "</td>", "<td></td>", "</tr>", "<tr>", "<td></td>", "<td", ' colspan="9"', ">")))
+    streams = _parts(spark, sf).select("seq", F.concat(head, body).alias("tokens"), F.array().cast("array<struct<left:int,top:int,right:int,bottom:int>>").alias("boxes"))
+    return tables.token_cells(streams, ["seq"]).select("seq", "cell_idx", "row", "col", "row_span", "col_span", "header")

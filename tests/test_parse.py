@@ -64,7 +64,9 @@ def test_parse_documents(spark, docs):
     assert {r.doc_id for r in out["errors"].collect()} == {4, 5, 6, 7}
     checked = out["items"].select("doc_id", "ref", F.col("label").alias("kind"), F.lit("#/body").alias("parent_ref"))
     assert documents.integrity_errors(checked, out["edges"]).count() == 0
-    answers = {r.doc_id: r.status for r in parse.responses(out, docs).collect()}
+    whole = {r.doc_id: r for r in parse.responses(out, docs).collect()}
+    answers = {d: r.status for d, r in whole.items()}
+    assert whole[3].origin.mimetype == "image/png" and whole[1].origin.filename == "a.pdf" and whole[1].origin.binary_hash > 0
     assert answers == {1: "SUCCESS", 2: "SUCCESS", 3: "SUCCESS", 4: "FAILURE", 5: "FAILURE", 6: "FAILURE", 7: "FAILURE"}
     page = out["pages"].filter("doc_id = 1 and page_no = 1").first()
     assert (page.width, page.height, page.source, page.skip_ocr) == (1700, 2200, "DIGITAL_PDF", True)
@@ -90,6 +92,52 @@ def test_models_behind_their_seams(docs):
     assert out["edges"].filter("doc_id = 3").count() == 4
 
 
+def cutter():
+    return lambda raster, left, top, right, bottom: f"{raster[:4].hex()} {left} {top} {right} {bottom}".encode()
+
+
+def structure():
+    cell = {"row_span": 1, "col_span": 1, "header": True, "left": 0, "top": 0, "right": 60, "bottom": 60}
+    return lambda crop: [cell | {"row": 0, "col": 0}, cell | {"row": 0, "col": 1, "left": 60, "right": 100}] if crop == b"89504e47 100 100 200 200" else []
+
+
+def test_crops_reach_structurer_classifier_and_decoder(docs):
+    def classes():
+        return lambda crop: [{"label": "qr_code", "confidence": 0.9}, {"label": "icon", "confidence": 0.1}]
+
+    def codes():
+        return lambda crop: [{"format": "QR", "text": crop.decode()}]
+
+    config = parse.Config(recognizer=reader, detector=finder, cropper=cutter, structurer=structure, classifier=classes, decoder=codes)
+    out = parse.parse_documents(docs.filter("doc_id = 3"), config)
+    assert sorted((r.row, r.col, r.text, r.header) for r in out["cells"].collect()) == [(0, 0, "cell", True), (0, 1, "", True)]
+    figure = out["figures"].first()
+    assert (figure.ref, figure.figure_classes[0].label, figure.barcodes[0].text) == ("#/pictures/0", "qr_code", "89504e47 0 100 50 200")
+    assert parse.parse_documents(docs.filter("doc_id = 3"), parse.Config(detector=finder))["figures"].count() == 0
+
+
+def test_office_documents_are_read_from_their_events(spark, docs):
+    para = lambda t: '{"list_level":-1,"page_index":0,"runs":[{"text":"%s"}],"start":{"x":10,"y":20},"end":{"x":30,"y":40}}' % t
+    rows = [
+        (4, 0, "document_info", '{"document_id":"x","source_format":"docx","page_rects":[{"x_twips":5,"y_twips":5,"width_twips":100,"height_twips":200}]}'),
+        (4, 1, "paragraph", para("first")), (4, 2, "paragraph", para("")), (4, 3, "paragraph", para("third")), (4, 4, "bookmark", '{"name":"b","char_start":1,"char_end":2,"page_index":-1}'),
+        (4, 5, "table", '{"rows":1,"columns":1,"cells":[{"row":0,"column":0,"name":"A1","text":"c"}]}'), (4, 6, "status", "{}"),
+        (1, 0, "paragraph", para("not an office file")),
+    ]
+    extra = spark.createDataFrame([(8, "g.odt", "", b"x"), (9, "h.ods", "", b"x")], docs.schema)
+    events = spark.createDataFrame([*rows, (8, 0, "paragraph", para("cut off"))], "doc_id bigint, seq bigint, kind string, payload string")
+    out = parse.parse_documents(docs.filter("doc_id in (1, 4)").unionByName(extra), events=events)
+    assert {r.doc_id: r.text for r in out["texts"].collect()}[4] == "first\n\nthird"
+    assert [(r.ref, r.utf_start, r.utf_end) for r in out["offsets"].filter("doc_id = 4").orderBy("utf_start").collect()] == [("#/texts/0", 0, 5), ("#/texts/1", 6, 6), ("#/texts/2", 7, 12)]
+    assert [(r.ref, r.text) for r in out["cells"].filter("doc_id = 4").collect()] == [("#/tables/0", "c")]
+    item = out["items"].filter("doc_id = 4 and ref = '#/texts/0'").first()
+    assert (item.page_no, item.left, item.top, item.right, item.bottom) == (1, 5, 15, 25, 35)
+    assert {(r.doc_id, r.code) for r in out["errors"].collect()} == {(8, "UNAVAILABLE"), (9, "FAILED_PRECONDITION")}
+    assert [r.key for r in out["fields"].collect()] == ["bookmark:b"] and out["edges"].filter("doc_id = 4").count() == 4
+    answers = {r.doc_id: r.status for r in parse.responses(out, docs.filter("doc_id in (1, 4)").unionByName(extra)).collect()}
+    assert answers == {1: "SUCCESS", 4: "SUCCESS", 8: "PARTIAL_SUCCESS", 9: "FAILURE"}
+
+
 def test_crops(spark):
     crops = spark.createDataFrame([(1, 1, 0, "table", 10, 20, b"t"), (1, 1, 1, "figure", 0, 0, b"q"), (1, 1, 2, "figure", 0, 0, b"x")], "doc_id bigint, page_no int, region_idx int, label string, left int, top int, crop binary")
     cells = models.structured_cells(crops, lambda: lambda _: [{"row": 0, "col": 0, "row_span": 1, "col_span": 1, "header": False, "left": 1, "top": 2, "right": 3, "bottom": 4}]).collect()
