@@ -312,3 +312,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return scanned(docs, benchmark, window, max_words, id_col, run, docs.schema)
+
+
+#: The rows of ``report`` with its defaults in DuckDB SQL, over the views ``documents`` and ``benchmark``: windows as texts, joined.
+SQL = r"""
+with words as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+item_words as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item, w, least(len(w), 10) as n from item_words where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[i + 1 : i + n], ' ') as win from (select item, w, n, unnest(range(len(w) - n + 1)) as i from sized)),
+lengths as (select distinct n from windows),
+places as (select r, n, i, array_to_string(w[i + 1 : i + n], ' ') as win from (select r, w, n, unnest(range(len(w) - n + 1)) as i from words, lengths where len(w) >= n)),
+hits as (select distinct r, i, p.n, item from places p join windows x on p.n = x.n and p.win = x.win),
+covered as (select r, count(distinct k) as n_hit from (select r, unnest(range(i, i + n)) as k from hits) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (r) left join items using (r)
+"""

@@ -200,3 +200,30 @@ def report(docs: DataFrame, id_col: str = "doc_id", templates=TEMPLATES, thresho
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(id_col, "text"), run, f"`{id_col}` {kind}, {REPORT}")
+
+
+def sql(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> str:
+    """The rows of ``report`` in DuckDB SQL, over the view ``documents``: every window of every template is counted, without any filter."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = lambda text: [w.decode() for w in alnum_words(text.encode())]
+    rows, held = [], []
+    for t, ((label, own), (_, text)) in enumerate(zip(template_sets(templates), templates, strict=True)):
+        rows.append(f"({t}, {quoted(label)}, {len(own)}, {max(1, ceil(threshold * len(own) - 1e-9))}, {ceil(SLACK * len(words(text)))})")
+        held += [f"({t}, {quoted(w.decode())})" for w in sorted(own)]
+    said = [f"({quoted(label)}, [{', '.join(map(quoted, words(phrase)))}])" for phrase, label in phrases.items()]
+    return rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+template(t, label, size, need, span) as (values {", ".join(rows)}),
+word(t, w) as (values {", ".join(held)}),
+phrase(label, p) as (values {", ".join(said)}),
+each as (select r, unnest(w) as w, unnest(range(len(w))) as k from d),
+seen as (select r, t, k, e.w from each e join word using (w)),
+windows as (select a.r, a.t, a.k, count(distinct b.w) as shared from seen a join template using (t) join seen b on a.r = b.r and a.t = b.t and b.k > a.k - span and b.k <= a.k group by a.r, a.t, a.k),
+found as (select r, label, shared / size as share from windows join template using (t) where shared >= need),
+base as (select r, label, k from d, phrase, unnest(range(len(w) - len(p) + 1)) x(k) where w[k + 1 : k + len(p)] = p),
+based as (select r, count(*) as n, min(k) as first_word, max(k) as last_word, string_agg(distinct label, ',' order by label) as labels from base group by r),
+labels as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select r, label from found) group by r),
+best as (select r, max(share) as share from found group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word, coalesce(b.labels, '') as base_labels, coalesce(l.labels, '') as labels, case when b.n > 0 then 1.0 else coalesce(share, 0) end::double as score
+from d left join based b using (r) left join labels l using (r) left join best using (r)
+"""

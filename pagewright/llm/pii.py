@@ -45,7 +45,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 QUAD = re.compile(BASE["ip"])
 CHAIN = re.compile(BASE["card"])
 PHONE = re.compile(BASE["phone"])
-USER = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+(?=@)")
+USER = re.compile(r"[^\x09-\x0D\x20/?#@:\"'<>]+:[^\x09-\x0D\x20/?#@\"'<>]+(?=@)")
 VALUE = re.compile(r"[\x20\t]*[:=][\x20\t]*([\"']?)([A-Za-z0-9_.~+/=-]{8,})\1")
 IBAN = re.compile(r"[\x20\t]*[:=#]?[\x20\t]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8})(?![A-Za-z0-9])")
 SSN = re.compile(r"[\x20\t]*[:=#]?[\x20\t]*([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
@@ -66,15 +66,19 @@ def iban(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def forms(cues: tuple[str, ...]) -> list[str]:
+    """The cues in small letters, in capitals, and with the first or every word capitalised."""
+    return sorted({f for c in cues for f in (c, c.upper(), c.capitalize(), c.title())})
+
+
 def anchors() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for c in "@+0123456789":
         a.add_word(c, (c if c in "@+" else "0", 1))
     a.add_word("://", (":", 3))
     for kind, cues in (("s", SECRET_CUES), ("a", ACCOUNT_CUES), ("n", NUMBER_CUES)):
-        for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                a.add_word(form, (kind, len(form)))
+        for form in forms(cues):
+            a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
@@ -140,12 +144,12 @@ def written(found: dict[str, list[tuple[int, int]]], kinds=KINDS) -> str:
     return ",".join(f"{k}:{s}:{e}" for k in kinds for s, e in found.get(k, ()))
 
 
-REPORT = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+REPORT = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 NOTHING = sha256(b"").hexdigest()
 
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document with its counts and spans.
+    """One row per document with its counts and spans; ``n_spans`` counts those of all kinds.
 
     A null text counts as empty: no spans.  Repeated rows stay repeated; other
     columns are ignored; an empty table gives an empty result.
@@ -153,16 +157,17 @@ def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batch: pa.RecordBatch, automaton) -> pa.RecordBatch:
         counts: list[list[int]] = [[], [], [], []]
-        digest, spans = [], []
+        digest, spans, all_spans = [], [], []
         for t in batch.column(1).to_pylist():
             found = find(t, automaton) if t else {}
             for c, k in zip(counts, KINDS, strict=False):
                 c.append(len(found.get(k, ())))
             digest.append(sha256(base.encode()).hexdigest() if (base := written(found, KINDS[:4])) else NOTHING)
             spans.append(written(found) if found else "")
+            all_spans.append(sum(map(len, found.values())))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())],
-            names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(all_spans, pa.int64())],
+            names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -210,3 +215,45 @@ def redact(docs: DataFrame) -> DataFrame:
         return batch
 
     return map_batches(docs, run, docs.schema, setup=anchors)
+
+
+def sql() -> str:
+    """The rows of ``report`` in DuckDB SQL, over the view ``documents``: whole-text patterns; what stands before each match gives its place."""
+    edge, sep = r"(?:^|[^\p{L}\p{N}_])", r"[\x20\t]*[:=#]?[\x20\t]*"
+    value, one_of = r"[A-Za-z0-9_.~+/=-]{8,}", lambda cues: "(?:" + "|".join(forms(cues)) + ")"
+    user = r"""[^\x09-\x0D\x20/?#@:"'<>]+:[^\x09-\x0D\x20/?#@"'<>]+"""
+    # (kind, what leads up to the span, span, what has to follow)
+    patterns = [
+        *((k, "", re.sub(r"\((?=\\|\[)", "(?:", BASE[k]), "") for k in KINDS[:4]),
+        ("url", "://", user, "@"),
+        ("secret", f"{edge}{one_of(SECRET_CUES)}[\\x20\\t]*[:=][\\x20\\t]*\"", value, '"'),
+        ("secret", f"{edge}{one_of(SECRET_CUES)}[\\x20\\t]*[:=][\\x20\\t]*'", value, "'"),
+        ("secret", f"{edge}{one_of(SECRET_CUES)}[\\x20\\t]*[:=][\\x20\\t]*", value, ""),
+        ("iban", f"{edge}{one_of((*ACCOUNT_CUES, *NUMBER_CUES))}{sep}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8}", r"(?:[^A-Za-z0-9]|$)"),
+        ("account", f"{edge}{one_of((*ACCOUNT_CUES, *NUMBER_CUES))}{sep}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?:[^0-9-]|$)"),
+        ("account", f"{edge}{one_of(NUMBER_CUES)}\\.?[\\x20\\t]*(?:[:=#]|is\\b)?[\\x20\\t]*", r"[0-9](?:[\x20-]?[0-9]){5,16}", r"(?:$|[^A-Za-z0-9\x20-]|[\x20-](?:$|[^0-9]))"),
+    ]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for n, (kind, lead, span, follow) in enumerate(patterns):
+        whole = quoted(f"(?s)(.*?{lead})({span})({follow})")
+        parts.append(f"select r, {n} as pattern, '{kind}' as kind, generate_subscripts(regexp_extract_all(t, {whole}, 2), 1) as i, unnest(regexp_extract_all(t, {whole}, 1)) as lead, unnest(regexp_extract_all(t, {whole}, 2)) as hit, unnest(regexp_extract_all(t, {whole}, 3)) as follow from d")
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: case when i % 2 = 0 then substr(reverse({digits}), i + 1, 1)::int when substr(reverse({digits}), i + 1, 1)::int < 5 then 2 * substr(reverse({digits}), i + 1, 1)::int else 2 * substr(reverse({digits}), i + 1, 1)::int - 9 end)) % 10 = 0"
+    bare = "replace(hit, ' ', '')"
+    turned = f"substr({bare}, 5) || substr({bare}, 1, 4)"
+    modulo = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: case when c >= 'A' then ascii(c) - 55 else c::int end)), lambda a, v: (a * (case when v > 9 then 100 else 10 end) + v) % 97) = 1"
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(parts)}),
+placed as (select r, kind, hit, (sum(length(lead) + length(hit) + length(follow)) over (partition by r, pattern order by i) - length(hit) - length(follow))::bigint as s from m),
+good as (select distinct r, case kind when 'iban' then 'account' else kind end as kind, s, s + length(hit) as e from placed where case kind
+ when 'ip' then len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 or right('000' || x, 3)::int > 255)) = 0
+ when 'card' then length({digits}) between 16 and 19 and {luhn}
+ when 'phone' then length({digits}) between 8 and 15
+ when 'secret' then regexp_matches(hit, '[0-9]')
+ when 'iban' then length({bare}) between 15 and 34 and {modulo} else true end),
+ranked as (select r, kind, s, e, list_position({list(KINDS)!r}, kind) as k from good),
+joined as (select r, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in KINDS[:4])}, string_agg(kind || ':' || s || ':' || e, ',' order by k, s) filter (k <= 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by k, s) as spans, count(*) as n_spans from ranked group by r)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in KINDS[:4])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0)::bigint as n_spans from d left join joined using (r)
+"""
