@@ -218,7 +218,13 @@ def widest_gap(spark, sf):
     return layout.widest_gap(spans, ["doc_id", "page_no"])
 
 
-@query("nms_regions")
+# every label has three candidates on a page, so three steps are the whole scan
+_NMS = """c as (select doc_id, page_no, region_idx, label, confidence, region_idx * 3 + n as idx, (confidence - dx / 1000)::float as conf, "left" + dx as l, top as t, "right" + dx as r, bottom as b, n from regions, (values (0, 0), (1, 20), (2, 400)) s(n, dx)),
+ near as (select a.doc_id, a.page_no, a.label, a.n as n, b.n as m, greatest(0, least(a.r, b.r) - greatest(a.l, b.l)) * greatest(0, least(a.b, b.b) - greatest(a.t, b.t)) as shared, (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) as areas from c a join c b on a.doc_id = b.doc_id and a.page_no = b.page_no and a.label = b.label and a.n < b.n),
+ over as (select doc_id, page_no, label, bool_or(shared > 0.5 * (areas - shared)) filter (n = 0 and m = 1) as o1, bool_or(shared > 0.5 * (areas - shared)) filter (n = 0 and m = 2) as o2, bool_or(shared > 0.5 * (areas - shared)) filter (n = 1 and m = 2) as o3 from near group by 1, 2, 3)"""
+
+
+@query("nms_regions", oracle("""select c.doc_id, c.page_no, c.idx as region_idx, c.label, c.conf as confidence, c.l as "left", c.t as top, c.r as "right", c.b as bottom from c join over o on c.doc_id = o.doc_id and c.page_no = o.page_no and c.label = o.label where c.n = 0 or (c.n = 1 and not o1) or (c.n = 2 and not o2 and (o1 or not o3))""", _NMS))
 def nms_regions(spark, sf):
     """Three shifted copies of every region, with falling confidence."""
     base = adapter.regions(spark, sf)
