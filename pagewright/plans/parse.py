@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import assembly, binding, layout, models, office, tables
 from pagewright.sources import files, pdf
+from pagewright.streaming.run import once
 
 BOX = ("left", "top", "right", "bottom")
 PAGE = ["doc_id", "page_no"]
@@ -38,7 +39,8 @@ def assemble(pages: DataFrame, lines: DataFrame, regions: DataFrame, cells: Data
     page_source = pages.select(*PAGE, F.col("source").alias("page_source"))
     source = assembly.text_source(F.col("origin"), F.col("page_source"))
     texts = ordered.join(page_source, PAGE, "left").withColumn("source", source).withColumn("label", assembly.item_label(F.col("region_label")))
-    texts = assembly.stable_refs(texts, "texts", ["page_no", "read_idx"]).withColumn("tag", assembly.source_tag(collector, F.col("source"), F.col("confidence")))
+    # the reading order is found by sequential scans: once, for all the tables below
+    texts = once(assembly.stable_refs(texts, "texts", ["page_no", "read_idx"]).withColumn("tag", assembly.source_tag(collector, F.col("source"), F.col("confidence"))))
     offsets = assembly.text_offsets(texts, ["page_no", "read_idx"])
     part = lambda label, arena: assembly.stable_refs(regions.filter(F.col("label") == label), arena, ["page_no", "region_idx"])
     table_items, pictures = part("table", "tables"), part("figure", "pictures")
@@ -98,6 +100,8 @@ def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFram
     ``events`` holds the office documents' events (doc_id, seq, kind, payload),
     as an office program gives them.  A document that cannot be read, and an
     office document without events, gives a row of ``errors`` and nothing else.
+    What files and models give is computed here, once, and kept in the shared
+    folder; the tables are lazy plans over it.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     route = files.routed(docs)
@@ -110,19 +114,19 @@ def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFram
         if config.renderer:
             pixels = pixels.unionByName(config.renderer(route.filter("route = 'pdf'"), models.needs_models(pages.filter("source = 'DIGITAL_PDF' or not skip_ocr"), bool(config.detector), False)))
         if config.recognizer:
-            lines = binding.merge_recognised(lines, models.recognised_lines(pixels, config.recognizer)).withColumn("line_idx", F.col("merged_idx")).drop("merged_idx", "src_ord")
+            lines = binding.merge_recognised(lines, once(models.recognised_lines(pixels, config.recognizer))).withColumn("line_idx", F.col("merged_idx")).drop("merged_idx", "src_ord")
         if config.detector:
-            regions = models.detected_regions(pixels, config.detector)
+            regions = once(models.detected_regions(pixels, config.detector))
     figures, fields = spark.createDataFrame([], _FIGURE.format(kind)), spark.createDataFrame([], _FIELD.format(kind))
     if config.detector and config.cropper:
         crops = models.cropped(pixels, regions, config.cropper)
         if config.structurer:
-            cells = models.structured_cells(crops, config.structurer)
+            cells = once(models.structured_cells(crops, config.structurer))
         if config.classifier:
             figures = models.classified(crops, config.classifier)
             figures = models.decoded(figures, config.decoder, config.barcodes) if config.decoder else figures.withColumn("barcodes", F.array().cast(models.BARCODES))
             named = assembly.stable_refs(regions.filter("label = 'figure'"), "pictures", ["page_no", "region_idx"]).select(*PAGE, "region_idx", "ref")
-            figures = named.join(figures, [*PAGE, "region_idx"]).select(*PAGE, "region_idx", "ref", "figure_classes", "barcodes")
+            figures = once(named.join(figures, [*PAGE, "region_idx"]).select(*PAGE, "region_idx", "ref", "figure_classes", "barcodes"))
     out = assemble(pages, lines, regions, cells, config.collector)
     unread = route.filter("route = 'office'").select("doc_id")
     if events is not None:

@@ -8,9 +8,10 @@ from pagewright.functions import content as C
 from pagewright.functions import geometry as G
 from pagewright.functions import tensors
 from pagewright.operators import assembly, binding, documents, metrics
-from pagewright.plans import adapter
+from pagewright.plans import adapter, parse
 from pagewright.plans.adapter import oracle
 from pagewright.plans.catalog import query, table
+from pagewright.sources import pdf
 
 
 def _docs(spark, sf):
@@ -294,3 +295,43 @@ def options_check(spark, sf):
     options = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("to_formats"), F.lit("TEXT"), F.lit("ocr_lang"), F.lit("de"))).otherwise(F.create_map(F.lit("collectors"), F.lit("CV")))
     formats = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 3 == 1, F.array(F.lit("JSON"))).otherwise(F.array(F.lit("JSON"), F.lit("TEXT")))
     return _docs(spark, sf).select("doc_id", F.array_join(documents.unset_option_errors(options), ",").alias("rejected"), C.requested(formats, "TEXT").alias("text_wanted"))
+
+
+def _pdfs(spark, sf):
+    """Every document as a PDF file: its lines that are no white space, 40 to a page, as strings of hexadecimal digits in Latin-1."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    latin = lambda x: F.hex(F.encode(F.regexp_replace(x, r"[^\x00-\xFF]", "?"), "ISO-8859-1"))
+    shown = F.transform(lines, lambda x, k: F.concat(F.lit("BT /F1 10 Tf 50 "), (770 - 18 * (k % 40)).cast("string"), F.lit(" Td <"), latin(x), F.lit("> Tj ET\n")))
+    rows = _docs(spark, sf).filter("text is not null").select("doc_id", shown.alias("shown")).filter("size(shown) > 0")
+    pages = F.sequence(F.lit(0), F.expr("(size(shown) - 1) div 40").cast("int"))
+    number = lambda c: c.cast("string")
+    kids = F.array_join(F.transform(pages, lambda p: F.concat(number(3 + 2 * p), F.lit(" 0 R"))), " ")
+
+    def page(p):
+        body = F.array_join(F.slice("shown", p * 40 + 1, 40), "")
+        head = F.concat(number(3 + 2 * p), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Contents "), number(4 + 2 * p), F.lit(" 0 R >>\nendobj\n"))
+        return F.concat(head, number(4 + 2 * p), F.lit(" 0 obj\n<< /Length "), number(F.length(body)), F.lit(" >>\nstream\n"), body, F.lit("\nendstream\nendobj\n"))
+
+    text = F.concat(
+        F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 612 792] /Kids ["), kids, F.lit("] >>\nendobj\n"), F.array_join(F.transform(pages, page), ""), F.lit("trailer\n<< /Root 1 0 R >>\n%%EOF")
+    )
+    return rows.select("doc_id", F.concat(number(F.col("doc_id")), F.lit(".pdf")).alias("filename"), F.lit("").alias("content_type"), F.encode(text, "ISO-8859-1").alias("content"))
+
+
+_LATIN = "l as (select doc_id, unnest(s) as x, generate_subscripts(s, 1) as k from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as s from documents))"
+
+
+@query("parse_pdf", f"with {_LATIN} select doc_id, string_agg(trim(regexp_replace(x, '[^\\x00-\\xFF]', '?', 'g')), chr(10) order by k) as text, ((max(k) - 1) // 40 + 1)::int as pages, count(*) as items from l group by 1")
+def parse_pdf(spark, sf):
+    """Whole PDF files to their text, through pages, lines, reading order and items."""
+    out = parse.parse_documents(_pdfs(spark, sf))
+    pages = out["pages"].groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+    items = out["items"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"))
+    return out["texts"].join(pages, "doc_id").join(items, "doc_id").select("doc_id", "text", "pages", "items")
+
+
+@query("parse_pdf_boxes", f"with {_LATIN} select doc_id, ((k - 1) // 40 + 1)::int as page_no, count(*) as n, min(k * 0 + 50) as pt from l group by 1, 2")
+def parse_pdf_boxes(spark, sf):
+    """Lines of each page of the PDF files and their left edge in points."""
+    rows = pdf.pdf_rows(_pdfs(spark, sf))
+    return rows.groupBy("doc_id", "page_no").agg(F.count("line_idx").alias("n"), F.min("left_pt").cast("bigint").alias("pt"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import pixels
+from pagewright.streaming.run import once
 
 OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -223,8 +224,11 @@ def pdf_rows(docs: DataFrame) -> DataFrame:
 
 
 def pdf_pages_and_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, lines, errors): pixels at 200 DPI, and whether recognition can be skipped on a page."""
-    rows = pdf_rows(docs)
+    """(pages, lines, errors): pixels at 200 DPI, and whether recognition can be skipped on a page.
+
+    The files are parsed once, here; the three tables are read from the shared folder.
+    """
+    rows = once(pdf_rows(docs))
     bare = F.octet_length(F.regexp_replace("text", r"[ \t\n\r\f\x0B]", ""))
     high = F.first("height_pt")
     cover = F.when(high > 0, (F.greatest(F.lit(0.0), F.max("bottom_pt")) - F.least(high, F.min("top_pt"))) / high).otherwise(F.lit(0.0))

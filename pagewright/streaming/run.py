@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
+def once(table: DataFrame) -> DataFrame:
+    """``table`` computed now and kept in the shared folder, for what is dear to compute and read by several branches."""
+    sc = table.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(table.sparkSession))
+    return table.checkpoint()
+
+
 def to_the_end(table: DataFrame, plan: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
     """Writes ``table`` as the stream's source, runs ``plan`` until all is read, and returns what it wrote."""
     spark = table.sparkSession
