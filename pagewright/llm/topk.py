@@ -31,6 +31,8 @@ from pagewright.llm.common import map_batches, saved
 SCALE = 1024
 BUCKET = 4096
 QUERIES = 1024
+#: The longest bucket of each dimension is broadcast for up to so many dimensions, the heads of query blocks up to so many blocks; beyond, keys are salted.
+BROADCAST_DIMS, BROADCAST_HEADS, SALTS = 16, 100_000, 64
 #: From this cosine on, coordinate pruning takes over from length pruning.
 COSINE = 0.6
 _BLOCK = "dim int, n int, most double, ids binary, lengths binary, data binary"
@@ -55,7 +57,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             for at in range(0, len(own), size):
                 k = own[at : at + size]
                 data = flat[(offsets[k][:, None] + np.arange(dim)).ravel()] if dim else flat[:0]
-                yield int(dim), len(k), float(norms[k].max(initial=0.0)), ids[k].tobytes(), norms[k].tobytes(), data.tobytes()
+                yield int(dim), len(k), float(norms[k].max(initial=0.0)), ids[k].tobytes(), norms[k].tobytes(), _narrow(data)
 
     def run(batches):
         held: list[tuple] = []
@@ -86,8 +88,17 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "norm", "v").mapInArrow(run, _BLOCK)
 
 
+def _narrow(data: np.ndarray) -> bytes:
+    """The integers in the smallest of 2, 4 or 8 bytes each that holds them all."""
+    for kind in (np.int16, np.int32):
+        if not data.size or (data.min() >= np.iinfo(kind).min and data.max() <= np.iinfo(kind).max):
+            return data.astype(kind).tobytes()
+    return data.tobytes()
+
+
 def _open(dim, n, ids, lengths, data):
-    return np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.float64), np.frombuffer(data, np.int64).reshape(n, dim)
+    kind = {2: np.int16, 4: np.int32}.get(len(data) // max(1, n * dim), np.int64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.float64), np.frombuffer(data, kind).reshape(n, dim).astype(np.int64)
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -180,10 +191,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         keep = [batch.column(i) for i in range(6)]
         return pa.RecordBatch.from_arrays([*keep, pa.array(thetas, pa.binary()), pa.array(needs, pa.float64())], names=["block", "dim", "n", "ids", "lengths", "data", "theta", "need"])
 
-    # one bucket a dimension: as many rows as query blocks
-    asked_blocks = saved(map_batches(blocks.select("block", "dim", "n", "ids", "lengths", "data").join(longest, "dim").select("block", "dim", "n", "ids", "lengths", "data", "pn", "pids", "plengths", "pdata"), bounds, "block bigint, dim int, n int, ids binary, lengths binary, data binary, theta binary, need double"))
+    # one bucket a dimension, and mostly one dimension: broadcast, or in SALTS copies, so that no task gets all query blocks
+    few = first.limit(BROADCAST_DIMS + 1).count() <= BROADCAST_DIMS
+    salt = F.pmod("block", F.lit(1 if few else SALTS)).cast("int")
+    copies = F.broadcast(longest.withColumn("salt", F.lit(0))) if few else longest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked_blocks = saved(map_batches(blocks.select("block", "dim", "n", "ids", "lengths", "data", salt.alias("salt")).join(copies, ["dim", "salt"]).select("block", "dim", "n", "ids", "lengths", "data", "pn", "pids", "plengths", "pdata"), bounds, "block bigint, dim int, n int, ids binary, lengths binary, data binary, theta binary, need double"))
     # which bucket meets which block, by the small columns alone
-    meet = candidates.select("bucket", "dim", "most").join(asked_blocks.select("block", "dim", "need"), "dim").filter("most >= need").select("bucket", "block")
+    heads = asked_blocks.select("block", "dim", "need")
+    if heads.count() <= BROADCAST_HEADS:
+        meet = candidates.select("bucket", "dim", "most").join(F.broadcast(heads), "dim")
+    else:
+        spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        meet = candidates.select("bucket", "dim", "most", F.pmod("bucket", F.lit(SALTS)).cast("int").alias("salt")).join(spread, ["dim", "salt"])
+    meet = meet.filter("most >= need").select("bucket", "block")
     pairs = meet.join(asked_blocks, "block").join(candidates.select("bucket", F.col("n").alias("pn"), F.col("ids").alias("pids"), F.col("lengths").alias("plengths"), F.col("data").alias("pdata")), "bucket")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:

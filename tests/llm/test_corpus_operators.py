@@ -208,8 +208,12 @@ def test_long_texts_are_cut_into_pieces_without_loss():
 # --- 4: top-k ---------------------------------------------------------------
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("spread", [0.0, 3.0])
-def test_top_k(spark, spread):
+def test_top_k(spark, spread, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(topk, "BROADCAST_DIMS", 0)
+        monkeypatch.setattr(topk, "BROADCAST_HEADS", 0)
     rng = np.random.default_rng(3)
     rows = []
     for i in range(600):
@@ -229,6 +233,14 @@ def test_top_k(spark, spread):
     assert topk.top_k(df.limit(0), "vec_id % 100 = 0").collect() == []
 
 
+def test_blocks_are_kept_in_few_bytes():
+    for top, width in ((2**15 - 1, 2), (2**15, 4), (2**31 - 1, 4), (2**31, 8), (-(2**15), 2)):
+        data = topk._narrow(np.array([top, -3, 0, 7], dtype=np.int64))
+        assert len(data) == 4 * width
+        ids = np.arange(2, dtype=np.int64).tobytes()
+        assert topk._open(2, 2, ids, np.ones(2).tobytes(), data)[2].tolist() == [[top, -3], [0, 7]]
+
+
 def test_products_stay_exact():
     rng = np.random.default_rng(1)
     for size in (2**10, 2**27, 2**34):
@@ -343,7 +355,7 @@ def test_pii_report_and_redaction(spark):
     got = {r.doc_id: r for r in pii.report(docs).collect()}
     assert (got[3].n_email, got[3].n_ip, got[3].n_card, got[3].n_phone) == (1, 1, 1, 1)
     assert got[3].base_sha256 == hashlib.sha256(got[3].spans.encode()).hexdigest()
-    assert got[3].spans.startswith("email:2:10,ip:15:23,card:25:44")
+    assert got[3].spans.startswith("email:2:10,ip:15:23,card:25:44") and got[3].n_spans == 4
     assert got[0].spans == got[1].spans == got[2].spans == got[5].spans == ""
     assert [s.split(":")[0] for s in got[4].spans.split(",")] == ["email", "url", "secret", "account"]
     red = {r.doc_id: r for r in pii.redact(docs.select("doc_id", "text", "n_chars")).collect()}
