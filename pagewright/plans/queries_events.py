@@ -11,7 +11,23 @@ from pagewright.plans.catalog import query, table
 from pagewright.plans.queries_office import _event, _json
 
 _P = "p as (select p_partkey // 20 as doc_id, p_partkey as seq, p_partkey % 20 as k, p_name as name, p_brand as brand, p_size as size from part)"
-K, NAME, BRAND, SIZE = F.col("k"), F.col("name"), F.col("brand"), F.col("size")
+
+
+def k():
+    return F.col("k")
+
+
+def name():
+    return F.col("name")
+
+
+def brand():
+    return F.col("brand")
+
+
+def size():
+    return F.col("size")
+
 
 
 def sql(select: str, *more: str) -> str:
@@ -55,7 +71,7 @@ def _place(*edges: str):
 )
 def event_table(spark, sf):
     cell = lambda r, c, n, t: F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(n).alias("name"), t.alias("text"))
-    events = _events(spark, sf, "table", rows=F.lit(2), columns=F.lit(3), cells=F.array(cell(0, 1, "B1", NAME), cell(0, -1, "odd", BRAND)), page_index=F.lit(0), start=_point(F.lit(10), F.lit(20)), end=_point(F.lit(5), SIZE))
+    events = _events(spark, sf, "table", rows=F.lit(2), columns=F.lit(3), cells=F.array(cell(0, 1, "B1", name()), cell(0, -1, "odd", brand())), page_index=F.lit(0), start=_point(F.lit(10), F.lit(20)), end=_point(F.lit(5), size()))
     items = office.office_items(events, ("table",))
     return items.select("doc_id", "ref", F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"), F.size("cells").alias("n_cells"), F.get("cells", F.lit(0))["text"].alias("text"), _field("cell:odd").alias("odd"), *_place("left", "top", "right", "bottom"))
 
@@ -65,15 +81,15 @@ def event_table(spark, sf):
     sql("""select doc_id, '#/pictures/' || k as ref, '#/body' as parent_ref, to_json(name)::varchar as named, case when k % 2 = 0 then 'data:image/png;base64,' || to_base64(encode(brand)) else '' end as uri, 7::bigint as "left", (7 + size)::bigint as "right", 39::bigint as bottom from p"""),
 )
 def event_embedded_image(spark, sf):
-    data = F.when(K % 2 == 0, F.base64(F.encode(BRAND, "utf-8"))).otherwise("")
-    events = _events(spark, sf, "embedded_image", name=NAME, group_path=F.lit(""), mime_type=F.lit("image/png"), data=data, page_index=F.lit(1), anchor=_point(F.lit(7), F.lit(9)), width_twips=SIZE, height_twips=F.lit(30))
+    data = F.when(k() % 2 == 0, F.base64(F.encode(brand(), "utf-8"))).otherwise("")
+    events = _events(spark, sf, "embedded_image", name=name(), group_path=F.lit(""), mime_type=F.lit("image/png"), data=data, page_index=F.lit(1), anchor=_point(F.lit(7), F.lit(9)), width_twips=size(), height_twips=F.lit(30))
     items = office.office_items(events, ("embedded_image",))
     return items.select("doc_id", "ref", "parent_ref", _field("name").alias("named"), F.coalesce("image_uri", F.lit("")).alias("uri"), *_place("left", "right", "bottom"))
 
 
 @query("event_footnote", sql("""select doc_id, '#/texts/' || k as ref, 'FOOTNOTE' as label, name || ' ' || brand as text, case when k % 3 = 0 then 'true' else 'false' end as endnote, case when k % 2 = 0 then '"*"' else '' end as mark, (length(name) + length(brand) + 1)::bigint as "end" from p"""))
 def event_footnote(spark, sf):
-    events = _events(spark, sf, "footnote", runs=_runs(NAME, F.lit(" "), BRAND), label=F.when(K % 2 == 0, "*").otherwise(""), endnote=K % 3 == 0, page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)))
+    events = _events(spark, sf, "footnote", runs=_runs(name(), F.lit(" "), brand()), label=F.when(k() % 2 == 0, "*").otherwise(""), endnote=k() % 3 == 0, page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)))
     return office.office_items(events, ("footnote",)).select("doc_id", "ref", "label", "text", _field("endnote").alias("endnote"), _field("label").alias("mark"), *_place("end"))
 
 
@@ -82,8 +98,8 @@ def event_footnote(spark, sf):
     sql("""select doc_id, '#/texts/' || (2 * k + i) as ref, '#/furniture' as parent_ref, 'FURNITURE' as layer, case when k % 2 = 0 then 'PAGE_FOOTER' else 'PAGE_HEADER' end as label, case i when 0 then name else brand end as text, '"Standard"' as style, 0 as places from p, (values (0), (1)) t(i)"""),
 )
 def event_header_footer(spark, sf):
-    paragraphs = F.array(*(F.struct(_runs(t).alias("runs")) for t in (NAME, BRAND)))
-    items = office.office_items(_events(spark, sf, "header_footer", footer=K % 2 == 0, page_style=F.lit("Standard"), paragraphs=paragraphs), ("header_footer",))
+    paragraphs = F.array(*(F.struct(_runs(t).alias("runs")) for t in (name(), brand())))
+    items = office.office_items(_events(spark, sf, "header_footer", footer=k() % 2 == 0, page_style=F.lit("Standard"), paragraphs=paragraphs), ("header_footer",))
     return items.select("doc_id", "ref", "parent_ref", "layer", "label", "text", _field("page_style").alias("style"), F.size("prov").alias("places"))
 
 
@@ -92,13 +108,13 @@ def event_header_footer(spark, sf):
     sql("""select doc_id, 'page_style:' || (k % 3) as key, '{"width_twips":' || arg_max(size, seq)::double || ',"height_twips":15840.0,"margin_left_twips":0.0,"margin_right_twips":0.0,"margin_top_twips":0.0,"margin_bottom_twips":72.0,"columns":2.0}' as value from p group by 1, 2"""),
 )
 def event_page_style(spark, sf):
-    events = _events(spark, sf, "page_style", name=(K % 3).cast("string"), width_twips=SIZE, height_twips=F.lit(15840), margin_bottom_twips=F.lit(72), columns=F.lit(2))
+    events = _events(spark, sf, "page_style", name=(k() % 3).cast("string"), width_twips=size(), height_twips=F.lit(15840), margin_bottom_twips=F.lit(72), columns=F.lit(2))
     return office.body_fields(office.office_items(events, ("page_style",)))
 
 
 @query("event_document_index", sql("""select doc_id, '#/texts/' || k as ref, 'DOCUMENT_INDEX' as label, name as text, '"TOC"' as kind, to_json(brand)::varchar as title, 2 as page, length(name)::bigint as "end" from p"""))
 def event_document_index(spark, sf):
-    events = _events(spark, sf, "document_index", runs=_runs(NAME), type=F.lit("TOC"), title=BRAND, page_index=F.lit(2), anchor=_point(F.lit(1), F.lit(2)))
+    events = _events(spark, sf, "document_index", runs=_runs(name()), type=F.lit("TOC"), title=brand(), page_index=F.lit(2), anchor=_point(F.lit(1), F.lit(2)))
     return office.office_items(events, ("document_index",)).select("doc_id", "ref", "label", "text", _field("index_type").alias("kind"), _field("title").alias("title"), F.get("prov", F.lit(0))["page_index"].alias("page"), *_place("end"))
 
 
@@ -108,8 +124,8 @@ def event_document_index(spark, sf):
  case k % 4 when 0 then 'PICTURE_AREA' when 1 then 'TEXT' else 'PICTURE' end as label, case k % 4 when 1 then name else '' end as text, case k % 4 when 0 then '' else '"Shape"' end as shape from p"""),
 )
 def event_drawing_shape(spark, sf):
-    group = F.when(K % 4 == 0, "").otherwise((K - K % 4).cast("string"))
-    events = _events(spark, sf, "drawing_shape", page_index=F.lit(3), group_path=group, z_order=K, is_group=K % 4 == 0, has_text=K % 4 == 1, name=BRAND, shape_type=F.lit("Shape"), runs=_runs(NAME), position=_point(F.lit(1), F.lit(2)), width_twips=F.lit(3), height_twips=F.lit(4))
+    group = F.when(k() % 4 == 0, "").otherwise((k() - k() % 4).cast("string"))
+    events = _events(spark, sf, "drawing_shape", page_index=F.lit(3), group_path=group, z_order=k(), is_group=k() % 4 == 0, has_text=k() % 4 == 1, name=brand(), shape_type=F.lit("Shape"), runs=_runs(name()), position=_point(F.lit(1), F.lit(2)), width_twips=F.lit(3), height_twips=F.lit(4))
     return office.office_items(events, ("drawing_shape",)).select("doc_id", "ref", "parent_ref", "label", F.coalesce("text", F.lit("")).alias("text"), _field("shape_type").alias("shape"))
 
 
@@ -119,17 +135,17 @@ def event_drawing_shape(spark, sf):
  union all select doc_id, 'texts', '#/texts/' || k, '#/groups/' || k, '', name, '', length(name) from p"""),
 )
 def event_text_frame(spark, sf):
-    events = _events(spark, sf, "text_frame", name=BRAND, chain_next=F.when(K % 2 == 0, NAME).otherwise(""), runs=_runs(NAME), page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)), width_twips=F.lit(3), height_twips=F.lit(4))
+    events = _events(spark, sf, "text_frame", name=brand(), chain_next=F.when(k() % 2 == 0, name()).otherwise(""), runs=_runs(name()), page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)), width_twips=F.lit(3), height_twips=F.lit(4))
     items = office.office_items(events, ("text_frame",))
     return items.select("doc_id", "arena", "ref", "parent_ref", F.coalesce("name", F.lit("")).alias("named"), F.coalesce("text", F.lit("")).alias("text"), _field("chain_next").alias("next"), F.coalesce(F.get("prov", F.lit(0))["end"], F.lit(0)).alias("end"))
 
 
 def _shapes(spark, sf):
     """Groups with four shapes each; the second and third have an anchor, the others a position on one of two pages."""
-    group = F.when(K % 5 == 0, "").otherwise((K - K % 5).cast("string"))
-    anchor = F.when((K % 5).isin(2, 3), _point(F.lit(4), F.lit(6)))
-    position = F.when(~(K % 5).isin(2, 3), _point(F.lit(8), SIZE * 40))
-    shapes = _events(spark, sf, "shape", name=BRAND, group_path=group, z_order=K, is_group=K % 5 == 0, shape_type=F.lit("S"), runs=_runs(NAME), page_index=F.lit(0), anchor=anchor, position=position, width_twips=F.lit(10), height_twips=F.lit(20))
+    group = F.when(k() % 5 == 0, "").otherwise((k() - k() % 5).cast("string"))
+    anchor = F.when((k() % 5).isin(2, 3), _point(F.lit(4), F.lit(6)))
+    position = F.when(~(k() % 5).isin(2, 3), _point(F.lit(8), size() * 40))
+    shapes = _events(spark, sf, "shape", name=brand(), group_path=group, z_order=k(), is_group=k() % 5 == 0, shape_type=F.lit("S"), runs=_runs(name()), page_index=F.lit(0), anchor=anchor, position=position, width_twips=F.lit(10), height_twips=F.lit(20))
     rect = lambda y: F.struct(F.lit(0).alias("x_twips"), F.lit(y).alias("y_twips"), F.lit(500).alias("width_twips"), F.lit(1000).alias("height_twips"))
     return shapes.unionByName(_once(spark, sf, "document_info", -1, page_rects=F.array(rect(0), rect(1000))))
 
@@ -160,10 +176,10 @@ def event_shape_pages(spark, sf):
  to_json(brand)::varchar as named, case k % 3 when 1 then 4 else 0 end as n_rows, case k % 3 when 1 then name else '' end as cell, case k % 3 when 2 then 'data:image/svg;base64,QQ==' else '' end as uri, (1 + size)::bigint as "right" from p"""),
 )
 def event_embedded_object(spark, sf):
-    kind = F.when(K % 3 == 0, "FORMULA").when(K % 3 == 1, "SPREADSHEET").otherwise("OTHER")
-    cells = F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("column"), F.lit("A1").alias("name"), NAME.alias("text")))
+    kind = F.when(k() % 3 == 0, "FORMULA").when(k() % 3 == 1, "SPREADSHEET").otherwise("OTHER")
+    cells = F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("column"), F.lit("A1").alias("name"), name().alias("text")))
     inner = F.struct(F.lit(4).alias("rows"), F.lit(2).alias("columns"), cells.alias("cells"))
-    events = _events(spark, sf, "embedded_object", kind=kind, name=BRAND, formula=F.concat(F.lit("a = "), NAME), inner_table=inner, replacement_mime_type=F.lit("image/svg"), replacement_image=F.lit("QQ=="), page_index=F.lit(0), position=_point(F.lit(1), F.lit(2)), width_twips=SIZE, height_twips=F.lit(3))
+    events = _events(spark, sf, "embedded_object", kind=kind, name=brand(), formula=F.concat(F.lit("a = "), name()), inner_table=inner, replacement_mime_type=F.lit("image/svg"), replacement_image=F.lit("QQ=="), page_index=F.lit(0), position=_point(F.lit(1), F.lit(2)), width_twips=size(), height_twips=F.lit(3))
     items = office.office_items(events, ("embedded_object",))
     return items.select("doc_id", "ref", "label", F.coalesce("text", F.lit("")).alias("text"), _field("name").alias("named"), F.coalesce("rows", F.lit(0)).alias("n_rows"), F.coalesce(F.try_element_at("cells", F.lit(1))["text"], F.lit("")).alias("cell"), F.coalesce("image_uri", F.lit("")).alias("uri"), *_place("right"))
 
@@ -178,8 +194,8 @@ def _range(c1, r1, c2, r2):
  union all select doc_id, 'database_range:' || k, '{"sheet_index":' || size::double || ',"range":"B' || (k + 1) || ':AA' || (k + 4) || '","contains_header":' || (k % 4 = 1) || ',"totals_row":false,"auto_filter":true}' from p where k % 2 = 1"""),
 )
 def event_ranges(spark, sf):
-    named = _events(spark, sf, "sheet_named_range", name=F.concat(NAME, K.cast("string")), content=BRAND, type_flags=K % 4).filter("seq % 2 = 0")
-    based = _events(spark, sf, "sheet_database_range", name=K.cast("string"), sheet_index=SIZE, range=_range(F.lit(1), K, F.lit(26), K + 3), contains_header=K % 4 == 1, auto_filter=F.lit(True)).filter("seq % 2 = 1")
+    named = _events(spark, sf, "sheet_named_range", name=F.concat(name(), k().cast("string")), content=brand(), type_flags=k() % 4).filter("seq % 2 = 0")
+    based = _events(spark, sf, "sheet_database_range", name=k().cast("string"), sheet_index=size(), range=_range(F.lit(1), k(), F.lit(26), k() + 3), contains_header=k() % 4 == 1, auto_filter=F.lit(True)).filter("seq % 2 = 1")
     return office.body_fields(office.office_items(named.unionByName(based), ("sheet_named_range", "sheet_database_range")))
 
 
@@ -194,7 +210,7 @@ def _hidden_sheet(spark, sf):
 )
 def event_sheet_comment(spark, sf):
     """Every second comment lies on a sheet that nothing defines."""
-    said = _events(spark, sf, "sheet_cell_comment", sheet_index=F.when(K % 2 == 0, 1).otherwise(5), row=SIZE, column=K % 3, text=NAME, author=BRAND)
+    said = _events(spark, sf, "sheet_cell_comment", sheet_index=F.when(k() % 2 == 0, 1).otherwise(5), row=size(), column=k() % 3, text=name(), author=brand())
     items = office.office_items(_hidden_sheet(spark, sf).unionByName(said), ("sheet", "sheet_cell_comment")).filter("kind = 'sheet_cell_comment'")
     return items.select("doc_id", "ref", "parent_ref", "label", "layer", F.coalesce("text", F.lit("")).alias("text"), _field("cell").alias("cell"), _field("author").alias("author"))
 
@@ -204,8 +220,8 @@ def event_sheet_comment(spark, sf):
     sql("""select doc_id, '#/pictures/' || k as ref, '#/groups/0' as parent_ref, 'CHART' as label, 'INVISIBLE' as layer, to_json(name)::varchar as named, case when k % 2 = 0 then '["A1:C' || (size + 1) || '","D2:D2"]' else '' end as ranges, (k % 3 = 0)::varchar as headers, 1 as page from p"""),
 )
 def event_sheet_chart(spark, sf):
-    ranges = F.when(K % 2 == 0, F.array(_range(F.lit(0), F.lit(0), F.lit(2), SIZE), _range(F.lit(3), F.lit(1), F.lit(3), F.lit(1))))
-    drawn = _events(spark, sf, "sheet_chart", sheet_index=F.lit(1), name=NAME, ranges=ranges, has_column_headers=K % 3 == 0)
+    ranges = F.when(k() % 2 == 0, F.array(_range(F.lit(0), F.lit(0), F.lit(2), size()), _range(F.lit(3), F.lit(1), F.lit(3), F.lit(1))))
+    drawn = _events(spark, sf, "sheet_chart", sheet_index=F.lit(1), name=name(), ranges=ranges, has_column_headers=k() % 3 == 0)
     items = office.office_items(_hidden_sheet(spark, sf).unionByName(drawn), ("sheet", "sheet_chart")).filter("kind = 'sheet_chart'")
     return items.select("doc_id", "ref", "parent_ref", "label", "layer", _field("name").alias("named"), _field("source_ranges").alias("ranges"), _field("has_column_headers").alias("headers"), F.get("prov", F.lit(0))["page_index"].alias("page"))
 
@@ -215,8 +231,8 @@ def event_sheet_chart(spark, sf):
     sql("""select doc_id, '#/tables/' || (k + 1) as ref, '#/groups/0' as parent_ref, 'INVISIBLE' as layer, size + 1 as n_rows, 3 as n_cols, to_json(name)::varchar as pivot, '"A1:B9"' as source, case when k % 2 = 0 then '["x",' || to_json(brand) || ']' else '' end as row_fields from p"""),
 )
 def event_sheet_pivot(spark, sf):
-    rows = F.when(K % 2 == 0, F.array(F.lit("x"), BRAND)).otherwise(F.array().cast("array<string>"))
-    made = _events(spark, sf, "sheet_pivot_table", sheet_index=F.lit(1), name=NAME, source_range=_range(F.lit(0), F.lit(0), F.lit(1), F.lit(8)), output_range=_range(F.lit(2), F.lit(10), F.lit(4), SIZE + 10), row_fields=rows)
+    rows = F.when(k() % 2 == 0, F.array(F.lit("x"), brand())).otherwise(F.array().cast("array<string>"))
+    made = _events(spark, sf, "sheet_pivot_table", sheet_index=F.lit(1), name=name(), source_range=_range(F.lit(0), F.lit(0), F.lit(1), F.lit(8)), output_range=_range(F.lit(2), F.lit(10), F.lit(4), size() + 10), row_fields=rows)
     items = office.office_items(_hidden_sheet(spark, sf).unionByName(made), ("sheet", "sheet_pivot_table")).filter("kind = 'sheet_pivot_table'")
     return items.select("doc_id", "ref", "parent_ref", "layer", F.col("rows").alias("n_rows"), F.col("cols").alias("n_cols"), _field("pivot_table").alias("pivot"), _field("source_range").alias("source"), _field("row_fields").alias("row_fields"))
 
@@ -227,8 +243,8 @@ def event_sheet_pivot(spark, sf):
  || case when max(k) % 3 = 0 then ',"supersedes":{"kind":"Delete","date_ms":5}' else '' end || '}' as value from p group by 1, 2"""),
 )
 def event_tracked_change(spark, sf):
-    later = F.when(K % 3 == 0, F.struct(F.lit("Delete").alias("kind_name"), F.lit(5).alias("epoch_ms")))
-    events = _events(spark, sf, "tracked_change", index=K % 7, kind_name=F.when(K % 2 == 0, "Insert").otherwise(""), author=BRAND, char_start=K, char_end=K + 3, changed_text=NAME, successor=later)
+    later = F.when(k() % 3 == 0, F.struct(F.lit("Delete").alias("kind_name"), F.lit(5).alias("epoch_ms")))
+    events = _events(spark, sf, "tracked_change", index=k() % 7, kind_name=F.when(k() % 2 == 0, "Insert").otherwise(""), author=brand(), char_start=k(), char_end=k() + 3, changed_text=name(), successor=later)
     return office.body_fields(office.office_items(events, ("tracked_change",)))
 
 
@@ -238,11 +254,11 @@ def event_tracked_change(spark, sf):
  case k % 4 when 2 then '1' else '' end as chosen, case k % 4 when 2 then '["a","b"]' else '' end as entries, case k % 3 when 0 then (k)::varchar when 1 then to_json(name)::varchar else 'null' end as param, case when k % 5 = 0 then k::varchar else '' end as char_start from p"""),
 )
 def event_form_field(spark, sf):
-    typed = F.array(F.struct(F.lit("p").alias("name"), F.when(K % 3 == 0, K).alias("int_value"), F.when(K % 3 == 1, NAME).alias("string_value")))
+    typed = F.array(F.struct(F.lit("p").alias("name"), F.when(k() % 3 == 0, k()).alias("int_value"), F.when(k() % 3 == 1, name()).alias("string_value")))
     events = _events(
         spark, sf, "form_field",
-        kind=F.when(K % 4 < 2, "CHECKBOX").otherwise("DROPDOWN"), checked=K % 4 == 0, text=F.when(K % 2 == 0, NAME).otherwise(""), label=BRAND, selected_index=F.when(K % 4 == 2, 1).otherwise(-1),
-        list_entries=F.when(K % 4 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")), parameters=typed, char_start=F.when(K % 5 == 0, K).otherwise(-1), char_end=K + 1, page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)),
+        kind=F.when(k() % 4 < 2, "CHECKBOX").otherwise("DROPDOWN"), checked=k() % 4 == 0, text=F.when(k() % 2 == 0, name()).otherwise(""), label=brand(), selected_index=F.when(k() % 4 == 2, 1).otherwise(-1),
+        list_entries=F.when(k() % 4 == 2, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")), parameters=typed, char_start=F.when(k() % 5 == 0, k()).otherwise(-1), char_end=k() + 1, page_index=F.lit(0), anchor=_point(F.lit(1), F.lit(2)),
     )
     items = office.office_items(events, ("form_field",)).filter("arena = 'texts'")
     return items.select("doc_id", "ref", "parent_ref", "label", "text", _field("checked").alias("checked"), _field("selected_index").alias("chosen"), _field("list_entries").alias("entries"), _field("param:p").alias("param"), _field("char_start").alias("char_start"))
@@ -254,7 +270,7 @@ def event_form_field(spark, sf):
  union all select doc_id, 'keywords', to_json(arg_max(name, k) filter (k % 2 = 0))::varchar from p group by 1 union all select doc_id, 'language', '"de-CH"' from p group by 1"""),
 )
 def event_metadata(spark, sf):
-    events = _events(spark, sf, "metadata", author=BRAND, subject=F.lit(""), keywords=F.when(K % 2 == 0, NAME).otherwise(""), created_epoch_ms=SIZE, modified_epoch_ms=F.lit(0), language=F.lit("de-CH"))
+    events = _events(spark, sf, "metadata", author=brand(), subject=F.lit(""), keywords=F.when(k() % 2 == 0, name()).otherwise(""), created_epoch_ms=size(), modified_epoch_ms=F.lit(0), language=F.lit("de-CH"))
     return office.body_fields(office.office_items(events, ("metadata",)))
 
 
@@ -263,14 +279,14 @@ def event_metadata(spark, sf):
     sql("""select doc_id, '#/warnings/' || (row_number() over (partition by doc_id order by seq, i) - 1) as ref, case i when 0 then name else brand end as text from p, (values (0), (1)) t(i) where i < k % 3"""),
 )
 def event_status(spark, sf):
-    said = F.slice(F.array(NAME, BRAND), 1, (K % 3).cast("int"))
+    said = F.slice(F.array(name(), brand()), 1, (k() % 3).cast("int"))
     return office.office_items(_events(spark, sf, "status", warnings=said), ("status",)).select("doc_id", "ref", "text")
 
 
 def _infos(spark, sf):
     """Identity events: a document number at the first, titles at the third and later, a status in every second document."""
-    info = _events(spark, sf, "document_info", document_id=F.concat(F.lit("d"), K.cast("string")), source_format=F.lit("odt"))
-    meta = _events(spark, sf, "metadata", title=F.when((K > 2) & (F.col("doc_id") % 3 > 0), NAME).otherwise("")).withColumn("seq", F.col("seq") + 1_000_000)
+    info = _events(spark, sf, "document_info", document_id=F.concat(F.lit("d"), k().cast("string")), source_format=F.lit("odt"))
+    meta = _events(spark, sf, "metadata", title=F.when((k() > 2) & (F.col("doc_id") % 3 > 0), name()).otherwise("")).withColumn("seq", F.col("seq") + 1_000_000)
     done = _events(spark, sf, "status", warnings=F.array().cast("array<string>")).filter("doc_id % 2 = 0").withColumn("seq", F.col("seq") + 2_000_000)
     return info.unionByName(meta).unionByName(done)
 
@@ -289,18 +305,18 @@ def event_pages(spark, sf):
     """Two pages by rectangle, the first and the third by image."""
     rect = lambda w, h: F.struct(F.lit(w).alias("width_twips"), F.lit(h).alias("height_twips"))
     info = _once(spark, sf, "document_info", -1, page_rects=F.array(rect(500, 1000), rect(600, 700)))
-    image = lambda i: _events(spark, sf, "page_image", index=F.lit(i), width_px=SIZE, height_px=F.lit(10), dpi=F.lit(96), png=F.base64(F.encode(BRAND, "utf-8")))
+    image = lambda i: _events(spark, sf, "page_image", index=F.lit(i), width_px=size(), height_px=F.lit(10), dpi=F.lit(96), png=F.base64(F.encode(brand(), "utf-8")))
     return office.document_pages(info.unionByName(image(0)).unionByName(image(2))).select("doc_id", "page_no", "width", "height", F.coalesce("image_uri", F.lit("")).alias("image"))
 
 
 def _tables(spark, sf):
     """A table for every part: a cell with lines on two pages, one without lines, one outside of the grid; the last table of a document is over the grid's limit."""
     rect = lambda page, x, y: F.struct(page.alias("page_index"), F.lit(x).alias("x_twips"), y.cast("bigint").alias("y_twips"), F.lit(50).alias("width_twips"), F.lit(10).alias("height_twips"))
-    lines = F.array(rect(F.lit(-1), 0, F.lit(0)), rect(K % 2, 100, SIZE + 1000), rect(K % 2, 20, SIZE + 1030), rect(F.lit(7), 0, F.lit(0)))
+    lines = F.array(rect(F.lit(-1), 0, F.lit(0)), rect(k() % 2, 100, size() + 1000), rect(k() % 2, 20, size() + 1030), rect(F.lit(7), 0, F.lit(0)))
     cell = lambda r, c, n, t, at: F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(n).alias("name"), t.alias("text"), at.alias("line_rects"))
     none = F.array().cast(lines_type := "array<struct<page_index:int,x_twips:int,y_twips:bigint,width_twips:int,height_twips:int>>")
-    cells = F.array(cell(0, 1, "B1", NAME, lines.cast(lines_type)), cell(1, 0, "A2", BRAND, none), cell(-1, 0, "odd", BRAND, none))
-    events = _events(spark, sf, "table", rows=F.when(K == 19, 5000).otherwise(2), columns=F.lit(2), cells=cells)
+    cells = F.array(cell(0, 1, "B1", name(), lines.cast(lines_type)), cell(1, 0, "A2", brand(), none), cell(-1, 0, "odd", brand(), none))
+    events = _events(spark, sf, "table", rows=F.when(k() == 19, 5000).otherwise(2), columns=F.lit(2), cells=cells)
     page = lambda y: F.struct(F.lit(5).alias("x_twips"), F.lit(y).alias("y_twips"), F.lit(500).alias("width_twips"), F.lit(1000).alias("height_twips"))
     return events.unionByName(_once(spark, sf, "document_info", -1, page_rects=F.array(page(0), page(1000))))
 
@@ -324,8 +340,8 @@ def event_table_grid(spark, sf):
 def _styled(spark, sf):
     """Paragraphs of three runs: bold in some or all, the last two of one link."""
     run = lambda t, heavy, url: F.struct(t.alias("text"), F.when(heavy, 150.0).otherwise(100.0).alias("weight"), F.lit(True).alias("italic"), url.alias("hyperlink_url"))
-    link = F.when(K % 2 == 0, F.concat(F.lit("http://x/"), BRAND)).otherwise("")
-    return _events(spark, sf, "paragraph", runs=F.array(run(NAME, K % 3 > 0, F.lit("")), run(F.lit(" "), K % 3 > 1, link), run(BRAND, K % 3 > 1, link)), list_level=F.lit(-1))
+    link = F.when(k() % 2 == 0, F.concat(F.lit("http://x/"), brand())).otherwise("")
+    return _events(spark, sf, "paragraph", runs=F.array(run(name(), k() % 3 > 0, F.lit("")), run(F.lit(" "), k() % 3 > 1, link), run(brand(), k() % 3 > 1, link)), list_level=F.lit(-1))
 
 
 @query("event_formatting", sql("""select doc_id, '#/texts/' || k as ref, k % 3 = 2 as bold, true as italic from p where k % 3 <> 1"""))
@@ -348,7 +364,7 @@ def event_links(spark, sf):
 def collector_events(spark, sf):
     """Pages, documents of the collectors and one end; in every fifth document all three collectors fail."""
     rows = _parts(spark, sf)
-    pages = rows.filter("k < doc_id % 4").select("doc_id", (K + 1).cast("int").alias("page_no"))
+    pages = rows.filter("k < doc_id % 4").select("doc_id", (k() + 1).cast("int").alias("page_no"))
     names = F.array(F.lit("CV"), F.lit("LIBREOFFICE"), F.lit("POI"))
     each = rows.select("doc_id").distinct().select("doc_id", F.posexplode(names).alias("plan_ord", "collector"))
     success = ((F.col("doc_id") + F.col("plan_ord")) % 3 > 0) & (F.col("doc_id") % 5 > 0)
@@ -363,7 +379,7 @@ def collector_events(spark, sf):
 )
 def token_cells(spark, sf):
     """A head with a colspan, a cell that carries down, a cell that is never closed."""
-    head = F.array(F.lit("<thead>"), F.lit("<tr>"), F.lit("<td"), F.concat(F.lit(' colspan="'), (K % 3 + 1).cast("string"), F.lit('"')), *map(F.lit, (">", "</td>", "<td></td>", "</tr>", "</thead>")))
+    head = F.array(F.lit("<thead>"), F.lit("<tr>"), F.lit("<td"), F.concat(F.lit(' colspan="'), (k() % 3 + 1).cast("string"), F.lit('"')), *map(F.lit, (">", "</td>", "<td></td>", "</tr>", "</thead>")))
     body = F.array(*map(F.lit, ("<tr>", "<td", ' rowspan="2"', ">", "</td>", "<td></td>", "</tr>", "<tr>", "<td></td>", "<td", ' colspan="9"', ">")))
     streams = _parts(spark, sf).select("seq", F.concat(head, body).alias("tokens"), F.array().cast("array<struct<left:int,top:int,right:int,bottom:int>>").alias("boxes"))
     return tables.token_cells(streams, ["seq"]).select("seq", "cell_idx", "row", "col", "row_span", "col_span", "header")
