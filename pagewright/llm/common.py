@@ -29,12 +29,15 @@ def space_words(text: bytes) -> list[bytes]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
+    """The cluster's shared folder ``spark.checkpoint.dir``; on a single machine where it is unset (tests), a local one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagewright-"))
     return sc.getCheckpointDir()
 
 
