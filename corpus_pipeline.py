@@ -32,22 +32,27 @@ SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language.  Null, empty and letterless texts go; repeated rows stay; without labelled rows all texts with letters stay."""
     return langid.keep_identified(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class.  Null, empty and wordless texts are one class; of rows with equal id and text one stays; a row with an id goes before one without."""
     return near.keep_one(docs.select(*COLUMNS), words=SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of the benchmark.  Null and empty texts and repeated rows stay as they are."""
     return decontam.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked.  Null and empty texts and repeated rows stay as they are."""
     return pii.redact(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every row.  Null and empty texts have no tokens; repeated rows and null ids are rows like any other."""
     return packing.pack(docs)
 
 
@@ -64,14 +69,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again; a stage's files go when the next has read them."""
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's files go when the next has read them.
+
+    Packing counts its input's tokens before it returns and reads it no more.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         if last:
-            path = spark._jvm.org.apache.hadoop.fs.Path(last)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, last)
         docs, last = spark.read.parquet(out), out
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _delete(spark, folder)
+    return packed
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
