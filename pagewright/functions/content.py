@@ -91,15 +91,25 @@ def office_mime_type(name: Column) -> Column:
     return mime_type(name, {k: v for k, v in UPLOAD_MIME.items() if k not in rasters} | OFFICE_MEDIA, "application/octet-stream")
 
 
+def ascii_lower(s: Column) -> Column:
+    """A-Z in small letters; everything else stays."""
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def is_office(name: Column, content_type: Column) -> Column:
-    kind = F.lower(F.coalesce(content_type, F.lit("")))
-    by_name = F.lower(extension(name)).isin(*OFFICE_EXTENSIONS)
+    kind = ascii_lower(F.coalesce(content_type, F.lit("")))
+    by_name = ascii_lower(extension(name)).isin(*OFFICE_EXTENSIONS)
     by_type = kind.isin(*OFFICE_MIME)
     for part in OFFICE_MIME_PARTS:
         by_type = by_type | kind.contains(part)
     return by_name | by_type
 
 
+def format_errors(formats: Column, known: tuple[str, ...] = ("TEXT",)) -> Column:
+    """The requested formats that are not produced."""
+    return F.filter(F.coalesce(formats, F.array().cast("array<string>")), lambda f: ~f.isin(*known))
+
+
 def requested(formats: Column, wanted: str) -> Column:
     """An empty list asks for everything."""
     return (F.size(formats) == 0) | F.array_contains(formats, wanted)

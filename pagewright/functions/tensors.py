@@ -48,6 +48,43 @@ def rescaled(box: Column, page_width: Column, page_height: Column, width: int =
     return F.struct(F.round(box["left"] / sx).cast("int").alias("left"), F.round(box["top"] / sy).cast("int").alias("top"), F.round(box["right"] / sx).cast("int").alias("right"), F.round(box["bottom"] / sy).cast("int").alias("bottom"))
 
 
+# Classes of the layout grid, and the score that a candidate has to pass.
+LAYOUT_LABELS, LAYOUT_SCORE = ("text", "title", "list", "table", "figure"), 0.5
+
+
+def layout_candidates(scores: Column, logits: Column, cell: Column, stride: Column, threshold: float = LAYOUT_SCORE) -> Column:
+    """Structs (label, confidence, box) of one grid cell: one for every class whose score is over the threshold."""
+    wide = F.ceil(F.lit(LAYOUT_WIDTH) / stride)
+    centre = lambda at: (at.cast("double") + 0.5) * stride
+    box = decoded_box(logits, centre(cell % wide), centre(F.floor(cell / wide)), stride)
+    labels = F.array(*map(F.lit, LAYOUT_LABELS))
+    each = F.transform(scores, lambda s, i: F.struct(F.get(labels, i).alias("label"), s.alias("confidence"), box.alias("box")))
+    return F.filter(each, lambda c: c["confidence"] > threshold)
+
+
+# Tokens that open a cell.
+CELL_OPEN = ("<td></td>", "<td", "<td>")
+
+
+def token_boxes(tokens: Column, corners: Column, width: Column, height: Column) -> Column:
+    """Boxes (left, top, right, bottom) of the cell-open tokens: the hull of the step's four corners, in pixels of the crop.
+
+    ``corners``: eight numbers a step, as shares of the padded square.
+    """
+    longest = F.greatest(width, height).cast("double")
+    opened = F.filter(tokens, lambda t: t["token"].isin(*CELL_OPEN))
+
+    def edge(points, of, most):
+        return F.greatest(F.lit(0), F.least(F.round(of(points) * longest).cast("int"), most.cast("int")))
+
+    def box(t):
+        c = F.get(corners, t["step"])
+        xs, ys = (F.transform(F.sequence(F.lit(first), F.lit(first + 6), F.lit(2)), lambda i: F.get(c, i).cast("double")) for first in (0, 1))
+        return F.struct(edge(xs, F.array_min, width).alias("left"), edge(ys, F.array_min, height).alias("top"), edge(xs, F.array_max, width).alias("right"), edge(ys, F.array_max, height).alias("bottom"))
+
+    return F.transform(opened, box)
+
+
 def greedy_tokens(steps: Column, vocabulary: Column, begin: str = "sos", end: str = "eos") -> Column:
     """Structs (step, token, p) of the likeliest token of each step, up to ``end`` after the first step; both marks are left out."""
     best = F.transform(steps, lambda p, i: F.struct(i.alias("step"), F.element_at(vocabulary, F.array_position(p, F.array_max(p)).cast("int")).alias("token"), F.array_max(p).alias("p")))

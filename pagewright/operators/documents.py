@@ -62,6 +62,17 @@ def first_wins(rows: DataFrame, keys: list[str], order: str = "plan_ord") -> Dat
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__n = 1").drop("__n")
 
 
+def merge_documents(sources: dict[str, DataFrame], merge_all: bool = False) -> dict[str, DataFrame]:
+    """Whole documents of several sources as one each, sources in plan order.
+
+    ``items`` and ``edges`` as for ``merge``; of ``fields`` (doc_id, plan_ord, key, value), ``pages`` (doc_id, plan_ord,
+    page_no, ...) and ``origins`` (doc_id, plan_ord, ...), where given, the earliest source's row of each key, page or document stays.
+    """
+    items, edges = merge(sources["items"], sources["edges"], merge_all)
+    keys = {"fields": ["doc_id", "key"], "pages": ["doc_id", "page_no"], "origins": ["doc_id"]}
+    return {"items": items, "edges": edges} | {k: first_wins(sources[k], by) for k, by in keys.items() if k in sources}
+
+
 def integrity_errors(items: DataFrame, edges: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """(doc_id, error, ref): what is wrong with the documents' references.
 

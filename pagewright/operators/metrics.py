@@ -53,6 +53,43 @@ def exposition(values: dict[str, tuple[str, str, float]], histogram: list[tuple[
     return "\n".join(out) + "\n"
 
 
+# The counters of a parse and what they count.
+PARSE_COUNTERS = {
+    "documents_submitted_total": "Documents accepted for parsing.",
+    "documents_rejected_total": "Documents that could not be read.",
+    "pages_digital_total": "Pages whose text came from the digital layer.",
+    "pages_rendered_total": "Pages rasterized for inference.",
+    "pages_ocr_total": "Pages that went through recognition.",
+    "tables_structured_total": "Table regions with recognised cells.",
+    "figures_classified_total": "Figure regions that were classified.",
+    "barcodes_decoded_total": "Payloads decoded from figure crops.",
+}
+
+
+def parse_counters(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(metric, value) of ``PARSE_COUNTERS`` for a parse: the documents and the tables it gave."""
+    pages, one = tables["pages"], F.lit(1)
+    read = F.col("source") == "DIGITAL_PDF"
+    parts = [
+        docs.agg(F.count(one).alias("documents_submitted_total")),
+        tables["errors"].agg(F.count_distinct("doc_id").alias("documents_rejected_total")),
+        pages.agg(F.count_if(read).alias("pages_digital_total"), F.count_if(F.col("source") == "OCR").alias("pages_rendered_total"), F.count_if(~F.col("skip_ocr") & (F.col("source") != "OFFICE")).alias("pages_ocr_total")),
+        tables["figures"].agg(F.count(one).alias("figures_classified_total"), F.coalesce(F.sum(F.size("barcodes")), F.lit(0)).alias("barcodes_decoded_total")),
+        tables["cells"].agg(F.count_distinct("doc_id", "ref").alias("tables_structured_total")),
+    ]
+    each = [p.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, p.columns)), F.array(*(F.col(c).cast("bigint") for c in p.columns)))).alias("metric", "value")) for p in parts]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def parse_exposition(counters: dict[str, int], histogram: list[tuple[str, int]] = (), prefix: str = "pagewright_") -> str:
+    """The counters as Prometheus text, names with a prefix, missing ones as 0."""
+    values = {prefix + k: ("counter", text, int(counters.get(k, 0))) for k, text in PARSE_COUNTERS.items()}
+    return exposition(values, histogram, f"{prefix}page_latency")
+
+
 def page_counters(texts: DataFrame, regions: DataFrame) -> DataFrame:
     """(doc_id, page_no, texts, digital, ocr, tables, pictures) of every page that has lines."""
     a = texts.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("origin") == "DIGITAL_PDF").alias("digital"), F.count_if(F.col("origin") == "OCR").alias("ocr"))

@@ -335,3 +335,77 @@ def parse_pdf_boxes(spark, sf):
     """Lines of each page of the PDF files and their left edge in points."""
     rows = pdf.pdf_rows(_pdfs(spark, sf))
     return rows.groupBy("doc_id", "page_no").agg(F.count("line_idx").alias("n"), F.min("left_pt").cast("bigint").alias("pt"))
+
+
+@query(
+    "layout_candidates",
+    """with g as (select vec_id, (vec_id % 475)::int as cell, embedding[1:5] as s, list_transform(embedding[6:37], lambda x: x::double) as l from embeddings),
+ d as (select vec_id, cell, s, side.range as side, l[(side.range * 8 + 1):(side.range * 8 + 8)] as l from g, range(4) side),
+ e as (select vec_id, cell, s, side, list_sum(list_transform(range(8), lambda i: i * exp(l[i + 1] - list_max(l)))) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) * 32 as d from d),
+ b as (select vec_id, any_value(s) as s, round(max(greatest(0, least(608, (cell % 19 + 0.5) * 32 - d))) filter (side = 0), 6) as "left", round(max(greatest(0, least(800, (cell // 19 + 0.5) * 32 - d))) filter (side = 1), 6) as top, round(max(greatest(0, least(608, (cell % 19 + 0.5) * 32 + d))) filter (side = 2), 6) as "right" from e group by 1)
+ select vec_id, label, confidence, "left", top, "right" from (select vec_id, unnest(['text', 'title', 'list', 'table', 'figure']) as label, unnest(s) as confidence, "left", top, "right" from b) where confidence > 0.1""",
+)
+def layout_candidates(spark, sf):
+    """A cell of the grid for every vector: each class over a score of 0.1 gives its box."""
+    logits = F.transform(F.slice("embedding", 6, 32), lambda x: x.cast("double"))
+    each = tensors.layout_candidates(F.slice("embedding", 1, 5), logits, F.col("vec_id") % 475, F.lit(32.0), 0.1)
+    rows = table(spark, sf, "embeddings").select("vec_id", F.explode(each).alias("c"))
+    return rows.select("vec_id", "c.label", "c.confidence", *(F.round(F.col(f"c.box.{e}"), 6).alias(e) for e in ("left", "top", "right")))
+
+
+@query(
+    "token_boxes",
+    """with s as (select vec_id, t.range as step, embedding[(t.range * 4 + 1):(t.range * 4 + 4)] as l, list_transform(embedding[(t.range * 8 + 1):(t.range * 8 + 8)], lambda x: abs(x)::double) as c from embeddings, range(8) t),
+ m as (select vec_id, step, list_position(l, list_max(l)) as a, c from s), e as (select vec_id, coalesce(min(step) filter (a = 2 and step > 0), 8) as stop from m group by 1)
+ select m.vec_id, step::int as step, greatest(0, least(300, round(list_min([c[1], c[3], c[5], c[7]]) * 400)))::int as "left", greatest(0, least(400, round(list_max([c[2], c[4], c[6], c[8]]) * 400)))::int as bottom from m join e using (vec_id) where step < stop and a = 4""",
+)
+def token_boxes(spark, sf):
+    """Boxes of the cell-open tokens of eight steps in a crop of 300 by 400 pixels."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    corners = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, F.lit(8)), F.abs))
+    words = tensors.greedy_tokens(steps, F.array(*(F.lit(t) for t in ("sos", "eos", "<tr>", "<td></td>"))))
+    rows = table(spark, sf, "embeddings").select("vec_id", words.alias("t"), corners.alias("c"))
+    opened = F.filter("t", lambda t: t["token"] == "<td></td>")
+    both = F.arrays_zip(F.transform(opened, lambda t: t["step"]).alias("step"), tensors.token_boxes(F.col("t"), F.col("c"), F.lit(300), F.lit(400)).alias("box"))
+    return rows.select("vec_id", F.explode(both).alias("b")).select("vec_id", "b.step", "b.box.left", "b.box.bottom")
+
+
+@query("format_check", "select doc_id, case doc_id % 3 when 1 then 'JSON' when 2 then 'JSON,HTML' else '' end as rejected from documents")
+def format_check(spark, sf):
+    formats = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("TEXT"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("JSON"), F.lit("TEXT"))).otherwise(F.array(F.lit("JSON"), F.lit("HTML")))
+    return _docs(spark, sf).select("doc_id", F.array_join(C.format_errors(formats), ",").alias("rejected"))
+
+
+@query("ascii_lower", "select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered from documents where text is not null")
+def ascii_lower(spark, sf):
+    return _docs(spark, sf).filter("text is not null").select("doc_id", C.ascii_lower(F.col("text")).alias("lowered"))
+
+
+@query(
+    "merge_pages",
+    "select doc_id, page_no, case when doc_id % 2 = 0 and page_no <= 2 then 'a' else 'b' end as source, case when doc_id % 2 = 0 then 'a' else 'b' end as origin from documents, (values (1), (2), (3)) t(page_no)",
+)
+def merge_pages(spark, sf):
+    """Two pages of one source and three of another: the first source's page and origin stay."""
+    docs = _docs(spark, sf).select("doc_id")
+    pages = lambda d, plan, name, n: d.select("doc_id", F.lit(plan).alias("plan_ord"), F.lit(name).alias("source"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("page_no"))
+    both = pages(docs.filter("doc_id % 2 = 0"), 0, "a", 2).unionByName(pages(docs, 1, "b", 3))
+    origins = both.select("doc_id", "plan_ord", F.col("source").alias("origin")).distinct()
+    items = spark.createDataFrame([], "doc_id bigint, plan_ord int, arena string, idx int, ref string, text string")
+    edges = spark.createDataFrame([], "doc_id bigint, plan_ord int, parent_ref string, child_ref string, ord int")
+    out = documents.merge_documents({"items": items, "edges": edges, "pages": both, "origins": origins})
+    return out["pages"].join(out["origins"].select("doc_id", "origin"), "doc_id").select("doc_id", "page_no", "source", "origin")
+
+
+@query(
+    "parse_counters",
+    f"""with {_LATIN}, p as (select doc_id, (k - 1) // 40 as page from l group by 1, 2)
+ select 'documents_submitted_total' as metric, (select count(distinct doc_id) + 2 from l) as value union all select 'documents_rejected_total', 2 union all select 'pages_digital_total', (select count(*) from p) union all select 'pages_rendered_total', 0
+ union all select 'figures_classified_total', 0 union all select 'barcodes_decoded_total', 0 union all select 'tables_structured_total', 0""",
+)
+def parse_counters(spark, sf):
+    """What a parse of all PDF files and two broken ones counts, but for the pages left to recognition."""
+    broken = _docs(spark, sf).limit(0).select(F.lit(0).cast("bigint").alias("doc_id"), F.lit("x.pdf").alias("filename"), F.lit("").alias("content_type"), F.encode(F.lit("x"), "utf-8").alias("content"))
+    bad = spark.createDataFrame([(-1, "a.pdf", "", b"%PDF-1.4"), (-2, "b.bin", "", b"x")], broken.schema)
+    files_ = _pdfs(spark, sf).unionByName(bad)
+    return metrics.parse_counters(files_, parse.parse_documents(files_)).filter("metric <> 'pages_ocr_total'")
