@@ -64,6 +64,16 @@ def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unionByName(all_lines.filter("origin = 'OCR'"))
 
 
+def payload(**values: F.Column) -> F.Column:
+    """An office event's payload as JSON text."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in values.items())))
+
+
+def office_event(df: DataFrame, doc: F.Column, seq: F.Column, kind: str, payload: F.Column) -> DataFrame:
+    """Rows of ``df`` as office events (doc_id, seq, kind, payload)."""
+    return df.select(doc.cast("bigint").alias("doc_id"), seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), payload.alias("payload"))
+
+
 SQL = """
 l0 as (select doc_id, unnest(l) as text, generate_subscripts(l, 1) - 1 as k from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents)),
 lines as (select doc_id, (k // 40 + 1)::int as page_no, k::int as line_idx, text, (50 + 850 * (k % 40 // 20))::int as "left", (100 + 100 * (k % 20))::int as top,

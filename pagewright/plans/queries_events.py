@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import office, tables
 from pagewright.plans import parse
+from pagewright.plans.adapter import office_event as _event
+from pagewright.plans.adapter import payload as _json
 from pagewright.plans.catalog import query, table
-from pagewright.plans.queries_office import _event, _json
 
 _P = "p as (select p_partkey // 20 as doc_id, p_partkey as seq, p_partkey % 20 as k, p_name as name, p_brand as brand, p_size as size from part)"
 

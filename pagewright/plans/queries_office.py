@@ -6,17 +6,11 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import office
 from pagewright.plans import adapter
+from pagewright.plans.adapter import office_event as _event
+from pagewright.plans.adapter import payload as _json
 from pagewright.plans.catalog import query, table
 
 
-def _json(**values):
-    return F.to_json(F.struct(*(v.alias(k) for k, v in values.items())))
-
-
-def _event(df, doc, seq, kind, payload):
-    return df.select(doc.cast("bigint").alias("doc_id"), seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), payload.alias("payload"))
-
-
 def _sheets(spark, sf):
     """One workbook of five sheets, one a priority; a row for every order, and rows of an unknown sheet."""
     o = table(spark, sf, "orders")
