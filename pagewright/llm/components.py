@@ -7,16 +7,35 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import saved
 
+#: Nodes of over so many edges are hubs, or with very many edges nodes of over a ``MAX_HUBS``-th of them; so few that they can be broadcast.
+HUB, MAX_HUBS = 1000, 50_000
+
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u moves to the least of u and its neighbours."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _hubs(edges: DataFrame, n: int) -> DataFrame | None:
+    """Nodes with so many of the ``n`` edges that a task of its own would stand out; at most 2 * ``MAX_HUBS``, None if there are none."""
+    found = saved(_both_ways(edges).groupBy("u").count().filter(F.col("count") > max(HUB, n // MAX_HUBS)).select("u"))
+    return None if found.isEmpty() else found
+
+
+def _large_star(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Every larger neighbour of u moves to the least of u and its neighbours; edges of hubs stay where they are and get their least by broadcast."""
+    both = _both_ways(edges)
     least = _least_neighbour(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    if hubs is None:
+        moved = both.join(least, "u")
+    else:
+        few = F.broadcast(hubs)
+        of_hubs = both.join(few, "u", "left_semi").join(F.broadcast(least.join(few, "u", "left_semi")), "u")
+        moved = both.join(few, "u", "left_anti").join(least, "u").unionByName(of_hubs)
+    return moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +49,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, root) for every node of ``edges``; root is the least node it can reach.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the
-    edges are stars.  Minima are partial aggregates, so a node with very many
-    neighbours costs no single task; nothing but a count and a checksum of each
-    round comes to the driver.  Loops and repeated edges are ignored, nulls too.
+    edges are stars.  Minima are partial aggregates, and the edges of nodes with
+    very many neighbours are not brought together, so such a node costs no single
+    task; nothing but a count and a checksum of each round comes to the driver.  Loops and repeated edges are ignored, nulls too.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} is not null and {b} is not null and u <> v").distinct()
     now, last = saved(now), None
@@ -41,7 +60,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if tuple(seen) == last or seen[0] == 0:
             break
         last = tuple(seen)
-        now = saved(_small_star(_large_star(now)))
+        now = saved(_small_star(_large_star(now, _hubs(now, seen[0]))))
     else:
         raise RuntimeError(f"no stars after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

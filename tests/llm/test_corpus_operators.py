@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagewright.llm import decontam, htmlmain, langid, licenses, packing, pii, simhash, topk, toxicity, urlfilter
+from pagewright.llm import components, decontam, htmlmain, langid, licenses, packing, pii, simhash, topk, toxicity, urlfilter
 from pagewright.llm.common import alnum_words
 from pagewright.llm.components import connected_components
 
@@ -47,7 +47,9 @@ def roots(pairs):
 
 
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(5, 3), (3, 5), (9, 8), (8, 3), (20, 21)], [(-(2**63), 2**63 - 1), (4, -7)]])
-def test_components(spark, pairs):
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_components(spark, pairs, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB", hub)
     edges = spark.createDataFrame([*pairs, (None, 2), (2, None)], "a bigint, b bigint")
     want = roots([p for p in pairs if p[0] != p[1]])
     assert {r.node: r.root for r in connected_components(edges).collect()} == want
