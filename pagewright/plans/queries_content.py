@@ -409,3 +409,33 @@ def parse_counters(spark, sf):
     bad = spark.createDataFrame([(-1, "a.pdf", "", b"%PDF-1.4"), (-2, "b.bin", "", b"x")], broken.schema)
     files_ = _pdfs(spark, sf).unionByName(bad)
     return metrics.parse_counters(files_, parse.parse_documents(files_)).filter("metric <> 'pages_ocr_total'")
+
+
+@query("barcode_gate", "select vec_id, vec_id % 4 = 1 or vec_id % 4 = 2 as gate from embeddings")
+def barcode_gate(spark, sf):
+    """Figures by their first class: none, a bar code, a square code, a photo before a square code."""
+    k = F.col("vec_id") % 4
+    classes = lambda *names: F.array(*(F.struct(F.lit(n).alias("label"), F.lit(0.5).alias("confidence")) for n in names))
+    first = F.when(k == 1, classes("bar_code")).when(k == 2, classes("qr_code", "photo")).when(k == 3, classes("photo", "qr_code")).otherwise(F.slice(classes("photo"), 1, 0))
+    return table(spark, sf, "embeddings").select("vec_id", tensors.barcode_gate(first).alias("gate"))
+
+
+@query(
+    "corner_boxes",
+    """with c as (select vec_id, list_transform(embedding[1:8], lambda x: x::double) as c from embeddings)
+ select vec_id, greatest(0, least(300, round(list_min([c[1], c[3], c[5], c[7]]) * 900)))::int as "left", greatest(0, least(200, round(list_min([c[2], c[4], c[6], c[8]]) * 700)))::int as top, greatest(0, least(300, round(list_max([c[1], c[3], c[5], c[7]]) * 900)))::int as "right", greatest(0, least(200, round(list_max([c[2], c[4], c[6], c[8]]) * 700)))::int as bottom from c""",
+)
+def corner_boxes(spark, sf):
+    points = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    box = G.corners_box(points, F.lit(900.0), F.lit(700.0), F.lit(300), F.lit(200))
+    return table(spark, sf, "embeddings").select("vec_id", box.alias("b")).select("vec_id", "b.*")
+
+
+@query(
+    "event_lines",
+    """select '{"doc_id":' || conv_id || ',"seq":' || turn || ',"text":' || to_json(role) || ',"figure_classes":[' || array_to_string(list_transform(range(least(3, turn % 6)), lambda i: '{"label":"c' || i || '","confidence":0.5}'), ',') || ']}' as value from conversations""",
+)
+def event_lines(spark, sf):
+    """A JSON text for every turn; of its figure classes, the first three."""
+    classes = F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), 1, (F.col("turn") % 6).cast("int")), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("label"), F.lit(0.5).alias("confidence")))
+    return parse.json_lines(table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("text"), classes.alias("figure_classes")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as G
-from pagewright.operators import assembly, binding, documents, layout, tables
+from pagewright.operators import assembly, binding, documents, layout, models, tables
 from pagewright.plans import adapter
 from pagewright.plans.adapter import oracle
 from pagewright.plans.catalog import query
@@ -347,3 +347,70 @@ def merge_root_fields(spark, sf):
     row = lambda d, p, key, tag: d.select("doc_id", F.lit(p).alias("plan_ord"), F.lit(key).alias("key"), F.concat(F.lit(tag), key).alias("value"))
     rows = row(docs.filter("doc_id % 2 = 0"), 0, "lang", "a:").unionByName(row(docs, 1, "lang", "b:")).unionByName(row(docs, 1, "source", "b:"))
     return documents.first_wins(rows, ["doc_id", "key"]).select("doc_id", "key", "value")
+
+
+@query(
+    "geometry_cell_boxes",
+    oracle("""select p.doc_id, p.page_no, p.band as row, p.col, min(t."left") as "left", min(t.top) as top, max(t."right") as "right", max(t.bottom) as bottom from placed p join tl t using (doc_id, page_no, line_idx) group by 1, 2, 3, 4""", _TABLE, _COLUMNS, _CELLS),
+)
+def geometry_cell_boxes(spark, sf):
+    """Boxes of the cells that hold lines."""
+    return tables.geometry_grid(_table_lines(spark, sf)).filter("left is not null").select("doc_id", "page_no", "row", "col", *BOX)
+
+
+@query(
+    "table_route",
+    oracle(
+        """select d.doc_id, d.page_no, d.row, d.col, coalesce(text, '') as text, false as header from dense d left join cells c on d.doc_id = c.doc_id and d.page_no = c.page_no and d.row = c.row and d.col = c.col where d.doc_id % 2 = 1
+ union all select t.doc_id, t.page_no, g.row, g.col, coalesce(x.text, ''), coalesce(f.header, false) from tabs t cross join grid g left join firsts f on f.row = g.row and f.col = g.col left join texts x on x.doc_id = t.doc_id and x.page_no = t.page_no and x.cell_idx = f.cell_idx where t.doc_id % 2 = 0""",
+        _TABLE, _COLUMNS, _CELLS, _STRUCTURED,
+    ),
+)
+def table_route(spark, sf):
+    """Tables with recognised cells, those of every second document, take them; the others their lines' geometry."""
+    grids = tables.table_grids(_table_lines(spark, sf), _structured_cells(spark, sf).filter("doc_id % 2 = 0"))
+    return grids.select("doc_id", "page_no", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text", "header")
+
+
+@query("line_charspans", oracle("""select doc_id, line_idx, least(line_idx + 3, 3 + length(text))::bigint as "start", least(line_idx + 13, 3 + length(text))::bigint as "end" from lines"""))
+def line_charspans(spark, sf):
+    """A measured span of ten code points from the line's number on, in an item that begins at 3."""
+    k = F.col("line_idx").cast("bigint")
+    span = assembly.line_charspan(k, k + 10, F.lit(3).cast("bigint"), F.char_length("text").cast("bigint"))
+    return adapter.lines(spark, sf).select("doc_id", "line_idx", span.alias("s")).select("doc_id", "line_idx", "s.*")
+
+
+@query("model_pages", oracle("""select doc_id, page_no from (select doc_id, page_no, bool_or(origin = 'OCR') as ocr, count(*) as n from lines group by 1, 2) where ocr or n < 30"""))
+def model_pages(spark, sf):
+    """Pages that have to be rendered: all but digital ones with 30 lines or more."""
+    g = adapter.lines(spark, sf).groupBy("doc_id", "page_no").agg(F.bool_or(F.col("origin") == "OCR").alias("ocr"), F.count(F.lit(1)).alias("n"))
+    pages = g.select("doc_id", "page_no", F.when(F.col("ocr"), "OCR").otherwise("DIGITAL_PDF").alias("source"), (F.col("n") >= 30).alias("skip_ocr"))
+    return models.needs_models(pages, False, False).select("doc_id", "page_no")
+
+
+@query(
+    "crop_cells",
+    oracle("""select doc_id, page_no, region_idx, c.cell_idx, "left" + c.l as "left", top + 2 as top, "left" + c.l + 10 as "right", top + 12 as bottom from regions, (values (0, 1), (1, 20)) c(cell_idx, l) where label = 'table' and doc_id % 2 = 0"""),
+)
+def crop_cells(spark, sf):
+    """Cells of table crops, moved to their page; crops of odd documents hold none."""
+    crops = adapter.regions(spark, sf).withColumn("crop", F.encode((F.col("doc_id") % 2).cast("string"), "utf-8"))
+    cell = {"row": 0, "row_span": 1, "col_span": 1, "header": False, "top": 2, "bottom": 12}
+
+    def structurer():
+        return lambda crop: [cell | {"col": i, "left": x, "right": x + 10} for i, x in enumerate((1, 20))] if crop == b"0" else []
+
+    return models.structured_cells(crops, structurer).select("doc_id", "page_no", "region_idx", "cell_idx", *BOX)
+
+
+@query(
+    "merge_arenas",
+    """select doc_id, p as plan_ord, a as arena, n as idx, '#/' || a || '/' || case when p = 0 or doc_id % 2 > 0 then n else n + 2 end as new_ref from documents, (values (0), (1)) s(p), (values ('texts'), ('field_items'), ('groups'), ('key_value_items')) x(a), (values (0), (1)) i(n) where a <> 'field_items' and (p = 1 or doc_id % 2 = 0)""",
+)
+def merge_arenas(spark, sf):
+    """Items of four arenas from one or two sources: those of field items are not merged, the others are counted on."""
+    docs = adapter.documents(spark, sf).select("doc_id")
+    rows = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("plan_ord")).filter("plan_ord = 1 or doc_id % 2 = 0")
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, ("texts", "field_items", "groups", "key_value_items")))).alias("arena")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"))
+    named = documents.renumbered(rows.withColumn("ref", F.concat(F.lit("#/"), "arena", F.lit("/"), F.col("idx").cast("string"))))
+    return named.select("doc_id", "plan_ord", "arena", "idx", "new_ref")

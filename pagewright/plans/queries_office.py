@@ -116,3 +116,21 @@ def comment_section(spark, sf):
 @query("bookmark_fields", adapter.oracle("""select doc_id, 'bookmark:b' || (line_idx % 3) as key, '{"char_start":' || max(line_idx) || ',"char_end":' || (max(line_idx) + 1) || '}' as value from lines group by 1, 2"""))
 def bookmark_fields(spark, sf):
     return office.body_fields(office.office_items(_remarks(spark, sf), ("bookmark",)))
+
+
+_ROLES = """r as (select conv_id, turn, text, turn % 6 as m from conversations)"""
+
+
+@query(
+    "slide_roles",
+    f"""with {_ROLES} select conv_id as doc_id, turn as seq, case m when 4 then 'PICTURE' when 0 then 'TITLE' else 'TEXT' end as label, case m when 2 then 'NOTES' else 'BODY' end as layer, case m when 4 then '' when 1 then text || chr(10) || 'x' else text end as text, case m when 2 then -1 else 7 end as page from r where m not in (3, 5)""",
+)
+def slide_roles(spark, sf):
+    """Shapes of a slide that are no outline: a title, two paragraphs, a note, an empty placeholder, a picture and a shape without text."""
+    c, m = table(spark, sf, "conversations"), F.col("turn") % 6
+    paragraph = lambda t: F.struct(F.array(F.struct(t.alias("text"))).alias("runs"))
+    said = F.when(m == 1, F.array(paragraph(F.col("text")), paragraph(F.lit("x")))).when(m < 4, F.array(paragraph(F.col("text"))))
+    kind = F.when(m == 4, "com.sun.star.drawing.GraphicObjectShape").otherwise("com.sun.star.drawing.CustomShape")
+    payload = _json(slide_index=F.lit(7), placeholder_role=F.when(m == 0, "TITLE").otherwise(""), notes=m == 2, is_empty_placeholder=m == 3, shape_type=kind, paragraphs=said, position=F.struct(F.lit(1).alias("x"), F.lit(2).alias("y")), width_twips=F.lit(3), height_twips=F.lit(4))
+    items = office.office_items(_event(c, F.col("conv_id"), F.col("turn"), "slide_shape", payload), ("slide_shape",))
+    return items.select("doc_id", "seq", "label", "layer", F.coalesce("text", F.lit("")).alias("text"), F.get("prov", F.lit(0))["page_index"].alias("page"))

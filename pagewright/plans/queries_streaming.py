@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.plans import adapter
 from pagewright.plans.adapter import oracle
 from pagewright.plans.catalog import query, table
-from pagewright.streaming import chunks, pages
+from pagewright.streaming import chunks, credits, pages
 from pagewright.streaming.run import to_the_end
 
 PIECE = 1000
@@ -84,3 +84,21 @@ def event_windows(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     g = e.withWatermark("ts", "1 hour").groupBy("event_type", F.window("ts", "1 hour"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents")).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "cents")
+
+
+@query(
+    "page_credits",
+    """with r as (select p_partkey // 20 as doc_id, p_partkey % 20 + 1 as page_no, p_size * 10 as released from part), t as (select doc_id, list_sort(list(released)) as l from r group by 1)
+ select doc_id, page_no, case when page_no <= 4 then 0 else l[page_no - 4] end::bigint as start from r join t using (doc_id)""",
+)
+def page_credits(spark, sf):
+    """When each of twenty pages can start under a window of four."""
+    n = F.col("p_partkey")
+    pages_ = table(spark, sf, "part").select(F.expr("p_partkey div 20").alias("doc_id"), (n % 20 + 1).alias("page_no"), (F.col("p_size") * 10).alias("released"))
+    return credits.earliest_starts(pages_, 4).select("doc_id", "page_no", "start")
+
+
+@query("document_limits", "select doc_id, case when n_chars > 1000 or doc_id % 7 > 5 then 'RESOURCE_EXHAUSTED' else '' end as code from documents")
+def document_limits(spark, sf):
+    docs = adapter.documents(spark, sf).select("doc_id", F.col("n_chars").alias("n_bytes"), (F.col("doc_id") % 7).alias("n_pages"))
+    return credits.within_limits(docs, 1000, 5).select("doc_id", F.coalesce("code", F.lit("")).alias("code"))

@@ -1,4 +1,4 @@
-"""The law of page credits, as pure functions.
+"""The law of page credits, as pure functions and over tables.
 
 A document has a window of W credits.  A page is scheduled for one credit;
 released credits come back, but never beyond W.
@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Credits:
@@ -52,3 +55,21 @@ class Admission:
             self.queued -= 1
         elif self.active:
             self.active -= 1
+
+
+def earliest_starts(pages: DataFrame, window: int) -> DataFrame:
+    """``pages`` (doc_id, page_no, released) with ``start``: when a page's credit is there, 0 for the first ``window`` pages.
+
+    Pages start in order, so page n waits for the (n - window)-th release of its document.
+    """
+    order = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list("released")).alias("__times"))
+    start = F.when(F.col("page_no") <= window, 0).otherwise(F.get("__times", F.col("page_no").cast("int") - window - 1))
+    return pages.join(order, "doc_id").withColumn("start", start.cast("bigint")).drop("__times")
+
+
+def within_limits(docs: DataFrame, most_bytes: int = 50 << 20, most_pages: int | None = None) -> DataFrame:
+    """``docs`` (n_bytes, n_pages) with ``code``: null, or RESOURCE_EXHAUSTED for what is over a limit."""
+    over = F.col("n_bytes") > most_bytes
+    if most_pages is not None:
+        over = over | (F.col("n_pages") > most_pages)
+    return docs.withColumn("code", F.when(over, "RESOURCE_EXHAUSTED"))
