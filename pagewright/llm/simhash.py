@@ -210,7 +210,11 @@ def deal(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, node: str = "fp", weig
     if n_hot:
         own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks"))
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
-        marked = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
+        if n_hot <= BROADCAST_KEYS:
+            marked = rows.join(F.broadcast(hot), "key", "left")
+        else:  # a hot key's rows meet it in SALTS parts
+            parts = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            marked = rows.withColumn("__salt", F.pmod(F.xxhash64(node, F.lit(17)), F.lit(SALTS)).cast("int")).join(parts, ["key", "__salt"], "left").drop("__salt")
         rows = marked.select(*(c for c in rows.columns if c != "key"), F.explode(F.when(F.col("chunks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
     return rows
 

@@ -92,8 +92,9 @@ def test_links_in_groups(radius):
     assert [want.get(i, i) for i in range(len(fps))] == list(label)
 
 
-@pytest.mark.parametrize(("radius", "bucket", "slices"), [(3, 4096, 4), (3, 16, 4), (3, 7, 6), (5, 32, 7)])
-def test_near_duplicates(spark, radius, bucket, slices):
+@pytest.mark.parametrize(("radius", "bucket", "slices", "keys"), [(3, 4096, 4, 50_000), (3, 16, 4, 50_000), (3, 7, 6, 50_000), (5, 32, 7, 50_000), (3, 7, 5, 0)])
+def test_near_duplicates(spark, radius, bucket, slices, keys, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
     rng = random.Random(radius + bucket)
     texts = [None, "", " ", "only"]
     for _ in range(25):
