@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.tensors import barcode_gate
@@ -110,3 +110,19 @@ def enriched_pictures(pages: DataFrame, regions: DataFrame) -> DataFrame:
     scale = F.col("page_width") / F.col("raster_width")
     rows = regions.filter("label = 'figure'").join(pages.filter("raster_width > 0"), ["doc_id", "page_no"])
     return rows.select("doc_id", "page_no", "region_idx", "confidence", *((F.col(e) * scale).alias(e) for e in ("left", "top", "right", "bottom")))
+
+
+def enriched(pages: DataFrame, pictures: DataFrame, detector: Callable[[], Callable], cropper: Callable[[], Callable], classifier: Callable[[], Callable], decoder: Callable[[], Callable], mode: str = "class_triggered") -> DataFrame:
+    """(doc_id, page_no, ref, label, parent_ref, left, top, right, bottom, figure_classes, barcodes): pictures that page renders show beyond ``pictures``.
+
+    ``pages``: doc_id, page_no, raster, width and height of the raster in pixels, page_width in the document's units.  The new
+    pictures follow the document's own ones (doc_id, ref) in number, by page and by the detector's order.
+    """
+    found = detected_regions(pages, detector).filter("label = 'figure'")
+    crops = cropped(pages, found, cropper, ("figure",))
+    known = decoded(classified(crops, classifier), decoder, mode).select("doc_id", "page_no", "region_idx", "figure_classes", "barcodes")
+    placed = enriched_pictures(pages.withColumn("raster_width", F.col("width")).select("doc_id", "page_no", "page_width", "raster_width"), found)
+    before = pictures.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "region_idx")) - 1 + F.coalesce("n", F.lit(0))
+    named = placed.join(known, ["doc_id", "page_no", "region_idx"]).join(before, "doc_id", "left").withColumn("ref", F.concat(F.lit("#/pictures/"), n.cast("string")))
+    return named.select("doc_id", "page_no", "ref", F.lit("PICTURE").alias("label"), F.lit("#/body").alias("parent_ref"), "left", "top", "right", "bottom", "figure_classes", "barcodes")

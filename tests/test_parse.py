@@ -116,6 +116,22 @@ def test_crops_reach_structurer_classifier_and_decoder(docs):
     assert parse.parse_documents(docs.filter("doc_id = 3"), parse.Config(detector=finder))["figures"].count() == 0
 
 
+def test_pictures_of_page_renders_are_appended(spark):
+    pages = spark.createDataFrame([(1, 1, PNG, 200, 200, 1440.0), (1, 2, PNG, 200, 200, 720.0), (2, 1, PNG, 200, 200, 200.0)], "doc_id bigint, page_no int, raster binary, width int, height int, page_width double")
+    own = spark.createDataFrame([(1, "#/pictures/0"), (1, "#/pictures/1")], "doc_id bigint, ref string")
+
+    def classes():
+        return lambda crop: [{"label": "bar_code", "confidence": 0.6}]
+
+    def codes():
+        return lambda crop: [{"format": "EAN", "text": crop.decode().split(" ", 1)[1]}]
+
+    got = models.enriched(pages, own, finder, cutter, classes, codes).orderBy("doc_id", "ref").collect()
+    assert [(r.doc_id, r.page_no, r.ref) for r in got] == [(1, 1, "#/pictures/2"), (1, 2, "#/pictures/3"), (2, 1, "#/pictures/0")]
+    assert [(r.top, r.right) for r in got] == [(720.0, 360.0), (360.0, 180.0), (100.0, 50.0)]
+    assert got[0].barcodes[0].text == "0 100 50 200" and got[0].figure_classes[0].label == "bar_code"
+
+
 def test_office_documents_are_read_from_their_events(spark, docs):
     para = lambda t: '{"list_level":-1,"page_index":0,"runs":[{"text":"%s"}],"start":{"x":10,"y":20},"end":{"x":30,"y":40}}' % t
     rows = [
