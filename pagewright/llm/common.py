@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if found:
         return found
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not sc.master.startswith("local["):
+    if not shared and sc.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pagewright-"))
     return sc.getCheckpointDir()
