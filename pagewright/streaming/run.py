@@ -15,7 +15,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the cluster's checkpoint folder; on a single machine, a local one where none is set."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or tempfile.mkdtemp(prefix="pagewright-")
     return f"{base}/stream-{uuid.uuid4().hex}"
