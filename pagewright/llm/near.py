@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from pagewright.llm.common import map_batches, saved, space_words, texts_of
-from pagewright.llm.components import connected_components
+from pagewright.llm.components import FILES, ROWS_A_FILE, connected_components
 from pagewright.llm.simhash import BUCKET_ROWS, SEED, deal, pairs_within, settled, shingle_digests, star_links
 
 NUM, DEN = 4, 5
@@ -46,6 +46,8 @@ BITS = 64 * WORDS_64
 RECALL, COMPARE = 0.99, 512
 #: A chunk of a loose class: so many sets, of so many shingles on average.
 CHUNK_ROWS, CHUNK_SHINGLES = 2048, 1024
+#: Whole sets are kept in files of about so many.
+SETS_A_FILE = 4096
 #: Texts of loose classes are found by a broadcast of their hashes up to this many.
 BROADCAST_HASHES = 500_000
 
@@ -209,8 +211,8 @@ def _described(docs: DataFrame, id_col: str, words: int) -> DataFrame:
     return map_batches(rows, run, f"`{id_col}` {kind}, row bigint, h bigint, name bigint" + "".join(f", w{k} bigint" for k in range(WORDS_64)))
 
 
-def _members(docs: DataFrame, sets: DataFrame, roots: DataFrame, words: int) -> DataFrame:
-    """(key, name, n, words, set) of every set in a loose class, from one text of each."""
+def _members(docs: DataFrame, sets: DataFrame, roots: DataFrame, n: int, words: int) -> DataFrame:
+    """(key, name, n, words, set) of the ``n`` sets in loose classes, from one text of each."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t, words) for t in texts_of(batch.column(0))]
@@ -218,7 +220,7 @@ def _members(docs: DataFrame, sets: DataFrame, roots: DataFrame, words: int) ->
         columns = [pa.array([set_name(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), *(pa.array(prints[:, k]) for k in range(WORDS_64)), pa.array([s.tobytes() for s in found], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["name", "n", *(f"w{k}" for k in range(WORDS_64)), "set"])
 
-    need = saved(sets.join(roots, sets["name"] == roots["node"]).select("h").distinct())
+    need = saved(sets.join(roots, sets["name"] == roots["node"]).select("h").distinct().coalesce(max(FILES, n // ROWS_A_FILE)))
     need = F.broadcast(need) if need.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else need
     texts = docs.select("text", F.xxhash64("text").alias("h")).join(need, "h", "left_semi").select("text")
     whole = map_batches(texts, run, "name bigint, n bigint" + "".join(f", w{k} bigint" for k in range(WORDS_64)) + ", set binary").dropDuplicates(["name"])
@@ -230,8 +232,11 @@ def set_links(docs: DataFrame, sets: DataFrame, words: int = 5, bucket_rows: int
     prints = [f"w{k}" for k in range(WORDS_64)]
     keys = _table_keys(*tables_for(sets.count(), recall, compare))
     rows = deal(sets.select("name", *prints, F.explode(F.array(*keys)).alias("key")), bucket_rows, "name")
-    roots = saved(connected_components(star_links(rows.select("key", "name", *prints), RADIUS)))
-    return saved(_verified(saved(_members(docs, sets, roots, words)), chunk_rows))
+    roots = connected_components(star_links(rows.select("key", "name", *prints), RADIUS))
+    n = roots.count()
+    # loose classes are mostly few: no thousands of empty files for them
+    members = saved(_members(docs, sets, roots, n, words).coalesce(max(FILES, n // SETS_A_FILE)))
+    return saved(_verified(members, chunk_rows).coalesce(max(FILES, n // ROWS_A_FILE)))
 
 
 def _settled(docs: DataFrame, id_col: str, words: int, bounds: dict) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from pagewright.llm.common import map_batches, saved, space_words, texts_of
-from pagewright.llm.components import connected_components
+from pagewright.llm.components import FILES, ROWS_A_FILE, connected_components
 
 SEED = 42
 BUCKET_ROWS = 4096
@@ -205,7 +205,7 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def deal(rows: DataFrame, bucket_rows: int = BUCKET_ROWS, node: str = "fp", weight=None) -> DataFrame:
     """``rows`` (node, key, ...) with the keys of buckets of over ``bucket_rows`` rows, or more in weight, replaced by those of pairs of chunks, so that each two rows of a bucket still meet."""
     # buckets over the bound are few, mostly none; their rows go to every pair of chunks that holds their own
-    hot = saved(rows.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")))
+    hot = saved(rows.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).filter(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("chunks")).coalesce(FILES))
     n_hot = hot.limit(BROADCAST_KEYS + 1).count()
     if n_hot:
         own = F.pmod(F.xxhash64(node, F.lit(7)), F.col("chunks"))
@@ -275,7 +275,8 @@ def settled(least: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, component): the least of the values ``least`` (fp, least) in each fingerprint's class."""
     roots = connected_components(links)
     # a class may hold very many fingerprints: its rows meet their least id in SALTS parts
-    linked = saved(least.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root", F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(SALTS)).cast("int").alias("salt")))
+    linked = least.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root", F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(SALTS)).cast("int").alias("salt"))
+    linked = saved(linked.coalesce(max(FILES, roots.count() // ROWS_A_FILE)))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component")).select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = linked.join(smallest, ["root", "salt"]).select("fp", "component")
     # fingerprints without a link are their own class
