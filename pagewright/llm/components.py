@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import saved
 
 #: Nodes of over so many edges are hubs, or with very many edges nodes of over a ``MAX_HUBS``-th of them; so few that they can be broadcast.
-HUB, MAX_HUBS = 1000, 50_000
+HUB, MAX_HUBS = 100, 50_000
 #: Edges of a round are kept in files of about so many, in ``FILES`` at least.
 ROWS_A_FILE, FILES = 100_000, 8
 
