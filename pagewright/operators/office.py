@@ -28,6 +28,7 @@ ITEM = (
     f"struct<arena string, label string, layer string, name string, text string, level int, parent_kind string, parent_key string, defines string, define_key string, "
     f"fields map<string,string>, runs {RUN}, prov {PROV}, rows int, cols int, cells {CELLS}, image_uri string>"
 )
+SALTS = 16
 SECTIONS = {"comment": "comments", "form_field": "form", "sheet_cell_comment": "sheet_comments"}
 PICTURE_SHAPES = ("GraphicObjectShape", "OLE2Shape", "TableShape", "MediaShape")
 
@@ -586,14 +587,19 @@ def sheet_cells(events: DataFrame) -> DataFrame:
     ``key`` is the A1 name and ``value`` the JSON text of a number or formula.
     Rows of unknown sheets are dropped.
     """
-    items = office_items(events, tuple(k for k in MAKERS if k in ("sheet", "table", "embedded_object", "sheet_pivot_table")))
-    owners = items.filter("kind = 'sheet' and arena = 'tables'").select("doc_id", "seq", "ref")
-    index = parsed(events.filter("kind = 'sheet'")).select("doc_id", "seq", number("index").alias("sheet"))
-    # a document's sheets are few: they come to its rows as one small array, so the rows move once, if at all
-    sheets = owners.join(index, ["doc_id", "seq"]).groupBy("doc_id").agg(F.collect_list(F.struct("seq", "sheet", "ref")).alias("__sheets"))
+    # every event of these kinds makes one table, so its number needs no items
+    makes = (F.col("kind") != "embedded_object") | (text_of("kind") == "SPREADSHEET")
+    made = parsed(events.filter(F.col("kind").isin("sheet", "table", "embedded_object", "sheet_pivot_table"))).filter(makes)
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1
+    owners = made.withColumn("ref", F.concat(F.lit("#/tables/"), n.cast("string"))).filter("kind = 'sheet'").select("doc_id", "seq", number("index").alias("sheet"), "ref")
+    # a document's sheets are few: they come to its rows as one small array, so the rows move once
+    sheets = owners.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "sheet", "ref")).alias("__sheets"))
     rows = parsed(events.filter("kind = 'sheet_row'")).select("doc_id", "seq", number("sheet_index").alias("sheet"), number("row", 0, "int").alias("row"), get("cells", SHEET_CELLS).alias("cells"))
     before = F.filter("__sheets", lambda s: (s["sheet"] == F.col("sheet")) & (s["seq"] < F.col("seq")))
-    owned = rows.join(sheets, "doc_id").withColumn("table_ref", F.array_max(before)["ref"]).filter("table_ref is not null")
+    # one workbook may hold very many rows: they meet its sheets in SALTS parts
+    parts = sheets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
+    owned = salted.join(parts, ["doc_id", "__salt"]).withColumn("table_ref", F.array_max(before)["ref"]).filter("table_ref is not null")
     cells = owned.select("doc_id", "table_ref", "row", F.explode("cells").alias("c"))
     z = lambda n: F.coalesce(F.col(f"c.{n}"), F.lit(0))
     name = a1_name(F.col("row"), z("column"))
