@@ -63,8 +63,8 @@ def slide_provenance(spark, sf):
 def _charts(spark, sf):
     """A chart of each kind in turn for every vector; categories are one short."""
     e = table(spark, sf, "embeddings")
-    ys = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x * 1000).cast("double"))
-    xs = F.transform(F.slice("embedding", 4, 2), lambda x: F.floor(x * 1000).cast("double"))
+    ys = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x * F.lit(1000).cast("float")).cast("double"))
+    xs = F.transform(F.slice("embedding", 4, 2), lambda x: F.floor(x * F.lit(1000).cast("float")).cast("double"))
     series = F.array(*(F.struct(F.lit(n).alias("label"), ys.alias("values_y"), xs.alias("values_x")) for n in ("a", "b")))
     kinds = F.array(*(F.lit(k) for k in ("BAR", "LINE", "PIE", "SCATTER", "NET")))
     chart = F.struct(F.element_at(kinds, (F.col("vec_id") % 5 + 1).cast("int")).alias("kind"), F.array(F.lit("c0"), F.lit("c1")).alias("categories"), series.alias("series"))
