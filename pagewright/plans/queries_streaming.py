@@ -47,8 +47,8 @@ def chunk_reassembly(spark, sf):
 @query("stream_chunks")
 def stream_chunks(spark, sf):
     """The same through the stateful stream."""
-    rows = to_the_end(_chunks(spark, sf), chunks.reassembled)
-    return rows.select("stream_id", "document_id", "filename", "size", F.coalesce("code", F.lit("OK")).alias("code"), F.coalesce("error", F.lit("")).alias("error"))
+    told = ("stream_id", "document_id", "filename", "size", F.coalesce("code", F.lit("OK")).alias("code"), F.coalesce("error", F.lit("")).alias("error"))
+    return to_the_end(_chunks(spark, sf), lambda s: chunks.reassembled(s).select(*told), files=1000)
 
 
 def _arrivals(spark, sf):
@@ -74,8 +74,8 @@ def stream_pages(spark, sf):
 )
 def page_events(spark, sf):
     """The page events of the stream, against the batch offsets."""
-    rows = to_the_end(_arrivals(spark, sf), lambda s: pages.released(s, window=1000), files=1000).filter("event = 'page'")
-    return rows.select("doc_id", "page_no", "seq", F.size("texts").cast("bigint").alias("n"), F.element_at("utf_end", -1).alias("utf_end"))
+    told = ("doc_id", "page_no", "seq", F.size("texts").cast("bigint").alias("n"), F.element_at("utf_end", -1).alias("utf_end"))
+    return to_the_end(_arrivals(spark, sf), lambda s: pages.released(s, window=1000).filter("event = 'page'").select(*told), files=1000)
 
 
 @query("event_windows", "select event_type, time_bucket(interval 1 hour, ts) as start, count(*) as n, sum(round(value * 100)::bigint)::bigint as cents from events group by 1, 2")

@@ -13,49 +13,55 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = "doc_id bigint, seq bigint, event string, page_no int, texts array<string>, utf_start array<bigint>, utf_end array<bigint>, first_ref bigint, error string"
+EVENT_ROW = Row(*(c.split()[0] for c in EVENT.split(", ")))
 SLOW = "client did not consume page events within the bounded stream buffer"
 
 
 class PageRelease(StatefulProcessor):
-    """MapState of waiting pages; one row of cursor, counts and the end."""
+    """List of waiting pages; one row of cursor, counts and the end.
+
+    Rows of one trigger are worked through in memory: the state is read and written once, and a page only becomes state
+    if it still waits when they end.  Neither is ever scanned: a scan passes over what other documents have removed.
+    """
 
     def __init__(self, window: int = 64, parts: int = 1):
         self.window, self.parts = window, parts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "page_no int", "texts array<string>")
+        self.waiting = handle.getListState("waiting", "page_no int, texts array<string>")
         self.cursor = handle.getValueState("cursor", "next_page int, offset bigint, items bigint, seq bigint, held int, pending int, good int, failure string, ended boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state = self.cursor.get() if self.cursor.exists() else (1, 0, 0, 0, 0, self.parts, 0, None, False)
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        state = self.cursor.get() or (1, 0, 0, 0, 0, self.parts, 0, None, False)
         next_page, offset, items, seq, held, pending, good, failure, ended = state
-        out: list[tuple] = []
+        kept = held > 0
+        waiting: dict[int, list[str]] = {p: list(texts) for p, texts in self.waiting.get()} if kept else {}
+        fresh: list[tuple] = []
+        out: list[Row] = []
 
         def say(event, page=None, texts=None, starts=None, ends=None, ref=None, error=None):
             nonlocal seq
-            out.append((key[0], seq, event, page, texts, starts, ends, ref, error))
+            out.append(EVENT_ROW(key[0], seq, event, page, texts, starts, ends, ref, error))
             seq += 1
 
-        for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").itertuples(index=False):
+        for r in sorted(rows, key=lambda r: (r.arrival is None, r.arrival or 0)):
             if ended:
                 continue
             if r.kind == "page":
-                if r.page_no < next_page or self.waiting.containsKey((int(r.page_no),)):
+                if r.page_no < next_page or r.page_no in waiting:
                     continue
-                if held >= self.window:
+                if len(waiting) >= self.window:
                     ended = True
                     say("error", error=f"RESOURCE_EXHAUSTED: {SLOW}")
                     continue
-                self.waiting.updateValue((int(r.page_no),), (list(r.texts),))
-                held += 1
-                while self.waiting.containsKey((int(next_page),)):
-                    texts = list(self.waiting.getValue((int(next_page),))[0])
-                    self.waiting.removeKey((int(next_page),))
+                waiting[r.page_no] = list(r.texts)
+                fresh.append((r.page_no, waiting[r.page_no]))
+                while next_page in waiting:
+                    texts = waiting.pop(next_page)
                     starts, ends, first = [], [], items
                     for t in texts:
                         offset += 1 if items else 0
@@ -63,8 +69,7 @@ class PageRelease(StatefulProcessor):
                         offset += len(t)
                         ends.append(offset)
                         items += 1
-                    say("page", int(next_page), texts, starts, ends, first)
-                    held -= 1
+                    say("page", next_page, texts, starts, ends, first)
                     next_page += 1
             elif r.kind == "cancel":
                 ended = True
@@ -77,16 +82,24 @@ class PageRelease(StatefulProcessor):
                 pending -= 1
                 if pending <= 0:
                     ended = True
-                    if held:
-                        waits = sorted(int(k[0]) for k in self.waiting.keys())
+                    if waiting:
+                        waits = sorted(waiting)
                         gap = f"DATA_LOSS: page {next_page} is missing, {len(waits)} later pages from {waits[0]} on are not released"
                         failure = f"{failure}; {gap}" if failure else gap
                     say("complete", error=failure) if good else say("error", error=failure or "INTERNAL: every collector failed")
         if ended:
+            waiting = {}
+        if kept and not waiting:
             self.waiting.clear()
-        self.cursor.update((int(next_page), int(offset), int(items), int(seq), int(held), int(pending), int(good), failure, bool(ended)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-        yield frame.astype({"page_no": "Int32", "first_ref": "Int64"})
+        elif kept and next_page == state[0]:  # nothing was released: the new ones join those that wait
+            if fresh:
+                self.waiting.appendList(fresh)
+        elif waiting:
+            self.waiting.put(list(waiting.items()))
+        now = (next_page, offset, items, seq, len(waiting), pending, good, failure, ended)
+        if now != tuple(state):
+            self.cursor.update(now)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -94,4 +107,4 @@ class PageRelease(StatefulProcessor):
 
 def released(arrivals: DataFrame, window: int = 64, parts: int = 1) -> DataFrame:
     """Events of a stream of arrivals: doc_id, arrival, kind, page_no, texts, error."""
-    return arrivals.groupBy("doc_id").transformWithStateInPandas(PageRelease(window, parts), EVENT, "Append", "None")
+    return arrivals.groupBy("doc_id").transformWithState(PageRelease(window, parts), EVENT, "Append", "None")
