@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +26,8 @@ TOO_LONG = "document exceeds the streaming limit"
 INCOMPLETE = "stream must end with a non-empty complete chunk"
 RESULT = "stream_id string, document_id string, filename string, content_type string, collectors array<string>, size bigint, content binary, code string, error string"
 
+RESULT_ROW = Row(*(c.split()[0] for c in RESULT.split(", ")))
+
 
 def base_name(name: F.Column) -> F.Column:
     return F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)$", 1)
@@ -65,7 +66,7 @@ def reassemble(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 class Reassembler(StatefulProcessor):
-    """State of a stream: what it is, how much came, whether it ended; and its chunks.
+    """State of a stream: what it is, how much came, whether it ended; and its chunks, if it did not end with the trigger's rows.
 
     A stream answers once, at its complete chunk or first error; what comes later
     is an error row of its own.
@@ -75,21 +76,20 @@ class Reassembler(StatefulProcessor):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.identity = handle.getValueState("identity", "document_id string, filename string, content_type string, size bigint, done boolean, failed boolean")
+        self.identity = handle.getValueState("identity", "document_id string, filename string, content_type string, size bigint, done boolean, failed boolean, collectors array<string>, held boolean")
         self.parts = handle.getListState("parts", "data binary")
-        self.wanted = handle.getValueState("wanted", "collectors array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        out = []
-        known = self.identity.get() if self.identity.exists() else None
-        wanted = list(self.wanted.get()[0]) if self.wanted.exists() else []
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        out: list[Row] = []
+        known = self.identity.get()
         fresh: list[tuple[bytes]] = []
-        did, fname, ctype, size, done, failed = known or ("", "", "", 0, False, False)
+        did, fname, ctype, size, done, failed, wanted, held = known or ("", "", "", 0, False, False, [], False)
+        wanted = list(wanted)
 
         def answer(content=None, code=None, error=None):
-            out.append((key[0], did, fname, ctype, wanted, size, content, code, error))
+            out.append(RESULT_ROW(key[0], did, fname, ctype, wanted, size, content, code, error))
 
-        for r in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):
+        for r in sorted(rows, key=lambda r: (r.seq is None, r.seq or 0)):
             if failed:
                 continue
             name = (r.filename or "").rsplit("/", 1)[-1]
@@ -119,18 +119,22 @@ class Reassembler(StatefulProcessor):
             if r.complete:
                 done = True
                 if size:
-                    answer(content=b"".join([*(p[0] for p in self.parts.get()), *(p[0] for p in fresh)]))
+                    before = [p[0] for p in self.parts.get()] if held else []
+                    answer(content=b"".join([*before, *(p[0] for p in fresh)]))
                 else:
                     failed = True
                     answer(code=INVALID, error=INCOMPLETE)
         if done or failed:
-            self.parts.clear()
-        else:
+            if held:
+                self.parts.clear()
+            held = False
+        elif fresh:
             self.parts.appendList(fresh)
-        self.identity.update((did, fname, ctype, int(size), bool(done), bool(failed)))
-        if wanted:
-            self.wanted.update((wanted,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            held = True
+        now = (did, fname, ctype, size, done, failed, wanted, held)
+        if now != known:
+            self.identity.update(now)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -138,4 +142,4 @@ class Reassembler(StatefulProcessor):
 
 def reassembled(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The same for a stream of chunks, keyed by ``stream_id``; needs the RocksDB state store."""
-    return chunks.groupBy("stream_id").transformWithStateInPandas(Reassembler(limit), RESULT, "Append", "None")
+    return chunks.groupBy("stream_id").transformWithState(Reassembler(limit), RESULT, "Append", "None")

@@ -58,6 +58,65 @@ def test_a_slow_reader_ends_with_an_error(spark):
     assert [r.event for r in out] == ["error"] and "RESOURCE_EXHAUSTED" in out[0].error
 
 
+class State:
+    """One document's state variables, and how often they are asked."""
+
+    def __init__(self):
+        self.values, self.asked = {}, []
+
+    def getValueState(self, name, kind):  # noqa: N802
+        return Variable(self, name)
+
+    getListState = getValueState  # noqa: N815
+
+
+class Variable:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def get(self):
+        self.state.asked.append("get")
+        return iter(list(self.state.values[self.name])) if self.name in ("waiting", "parts") else self.state.values.get(self.name)
+
+    def put(self, values):
+        self.state.asked.append("put")
+        self.state.values[self.name] = values
+
+    update = put
+
+    def appendList(self, values):  # noqa: N802
+        self.put(self.state.values.get(self.name, []) + values)
+
+    def clear(self):
+        self.state.asked.append("clear")
+        self.state.values.pop(self.name, None)
+
+
+def driven(processor, key, triggers):
+    state = State()
+    processor.init(state)
+    out = [tuple(r) for rows in triggers for r in processor.handleInputRows((key,), iter(rows), None)]
+    return out, state
+
+
+def test_what_ends_in_one_trigger_is_never_waiting_state():
+    from pyspark.sql import Row
+
+    arrival = Row("doc_id", "arrival", "kind", "page_no", "texts", "error")
+    rows = [arrival(1, i, "page", p, [f"t{p}", "é"], None) for i, p in enumerate((4, 2, 7, 1, 3, 6, 5))] + [arrival(1, 9, "part_done", None, None, None)]
+    whole, state = driven(pages.PageRelease(), 1, [rows])
+    assert state.asked == ["get", "put"] and [r[2:4] for r in whole] == [*(("page", p) for p in range(1, 8)), ("complete", None)]
+    for cuts in ([2, 3, 5, 7], [1, 2, 3, 4, 5, 6, 7], [6]):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        assert driven(pages.PageRelease(), 1, parts)[0] == whole
+
+    piece = Row("stream_id", "seq", "document_id", "filename", "content_type", "data", "complete", "collectors")
+    rows = [piece("s", i, "d" if i == 0 else "", "f", "t", b"ab%d" % i, i == 4, ["CV"] if i == 1 else []) for i in range(5)]
+    whole, state = driven(chunks.Reassembler(), "s", [rows])
+    assert state.asked == ["get", "put"] and whole == [("s", "d", "f", "t", ["CV"], 15, b"ab0ab1ab2ab3ab4", None, None)]
+    assert driven(chunks.Reassembler(), "s", [rows[:1], rows[1:4], rows[4:]])[0] == whole == driven(chunks.Reassembler(), "s", [[r] for r in rows])[0]
+
+
 def test_streams_over_the_tables(spark):
     got = catalog.QUERIES["stream_pages"](spark, SF)
     assert got.filter("event = 'complete'").count() == spark.read.parquet(f"{SF}/documents.parquet").filter("text <> ''").count()
