@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.operators.grouped import spread
+
 #: Arenas whose items a merge appends; others of a source are dropped unless asked for.
 MERGED = ("groups", "texts", "pictures", "tables", "key_value_items", "form_items")
 NOT_MERGED = ("field_regions", "field_items")
@@ -100,7 +102,8 @@ def integrity_errors(items: DataFrame, edges: DataFrame, comments: DataFrame | N
         known = comments.filter(~F.array_contains(roots, F.col("comment_ref")))
         rows = rows.unionByName(known.select("doc_id", F.col("comment_ref").alias("ref"), no.alias("child"), F.lit("comment").alias("use")))
     kinds = ("item", "empty", "unset", "parent", "child", "comment", "has", "lists")
-    counts = rows.filter("ref is not null").groupBy("doc_id", "ref", "child").agg(*(F.count_if(F.col("use") == k).alias(f"n_{k}") for k in kinds))
+    # what came before is small and merged into few parts: the uses are dealt out first, or one task counts millions of references
+    counts = spread(rows.filter("ref is not null"), "doc_id", "ref", "child").groupBy("doc_id", "ref", "child").agg(*(F.count_if(F.col("use") == k).alias(f"n_{k}") for k in kinds))
     unknown = F.col("n_item") == 0
     wrong = (
         ("empty self_ref", F.lit(True), "n_empty"),

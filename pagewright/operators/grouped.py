@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Arrow batches hold about this many bytes, however large the files or texts in them are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to ``BATCH_BYTES``: without it, a batch has ten thousand rows of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # set in other units, or larger
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by the keys into the session's number of shuffle partitions, which are not merged again however small they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
 
 def scan_groups(df: DataFrame, keys: list[str], order: list[str], schema: StructType, f: Callable[[list[tuple]], Iterable[tuple]]) -> DataFrame:
     """Runs ``f`` on the rows of each group, as tuples in the given order, and collects the tuples it makes.
