@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.content import a1_name, a1_range, office_mime_type
 from pagewright.operators import assembly, tables
+from pagewright.operators.grouped import spread
 
 RUN = "array<struct<text string, weight double, italic boolean, underline boolean, strikethrough boolean, hyperlink_url string, hyperlink_target string, hyperlink_name string>>"
 RECT = "array<struct<page_index int, x_twips bigint, y_twips bigint, width_twips bigint, height_twips bigint, char_start bigint, char_end bigint>>"
@@ -449,33 +450,55 @@ def office_items(events: DataFrame, kinds: tuple[str, ...] | None = None) -> Dat
     ``kinds`` limits the work to some event kinds, as a request for parts would.
     """
     makers = {k: f for k, f in MAKERS.items() if kinds is None or k in kinds}
-    rows = parsed(events.filter(F.col("kind").isin(*makers)))
-    # the first comment or form field makes its section
-    section = F.when(F.col("kind").isin(*SECTIONS), F.concat("kind", F.when(F.col("kind") == "sheet_cell_comment", _sheet_key()).otherwise(F.lit("")))).otherwise(F.col("seq").cast("string"))
-    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", section).orderBy("seq")) == 1)
+    # payloads are small beside the work on them: a short file would give it to one task
+    rows = parsed(spread(events.filter(F.col("kind").isin(*makers)), "doc_id", "seq"))
+    if set(makers) & set(SECTIONS):
+        # the first comment or form field makes its section
+        section = F.when(F.col("kind").isin(*SECTIONS), F.concat("kind", F.when(F.col("kind") == "sheet_cell_comment", _sheet_key()).otherwise(F.lit("")))).otherwise(F.col("seq").cast("string"))
+        rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", section).orderBy("seq")) == 1)
     made = F.array().cast(f"array<{ITEM}>")
     for kind, f in makers.items():
         made = F.when(F.col("kind") == kind, f()).otherwise(made)
     flat = rows.select("doc_id", "seq", "kind", F.posexplode(made).alias("sub_ord", "i")).select("doc_id", "seq", "kind", "sub_ord", "i.*")
     n = F.row_number().over(Window.partitionBy("doc_id", "arena").orderBy("seq", "sub_ord")) - 1
     named = flat.withColumn("ref", F.concat(F.lit("#/"), "arena", F.lit("/"), n.cast("string")))
-    return _with_parents(named)
+    return _with_parents(named, set(makers))
 
 
-def _with_parents(named: DataFrame) -> DataFrame:
-    defined = named.filter("defines is not null").select(F.col("doc_id").alias("d_doc"), F.col("defines").alias("d_kind"), F.when(F.col("defines") == "own", F.col("seq").cast("string")).otherwise(F.col("define_key")).alias("d_key"), F.struct("seq", "sub_ord").alias("d_at"), F.col("ref").alias("d_ref"), F.col("layer").alias("d_layer"))
+#: Kinds of events whose items others hang on.
+DEFINING = {"drawing_shape", "slide", "text_frame", "shape", "sheet", *SECTIONS}
+
+
+def _latest(rows: DataFrame, kind: Column, key: Column, order: tuple[str, ...], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: ``value`` of the latest earlier row of the document that defines ``kind`` and ``key``; null without one.
+
+    Each row is there once as a reader and, if it defines anything, once as a
+    definition; both meet in one window, so the items are made once.
+    """
+    defined = F.struct(F.lit(True).alias("gives"), F.col("defines").alias("kind"), F.when(F.col("defines") == "own", F.col("seq").cast("string")).otherwise(F.col("define_key")).alias("key"))
+    asked = F.struct(F.lit(False).alias("gives"), kind.alias("kind"), key.alias("key"))
+    both = rows.withColumn("__at", F.explode(F.when(F.col("defines").isNotNull(), F.array(asked, defined)).otherwise(F.array(asked))))
+    # of one place, readers come first: a definition is only seen by what is later
+    w = Window.partitionBy("doc_id", "__at.kind", "__at.key").orderBy(*order, "__at.gives", "sub_ord").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn(name, F.last(F.when(F.col("__at.gives"), value), ignorenulls=True).over(w)).filter("not __at.gives").drop("__at")
+
+
+def _with_parents(named: DataFrame, kinds: set[str]) -> DataFrame:
     key = F.when(F.col("parent_kind") == "own", F.col("seq").cast("string")).otherwise(F.col("parent_key"))
-    keyed = named.withColumn("__key", key)
-    hit = (F.col("doc_id") == F.col("d_doc")) & (F.col("parent_kind") == F.col("d_kind")) & (F.col("__key") == F.col("d_key")) & (F.col("d_at") < F.struct("seq", "sub_ord"))
-    found = keyed.select("doc_id", "seq", "sub_ord", "parent_kind", "__key").join(defined, hit).groupBy("doc_id", "seq", "sub_ord").agg(F.max_by(F.struct("d_ref", "d_layer"), "d_at").alias("p"))
     root = F.when(F.col("parent_kind") == "furniture", "#/furniture").otherwise("#/body")
+    out = named
+    if kinds & DEFINING:
+        out = _latest(out, F.col("parent_kind"), key, ("seq", "sub_ord"), F.col("ref"), "__parent").withColumn("parent_ref", F.coalesce("__parent", root)).drop("__parent")
+    else:
+        out = out.withColumn("parent_ref", root)
     # what hangs on a sheet, or on its comments, has the sheet's layer
-    out = named.join(found, ["doc_id", "seq", "sub_ord"], "left").withColumn("parent_ref", F.coalesce("p.d_ref", root))
-    sheets = named.filter("defines = 'sheet'").select(F.col("doc_id").alias("s_doc"), F.col("define_key").alias("s_key"), F.col("layer").alias("s_layer"), F.col("seq").alias("s_seq"))
-    owned = named.filter("layer = 'SHEET'").select("doc_id", "seq", "sub_ord", "parent_key").join(sheets, (F.col("doc_id") == F.col("s_doc")) & (F.col("parent_key") == F.col("s_key")) & (F.col("s_seq") < F.col("seq")))
-    layers = owned.groupBy("doc_id", "seq", "sub_ord").agg(F.max_by("s_layer", "s_seq").alias("__layer"))
-    out = out.join(layers, ["doc_id", "seq", "sub_ord"], "left").withColumn("layer", F.when(F.col("layer") == "SHEET", F.coalesce("__layer", F.lit("BODY"))).otherwise(F.col("layer")))
-    return out.drop("p", "__layer", "parent_kind", "parent_key", "defines", "define_key")
+    if "sheet" in kinds:
+        of_sheet = F.col("layer") == "SHEET"
+        out = _latest(out, F.when(of_sheet, "sheet"), F.when(of_sheet, F.col("parent_key")), ("seq",), F.when(F.col("defines") == "sheet", F.col("layer")), "__layer")
+        out = out.withColumn("layer", F.when(of_sheet, F.coalesce("__layer", F.lit("BODY"))).otherwise(F.col("layer"))).drop("__layer")
+    else:
+        out = out.withColumn("layer", F.when(F.col("layer") == "SHEET", "BODY").otherwise(F.col("layer")))
+    return out.drop("parent_kind", "parent_key", "defines", "define_key")
 
 
 # Who made the items of office events.
@@ -520,12 +543,15 @@ def table_cells(items: DataFrame, events: DataFrame) -> DataFrame:
 
 def table_grid(items: DataFrame, limit: int = tables.GRID_LIMIT) -> DataFrame:
     """(doc_id, ref, row, col, text): the dense grid of every table of at most ``limit`` positions; the last cell of a place stands there."""
-    sized_ = items.filter("arena = 'tables' and rows > 0 and cols > 0").select("doc_id", "ref", "rows", "cols", "cells")
-    one = F.struct(F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit("").alias("name"), F.lit("").alias("text"))
-    known = F.transform(F.coalesce("cells", F.array().cast(CELLS)), lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["name"].alias("name"), c["text"].alias("text")))
-    # a table without cells keeps its size through a cell outside of it
-    rows = sized_.select("doc_id", "ref", "rows", "cols", F.posexplode(F.concat(known, F.array(one))).alias("seq", "c")).select("doc_id", "ref", "rows", "cols", "seq", "c.*")
-    return tables.fold_cells(rows, ["doc_id", "ref"], limit)[1].select("doc_id", "ref", "row", "col", "text")
+    sized_ = items.filter((F.col("arena") == "tables") & (F.col("rows") > 0) & (F.col("cols") > 0) & (F.col("rows").cast("bigint") * F.col("cols").cast("bigint") <= limit))
+    cols = F.col("cols")
+    inside = F.filter(F.coalesce("cells", F.array().cast(CELLS)), lambda c: (c["row"] >= 0) & (c["row"] < F.col("rows")) & (c["col"] >= 0) & (c["col"] < cols))
+    given = F.transform(inside, lambda c, i: F.struct((c["row"] * cols + c["col"]).alias("at"), i.alias("seq"), F.coalesce(c["text"], F.lit("")).alias("text")))
+    blank = F.transform(F.sequence(F.lit(0), F.col("rows") * cols - 1), lambda p: F.struct(p.alias("at"), F.lit(-1).alias("seq"), F.lit("").alias("text")))
+    # a table is one row: its blanks and cells are sorted by place within it, and the last of a place stays
+    sorted_ = sized_.select("doc_id", "ref", "cols", F.array_sort(F.concat(blank, given)).alias("all"))
+    last = F.filter("all", lambda c, i: F.coalesce(F.get("all", i + 1)["at"] != c["at"], F.lit(True)))
+    return sorted_.select("doc_id", "ref", "cols", F.explode(last).alias("c")).select("doc_id", "ref", F.expr("cast(c.at div cols as int)").alias("row"), F.expr("cast(c.at % cols as int)").alias("col"), "c.text")
 
 
 def document_errors(events: DataFrame) -> DataFrame:
