@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.functions.geometry import Box, half, union_box
 from pagewright.operators.binding import cell_texts, ordered_text
+from pagewright.operators.grouped import spread
 
 TABLE = ["doc_id", "page_no", "region_idx"]
 GRID_LIMIT = 4096
@@ -120,6 +124,9 @@ def fold_cells(cells: DataFrame, keys: list[str], limit: int = GRID_LIMIT) -> tu
 
 
 CELL = "row int, col int, row_span int, col_span int, header boolean, left int, top int, right int, bottom int"
+NO_BOX = (0, 0, 0, 0)
+#: Shapes of tables that a task remembers, and rows of a batch that goes out.
+PLACED, OUT_ROWS = 1024, 16_384
 _QUOTED = re.compile('"(.*)"')
 
 
@@ -148,7 +155,7 @@ def place_tokens(tokens: list[str], boxes: list[tuple[int, int, int, int]], limi
         while col < limit and any((row, c) in taken for c in range(col, col + col_span)):
             col += 1
         taken.update((r, c) for r in range(row, row + row_span) for c in range(col, col + col_span))
-        cells.append((row, col, row_span, col_span, head, *(boxes[box] if box < len(boxes) else (0, 0, 0, 0))))
+        cells.append((row, col, row_span, col_span, head, *(boxes[box] if box < len(boxes) else NO_BOX)))
         box += 1
 
     spans: list[int] | None = None
@@ -177,16 +184,32 @@ def token_cells(streams: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, cell_idx, cell columns) of each row's ``tokens`` and ``boxes``.
 
     Placement depends on all cells before, so each stream is placed in Python,
-    batch by batch, without a shuffle.
+    batch by batch, in as many tasks as a shuffle has.  It does not depend on the boxes: streams
+    of the same tags, as tables of one shape have them, are placed once.
     """
     kinds = ", ".join(f"{k} {streams.schema[k].dataType.simpleString()}" for k in keys)
+    cell = to_arrow_schema(T.StructType.fromDDL(f"cell_idx int, {CELL}"))
+    width = len(keys)
 
     def run(batches):
+        placed = lru_cache(PLACED)(lambda tokens: tuple(c[:5] for c in place_tokens(tokens, [])))
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                made = place_tokens(list(r.tokens), [(x["left"], x["top"], x["right"], x["bottom"]) for x in r.boxes])
-                out += [(*(getattr(r, k) for k in keys), i, *c) for i, c in enumerate(made)]
-            yield pd.DataFrame(out, columns=[*keys, "cell_idx", *(c.split()[0] for c in CELL.split(", "))])
-
-    return streams.select(*keys, "tokens", "boxes").mapInPandas(run, f"{kinds}, cell_idx int, {CELL}")
+            at: list[int] = []
+            out: list[tuple] = []
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*out, strict=True) if out else [()] * len(cell)
+                made_ = [pa.array(c, t.type) for c, t in zip(columns, cell, strict=True)]
+                return pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at, pa.int64())) for i in range(width)), *made_], names=[*keys, *cell.names])
+
+            for r, (tokens, boxes) in enumerate(zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True)):
+                places = [(x["left"], x["top"], x["right"], x["bottom"]) for x in boxes or ()]
+                for i, c in enumerate(placed(tuple(tokens or ()))):
+                    at.append(r)
+                    out.append((i, *c, *(places[i] if i < len(places) else NO_BOX)))
+                if len(out) >= OUT_ROWS:
+                    yield made()
+                    at, out = [], []
+            yield made()
+
+    return spread(streams.select(*keys, "tokens", "boxes"), *keys).mapInArrow(run, f"{kinds}, cell_idx int, {CELL}")
