@@ -31,9 +31,15 @@ class Config:
     collector: str = "engine"
 
 
-def assemble(pages: DataFrame, lines: DataFrame, regions: DataFrame, cells: DataFrame, collector: str = "engine") -> dict[str, DataFrame]:
-    """Tables of a document from its pages' lines, regions and recognised cells."""
+def assemble(pages: DataFrame, lines: DataFrame, regions: DataFrame, cells: DataFrame, collector: str = "engine", only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Tables of a document from its pages' lines, regions and recognised cells; ``only`` names those that are asked for."""
     bound = binding.bind_regions(lines.filter("text <> ''"), regions)
+    part = lambda label, arena: assembly.stable_refs(regions.filter(F.col("label") == label), arena, ["page_no", "region_idx"])
+    table_items, pictures = part("table", "tables"), part("figure", "pictures")
+    grids = tables.table_grids(bound.filter("region_label = 'table'"), cells)
+    out = {"cells": grids.join(table_items.select("doc_id", "page_no", "region_idx", "ref"), [*PAGE, "region_idx"]).select("doc_id", "ref", "row", "col", "text", "header"), "pages": pages}
+    if only is not None and set(only) <= set(out):
+        return {k: out[k] for k in only}  # the reading order is dear, and only the other tables need it
     boxed = bound.join(regions.select(*PAGE, "region_idx", *(F.col(e).alias(f"r_{e}") for e in BOX)), [*PAGE, "region_idx"], "left")
     ordered = layout.reading_order(boxed)
     page_source = pages.select(*PAGE, F.col("source").alias("page_source"))
@@ -42,21 +48,17 @@ def assemble(pages: DataFrame, lines: DataFrame, regions: DataFrame, cells: Data
     # the reading order is found by sequential scans: once, for all the tables below
     texts = once(assembly.stable_refs(texts, "texts", ["page_no", "read_idx"]).withColumn("tag", assembly.source_tag(collector, F.col("source"), F.col("confidence"))))
     offsets = assembly.text_offsets(texts, ["page_no", "read_idx"])
-    part = lambda label, arena: assembly.stable_refs(regions.filter(F.col("label") == label), arena, ["page_no", "region_idx"])
-    table_items, pictures = part("table", "tables"), part("figure", "pictures")
     body = assembly.body_order(texts.withColumn("ord", F.col("read_idx")), table_items.withColumn("ord", F.col("region_idx")), pictures.withColumn("ord", F.col("region_idx")))
     edges = body.select("doc_id", F.lit("#/body").alias("parent_ref"), F.col("ref").alias("child_ref"), F.col("body_ord").alias("ord"))
-    grids = tables.table_grids(bound.filter("region_label = 'table'"), cells)
     shape = ["doc_id", "page_no", "ref", "label", "text", *BOX]
     items = texts.select(*shape).unionByName(table_items.select("doc_id", "page_no", "ref", F.lit("TABLE").alias("label"), F.lit("").alias("text"), *BOX)).unionByName(pictures.select("doc_id", "page_no", "ref", F.lit("PICTURE").alias("label"), F.lit("").alias("text"), *BOX))
-    return {
+    out |= {
         "items": items,
         "offsets": offsets.select("doc_id", "page_no", "ref", "utf_start", "utf_end", "confidence", "source"),
-        "cells": grids.join(table_items.select("doc_id", "page_no", "region_idx", "ref"), [*PAGE, "region_idx"]).select("doc_id", "ref", "row", "col", "text", "header"),
         "edges": edges,
-        "pages": pages,
         "texts": assembly.plain_text(texts.withColumn("ord", F.struct("page_no", "read_idx"))),
     }
+    return {k: v for k, v in out.items() if only is None or k in only}
 
 
 _REGION = "doc_id {0}, page_no int, region_idx int, label string, confidence float, left int, top int, right int, bottom int"
@@ -94,14 +96,16 @@ def office_tables(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFrame | None = None) -> dict[str, DataFrame]:
+def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFrame | None = None, only: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """``docs`` (doc_id, filename, content_type, content) to the tables of ``assemble``, ``figures``, ``fields`` and ``errors``.
 
     ``events`` holds the office documents' events (doc_id, seq, kind, payload),
     as an office program gives them.  A document that cannot be read, and an
     office document without events, gives a row of ``errors`` and nothing else.
     What files and models give is computed here, once, and kept in the shared
-    folder; the tables are lazy plans over it.
+    folder; the tables are lazy plans over it.  ``only`` names the tables of
+    ``assemble`` that are asked for: without those that need it, no reading order
+    is computed.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     route = files.routed(docs)
@@ -127,7 +131,7 @@ def parse_documents(docs: DataFrame, config: Config = Config(), events: DataFram
             figures = models.decoded(figures, config.decoder, config.barcodes) if config.decoder else figures.withColumn("barcodes", F.array().cast(models.BARCODES))
             named = assembly.stable_refs(regions.filter("label = 'figure'"), "pictures", ["page_no", "region_idx"]).select(*PAGE, "region_idx", "ref")
             figures = once(named.join(figures, [*PAGE, "region_idx"]).select(*PAGE, "region_idx", "ref", "figure_classes", "barcodes"))
-    out = assemble(pages, lines, regions, cells, config.collector)
+    out = assemble(pages, lines, regions, cells, config.collector, only)
     unread = route.filter("route = 'office'").select("doc_id")
     if events is not None:
         own = events.join(unread, "doc_id", "left_semi")

@@ -19,3 +19,65 @@ def test_charts_multiply_as_the_twin_does(spark, tmp_path):
     db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = db.sql(f"select doc_id, shape, series_idx, point_idx, label, x, y from ({catalog.ORACLE_SQL['chart_projection']})").fetchall()
     assert got == sorted(want) and got
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_uses_of_references_are_dealt_out_by_number(spark):
+    from pagewright.operators import documents
+
+    items = spark.createDataFrame([(1, "#/texts/0", "text", "#/body")], "doc_id bigint, ref string, kind string, parent_ref string")
+    edges = spark.createDataFrame([(1, "#/body", "#/texts/0")], "doc_id bigint, parent_ref string, child_ref string")
+    out = documents.integrity_errors(items, edges)
+    assert "RepartitionByExpression [doc_id" in plan(out) and out.collect() == []
+
+
+def test_office_items_are_made_once_and_by_many_tasks(spark):
+    from pagewright.operators import office
+
+    rows = [(1, 1, "sheet", '{"index":1,"visible":false}'), (1, 2, "sheet_chart", '{"sheet_index":1}'), (1, 3, "sheet", '{"index":1,"visible":true}'), (1, 4, "sheet_chart", '{"sheet_index":1}'), (1, 5, "sheet_chart", '{"sheet_index":2}')]
+    items = office.office_items(spark.createDataFrame(rows, "doc_id bigint, seq bigint, kind string, payload string"), ("sheet", "sheet_chart"))
+    assert plan(items).count("LogicalRDD") == 1 and "RepartitionByExpression [doc_id" in plan(items)
+    got = {r.seq: (r.parent_ref, r.layer) for r in items.filter("arena = 'pictures'").collect()}
+    assert got == {2: ("#/groups/0", "INVISIBLE"), 4: ("#/groups/1", "BODY"), 5: ("#/body", "BODY")}
+
+
+def test_grid_keeps_the_last_cell_of_a_place(spark):
+    from pagewright.operators import office
+
+    cells = '[{"row":0,"column":1,"text":"a"},{"row":0,"column":1,"text":"b"},{"row":2,"column":0,"text":"out"},{"row":0,"column":2,"text":"out"},{"row":1,"column":0}]'
+    events = spark.createDataFrame([(1, 1, "table", f'{{"rows":2,"columns":2,"cells":{cells}}}'), (1, 2, "table", '{"rows":1,"columns":1}'), (1, 3, "table", '{"rows":5000,"columns":1}')], "doc_id bigint, seq bigint, kind string, payload string")
+    grid = office.table_grid(office.office_items(events, ("table",)))
+    assert plan(grid).count("LogicalRDD") == 1
+    assert sorted(tuple(r) for r in grid.collect()) == [(1, "#/tables/0", 0, 0, ""), (1, "#/tables/0", 0, 1, "b"), (1, "#/tables/0", 1, 0, ""), (1, "#/tables/0", 1, 1, ""), (1, "#/tables/1", 0, 0, "")]
+
+
+def test_token_streams_of_a_short_file_go_to_many_tasks(spark):
+    from pagewright.operators import tables
+
+    rows = [(i, ["<tr>", "<td></td>", "<td></td>"], [(1, 2, 3, 4)] if i % 2 else []) for i in range(64)]
+    out = tables.token_cells(spark.createDataFrame(rows, "id bigint, tokens array<string>, boxes array<struct<left:int,top:int,right:int,bottom:int>>").coalesce(1), ["id"])
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted((r.id, r.col, r.bottom) for r in out.collect()) == sorted((i, c, 4 if i % 2 and c == 0 else 0) for i in range(64) for c in (0, 1))
+
+
+def test_pdf_lines_leave_a_worker_in_bounded_batches(spark):
+    from pagewright.sources import pdf
+
+    docs = spark.createDataFrame([(i, b"x") for i in range(3)], "doc_id bigint, content binary")
+    rows = pdf.pdf_rows(docs)
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    assert "MapInArrow" in plan(rows) and limit.isdigit() and int(limit) <= 8 << 20
+    assert sorted(r.doc_id for r in rows.filter("error is not null").collect()) == [0, 1, 2]
+
+
+def test_counting_needs_no_reading_order(spark, monkeypatch):
+    from pagewright.operators import layout
+
+    def dear(_):
+        raise AssertionError("the reading order was computed")
+
+    monkeypatch.setattr(layout, "reading_order", dear)
+    assert {r.metric for r in catalog.QUERIES["parse_counters"](spark, "/root/testdata/sf0.001").select("metric").collect()} >= {"documents_rejected_total", "pages_digital_total"}
