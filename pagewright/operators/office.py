@@ -1,8 +1,8 @@
 """Typed office events to document items, in one pass.
 
 ``events``: doc_id, seq, kind, payload (JSON).  One projection turns every event
-into the items it makes; one explode, one numbering window and two joins (parents
-and page rectangles) finish the document.  An event only sees what came before
+into the items it makes; one explode and windows for numbers, parents and layers
+finish the document.  An event only sees what came before
 it: a parent is the latest definition with a smaller sequence number.
 
 Values of custom fields are JSON texts.
