@@ -541,17 +541,33 @@ def table_cells(items: DataFrame, events: DataFrame) -> DataFrame:
     return moved.select("doc_id", "ref", "cell_idx", "row", "col", "name", "text", *((F.col(f"at.{e}") - z(F.col("ox" if e in ("left", "right") else "oy"))).alias(e) for e in ("left", "top", "right", "bottom")))
 
 
-def table_grid(items: DataFrame, limit: int = tables.GRID_LIMIT) -> DataFrame:
-    """(doc_id, ref, row, col, text): the dense grid of every table of at most ``limit`` positions; the last cell of a place stands there."""
-    sized_ = items.filter((F.col("arena") == "tables") & (F.col("rows") > 0) & (F.col("cols") > 0) & (F.col("rows").cast("bigint") * F.col("cols").cast("bigint") <= limit))
-    cols = F.col("cols")
-    inside = F.filter(F.coalesce("cells", F.array().cast(CELLS)), lambda c: (c["row"] >= 0) & (c["row"] < F.col("rows")) & (c["col"] >= 0) & (c["col"] < cols))
+#: Positions of a grid that one row stands for until all tasks have their part of the rows.
+GRID_RUN = 4096
+
+
+def table_grid(items: DataFrame, limit: int | None = tables.GRID_LIMIT) -> DataFrame:
+    """(doc_id, ref, row, col, text): the dense grid of every table; the last cell of a place stands there.
+
+    The reference makes no grid of more than ``limit`` positions; None makes them all.  A grid may dwarf its
+    table: a cell and the blanks up to the next one are a run, and runs, cut to ``GRID_RUN`` positions, are dealt out
+    before they become rows.
+    """
+    cols = F.col("cols").cast("bigint")
+    n = F.col("rows").cast("bigint") * cols
+    sized_ = items.filter((F.col("arena") == "tables") & (F.col("rows") > 0) & (F.col("cols") > 0))
+    if limit is not None:
+        sized_ = sized_.filter(n <= limit)
+    inside = F.filter(F.coalesce("cells", F.array().cast(CELLS)), lambda c: (c["row"] >= 0) & (c["row"] < F.col("rows")) & (c["col"] >= 0) & (c["col"] < F.col("cols")))
     given = F.transform(inside, lambda c, i: F.struct((c["row"] * cols + c["col"]).alias("at"), i.alias("seq"), F.coalesce(c["text"], F.lit("")).alias("text")))
-    blank = F.transform(F.sequence(F.lit(0), F.col("rows") * cols - 1), lambda p: F.struct(p.alias("at"), F.lit(-1).alias("seq"), F.lit("").alias("text")))
-    # a table is one row: its blanks and cells are sorted by place within it, and the last of a place stays
-    sorted_ = sized_.select("doc_id", "ref", "cols", F.array_sort(F.concat(blank, given)).alias("all"))
-    last = F.filter("all", lambda c, i: F.coalesce(F.get("all", i + 1)["at"] != c["at"], F.lit(True)))
-    return sorted_.select("doc_id", "ref", "cols", F.explode(last).alias("c")).select("doc_id", "ref", F.expr("cast(c.at div cols as int)").alias("row"), F.expr("cast(c.at % cols as int)").alias("col"), "c.text")
+    blank = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(-1).alias("seq"), F.lit("").alias("text"))
+    sorted_ = sized_.select("doc_id", "ref", "cols", n.alias("n"), F.array_sort(F.concat(F.array(blank), given)).alias("all"))
+    # of the cells of a place, all but the last have empty runs
+    runs = F.transform("all", lambda c, i: F.struct(c["at"].alias("at"), (F.coalesce(F.get("all", i + 1)["at"], F.col("n")) - 1).alias("to"), c["text"].alias("text")))
+    whole = sorted_.select("doc_id", "ref", "cols", F.explode(F.filter(runs, lambda r: r["at"] <= r["to"])).alias("r"))
+    cut = whole.select("doc_id", "ref", "cols", "r", F.explode(F.sequence("r.at", "r.to", F.lit(GRID_RUN).cast("bigint"))).alias("at"))
+    parts = cut.select("doc_id", "ref", "cols", "at", F.least(F.col("at") + GRID_RUN - 1, "r.to").alias("to"), F.when(F.col("at") == F.col("r.at"), F.col("r.text")).otherwise("").alias("text"))
+    dense = spread(parts, "doc_id", "ref", "at").select("doc_id", "ref", "cols", "at", "text", F.explode(F.sequence("at", "to")).alias("p"))
+    return dense.select("doc_id", "ref", F.expr("cast(p div cols as int)").alias("row"), F.expr("cast(p % cols as int)").alias("col"), F.when(F.col("p") == F.col("at"), F.col("text")).otherwise("").alias("text"))
 
 
 def document_errors(events: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def event_pages(spark, sf):
 
 
 def _tables(spark, sf):
-    """A table for every part: a cell with lines on two pages, one without lines, one outside of the grid; the last table of a document is over the grid's limit."""
+    """A table for every part: a cell with lines on two pages, one without lines, one outside of the grid; the last table of a document has 10,000 positions."""
     rect = lambda page, x, y: F.struct(page.alias("page_index"), F.lit(x).alias("x_twips"), y.cast("bigint").alias("y_twips"), F.lit(50).alias("width_twips"), F.lit(10).alias("height_twips"))
     lines = F.array(rect(F.lit(-1), 0, F.lit(0)), rect(k() % 2, 100, size() + 1000), rect(k() % 2, 20, size() + 1030), rect(F.lit(7), 0, F.lit(0)))
     cell = lambda r, c, n, t, at: F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), F.lit(n).alias("name"), t.alias("text"), at.alias("line_rects"))
@@ -333,9 +333,12 @@ def event_table_cells(spark, sf):
     return cells.select("doc_id", "ref", "row", "col", "text", *(F.coalesce(F.col(e).cast("bigint"), F.lit(-1)).alias(e) for e in ("left", "top", "right", "bottom")))
 
 
-@query("event_table_grid", sql("""select doc_id, '#/tables/' || k as ref, r as "row", c as col, case when r = 0 and c = 1 then name when r = 1 and c = 0 then brand else '' end as text from p, (values (0), (1)) a(r), (values (0), (1)) b(c) where k < 19"""))
+@query(
+    "event_table_grid",
+    sql("""select doc_id, '#/tables/' || k as ref, r::int as "row", c as col, case when r = 0 and c = 1 then name when r = 1 and c = 0 then brand else '' end as text from (select *, unnest(range(case when k = 19 then 5000 else 2 end)) as r from p), (values (0), (1)) b(c)"""),
+)
 def event_table_grid(spark, sf):
-    return office.table_grid(office.office_items(_tables(spark, sf), ("table",))).select("doc_id", "ref", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")
+    return office.table_grid(office.office_items(_tables(spark, sf), ("table",)), limit=None).select("doc_id", "ref", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")
 
 
 def _styled(spark, sf):

@@ -54,6 +54,34 @@ def test_grid_keeps_the_last_cell_of_a_place(spark):
     assert sorted(tuple(r) for r in grid.collect()) == [(1, "#/tables/0", 0, 0, ""), (1, "#/tables/0", 0, 1, "b"), (1, "#/tables/0", 1, 0, ""), (1, "#/tables/0", 1, 1, ""), (1, "#/tables/1", 0, 0, "")]
 
 
+def test_grids_of_long_tables_are_whole(spark):
+    """Tables over 4,096 positions: cells at both ends and at the cuts of runs, two of one place, none at all."""
+    from pyspark.sql import functions as F
+
+    from pagewright.operators import office
+
+    places = [(0, 0), (0, 1), (2, 96), (2, 97), (2, 97), (3, 1), (4, 1999), (5, 0), (0, 2000)]
+    cells = ",".join(f'{{"row":{r},"column":{c},"text":"t{i}"}}' for i, (r, c) in enumerate(places))
+    tables_ = [(1, 5, 2000, cells), (2, 5000, 1, ""), (3, 1, 1, '{"row":0,"column":0,"text":"x"}'), (4, 0, 7, ""), (5, 2, 2048, ",".join(f'{{"row":{i // 2048},"column":{i % 2048},"text":"{i}"}}' for i in range(4096)))]
+    events = spark.createDataFrame([(1, n, "table", f'{{"rows":{r},"columns":{c},"cells":[{x}]}}') for n, r, c, x in tables_], "doc_id bigint, seq bigint, kind string, payload string")
+    grid = office.table_grid(office.office_items(events, ("table",)), limit=None)
+    assert plan(grid).count("LogicalRDD") == 1
+    told = {("#/tables/0", *at): f"t{i}" for i, at in enumerate(places) if at[0] < 5 and at[1] < 2000} | {("#/tables/2", 0, 0): "x"} | {("#/tables/4", i // 2048, i % 2048): str(i) for i in range(4096)}
+    want = {(f"#/tables/{n - 1}", r, c): told.get((f"#/tables/{n - 1}", r, c), "") for n, rows, cols, _ in tables_ for r in range(rows) for c in range(cols)}
+    got = grid.collect()
+    assert len(got) == len(want) and {(r.ref, r.row, r.col): r.text for r in got} == want
+    of_query = catalog.QUERIES["event_table_grid"](spark, "/root/testdata/sf0.001").filter("doc_id = 0").groupBy("ref").agg(F.count("*").alias("n"))
+    assert {r.ref: r.n for r in of_query.collect()} == {f"#/tables/{i}": 10_000 if i == 19 else 4 for i in range(20)}
+
+
+def test_positions_of_a_grid_are_made_by_many_tasks(spark):
+    from pagewright.operators import office
+
+    events = spark.createDataFrame([(1, 1, "table", '{"rows":1000,"columns":100}')], "doc_id bigint, seq bigint, kind string, payload string")
+    made = office.table_grid(office.office_items(events, ("table",)), limit=None).rdd.glom().map(len).collect()
+    assert sum(made) == 100_000 and sum(n > 0 for n in made) > 1
+
+
 def test_token_streams_of_a_short_file_go_to_many_tasks(spark):
     from pagewright.operators import tables
 
